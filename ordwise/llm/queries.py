@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordwise.llm import chat_format, mixing, quality_rules, sharding
+from ordwise.llm import chat_format, embedding_neardup, mixing, quality_rules, sharding, simhash_neardup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -69,6 +69,28 @@ LEFT JOIN l ON m.lang IS NOT DISTINCT FROM l.lang LEFT JOIN a ON true
 """.replace(", l AS (SELECT lang,", ", ql AS (SELECT lang,").replace("LEFT JOIN l ON m.lang IS NOT DISTINCT FROM l.lang", "LEFT JOIN ql ON m.lang IS NOT DISTINCT FROM ql.lang")
 
 
+def op4_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash_neardup.near_duplicates(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op5_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_neardup.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
+OP5_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(e) > 0
+  AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  AND list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98),
+r AS (SELECT x, y FROM p UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x),
+c AS (SELECT x, min(y) AS m FROM r GROUP BY x), n AS (SELECT x, count(*)::BIGINT AS n FROM p GROUP BY x)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(m, vec_id)) AS kept
+FROM v LEFT JOIN n ON n.x = vec_id LEFT JOIN c ON c.x = vec_id
+"""
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = spark.sql("SELECT -1L AS conv_id, t AS turn, r AS role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(t, r)")
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(tricky)
@@ -116,8 +138,8 @@ FROM k JOIN f ON f.i = 1 AND k.h = f.h AND k.doc_id IS NOT DISTINCT FROM f.doc_i
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality_rules": op2_quality_rules, "op6_chat_format": op6_chat_format, "op8_mixing": op8_mixing, "op10_sharding": op10_sharding}
+    return {"op2_quality_rules": op2_quality_rules, "op4_simhash_neardup": op4_simhash_neardup, "op5_embedding_neardup": op5_embedding_neardup, "op6_chat_format": op6_chat_format, "op8_mixing": op8_mixing, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2_SQL, "op6_chat_format": OP6_SQL, "op10_sharding": OP10_SQL}
+    return {"op2_quality_rules": OP2_SQL, "op5_embedding_neardup": OP5_SQL, "op6_chat_format": OP6_SQL, "op10_sharding": OP10_SQL}
