@@ -7,20 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordwise.llm import chat_format, embedding_neardup, mixing, quality_rules, sharding, simhash_neardup
+from ordwise.llm import chat_format, embedding_neardup, mixing, quality_rules, sharding, simhash_neardup, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+_SPLIT = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judge(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-_W = r"[^\x20\x09-\x0D]+"
-_SPLIT = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _Q = {m: {q: f"min(CASE WHEN r_{m} >= {q / 100} * n THEN {m} END)" for q in (25, 50, 75)} for m in ("symbols", "dup_lines", "repeats", "length")}
 
 
@@ -69,6 +70,24 @@ LEFT JOIN l ON m.lang IS NOT DISTINCT FROM l.lang LEFT JOIN a ON true
 """.replace(", l AS (SELECT lang,", ", ql AS (SELECT lang,").replace("LEFT JOIN l ON m.lang IS NOT DISTINCT FROM l.lang", "LEFT JOIN ql ON m.lang IS NOT DISTINCT FROM ql.lang")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(_read(spark, sf_dir, "documents"))
+
+
+OP3_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_SPLIT} AS w FROM documents),
+s AS (SELECT rid, doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM d WHERE len(w) >= 13),
+k AS (SELECT rid, doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM s),
+f AS (SELECT rid, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY k) AS m FROM k) WHERE m < doc_id),
+g AS (SELECT rid, list(DISTINCT p) AS gone FROM (SELECT rid, unnest(range(i, i + 13)) AS p FROM f) GROUP BY rid),
+u AS (SELECT rid, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d),
+r AS (SELECT u.rid, count(h.i)::BIGINT AS n_removed, string_agg(CASE WHEN h.i IS NULL THEN u.x END, ' ' ORDER BY u.i) AS kept
+  FROM u LEFT JOIN (SELECT rid, unnest(gone) AS i FROM g) h ON u.rid = h.rid AND u.i = h.i GROUP BY u.rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN r USING (rid)
+"""
+
+
 def op4_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_neardup.near_duplicates(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -138,8 +157,8 @@ FROM k JOIN f ON f.i = 1 AND k.h = f.h AND k.doc_id IS NOT DISTINCT FROM f.doc_i
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality_rules": op2_quality_rules, "op4_simhash_neardup": op4_simhash_neardup, "op5_embedding_neardup": op5_embedding_neardup, "op6_chat_format": op6_chat_format, "op8_mixing": op8_mixing, "op10_sharding": op10_sharding}
+    return {"op2_quality_rules": op2_quality_rules, "op3_substring_dedup": op3_substring_dedup, "op4_simhash_neardup": op4_simhash_neardup, "op5_embedding_neardup": op5_embedding_neardup, "op6_chat_format": op6_chat_format, "op8_mixing": op8_mixing, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2_SQL, "op5_embedding_neardup": OP5_SQL, "op6_chat_format": OP6_SQL, "op10_sharding": OP10_SQL}
+    return {"op2_quality_rules": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op5_embedding_neardup": OP5_SQL, "op6_chat_format": OP6_SQL, "op10_sharding": OP10_SQL}
