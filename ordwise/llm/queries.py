@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordwise.llm import chat_format, embedding_neardup, mixing, quality_rules, sharding, simhash_neardup, substring_dedup
+from ordwise.llm import chat_format, embedding_neardup, language_id, mixing, quality_classifier, quality_rules, sentencepiece_codec, sharding, simhash_neardup, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,6 +17,16 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 _SPLIT = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded again: n_tokens, a digest of the ids, and whether the text came back."""
+    model = sentencepiece_codec.load(sentencepiece_codec.MODEL)
+    coded = sentencepiece_codec.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    back = sentencepiece_codec.decode(coded, model)
+    ids = F.sha2(F.array_join("tokens", " "), 256)
+    same = F.replace(F.col("text"), F.lit("\u2581"), F.lit(" ")) == F.col("decoded")
+    return back.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), ids.alias("tokens_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("round_trip"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judge(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -136,10 +146,26 @@ FROM n GROUP BY conv_id
 """
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    rest = language_id.remainder(F.col("doc_id"))
+    model = language_id.fit(docs.where(rest != 2).select("lang", "text"))
+    held = F.coalesce(rest == 2, F.lit(False)).alias("held_out")
+    return language_id.predict(docs.select("doc_id", "text", held), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_classifier.learned(docs, _read(spark, sf_dir, "labels"))
+    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False)).alias("held_out")
+    scored = quality_classifier.score(docs.select("doc_id", "text", held), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= quality_classifier.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_read(spark, sf_dir, "documents"))
 
@@ -157,7 +183,8 @@ FROM k JOIN f ON f.i = 1 AND k.h = f.h AND k.doc_id IS NOT DISTINCT FROM f.doc_i
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality_rules": op2_quality_rules, "op3_substring_dedup": op3_substring_dedup, "op4_simhash_neardup": op4_simhash_neardup, "op5_embedding_neardup": op5_embedding_neardup, "op6_chat_format": op6_chat_format, "op8_mixing": op8_mixing, "op10_sharding": op10_sharding}
+    every = (op1_sentencepiece, op2_quality_rules, op3_substring_dedup, op4_simhash_neardup, op5_embedding_neardup, op6_chat_format, op7_language_id, op8_mixing, op9_quality_classifier, op10_sharding)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -31,7 +31,7 @@ MARK = "▁"
 #: The public model that the registered query encodes with.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words whose codes a worker keeps, and code points of text that are encoded at once.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 BATCH_CHARS = 2_000_000
 _UNKNOWN = -1
 
@@ -107,75 +107,74 @@ def merge(symbols: str, ids: dict[str, int], scores: list[float]) -> list[str]:
     return [p for p in parts if p is not None]
 
 
+def _shared_prefix(a: str, b: str) -> int:
+    n = 0
+    for x, y in zip(a, b):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
 class Encoder:
     """Codes of marked words; one for each model and worker."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
-        self.v = vocabulary
+        self.v = v = vocabulary
         self.codes: dict[str, bytes] = {}
-        self.apart: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
-        self.unknown_score = min((vocabulary.scores[i] for i in vocabulary.ids.values()), default=0.0) - 10.0
-
-    def _apart(self, a: str, b: str) -> bool:
-        """Whether merging leaves pieces a and b, next to each other, as they are."""
-        known = self.apart.get((a, b))
-        if known is None:
-            known = self.apart[a, b] = merge(a + b, self.v.ids, self.v.scores) == [a, b]
-            if len(self.apart) > 4 * CACHE_WORDS:
-                self.apart.clear()
-        return known
-
-    def _whole(self, piece: str) -> bool:
-        known = self.whole.get(piece)
-        if known is None:
-            known = self.whole[piece] = merge(piece, self.v.ids, self.v.scores) == [piece]
-        return known
+        self.again: set[str] = set()
+        self.unknown_score = min((v.scores[i] for i in v.ids.values()), default=0.0) - 10.0
+        # BPE: only pieces that merging their characters gives back can end an encoding
+        self.usable = {p for p in v.ids if v.kind == "unigram" or len(p) == 1 or merge(p, v.ids, v.scores) == [p]}
+        self.bytes_of = {p: np.array([i], np.int32).tobytes() for p, i in v.ids.items()}
+        long: dict[str, set[int]] = {}
+        for p in self.usable:
+            if len(p) > 4:
+                long.setdefault(p[-4:], set()).add(len(p))
+        self.long = {k: tuple(sorted(n, reverse=True)) for k, n in long.items()}
+        #: for the last four characters of a prefix, how long a usable piece that ends there can be, longest first
+        self.sizes: dict[str, tuple[int, ...]] = {}
+        #: for a last piece, the pieces after it: whether merging leaves the two as they are
+        self.apart: dict[str, dict[str, bool]] = {}
+        self.n_apart = 0
 
     def _code(self, pieces: Iterable[str]) -> bytes:
-        out: list[int] = []
+        out, byte_ids, after_unknown = [], self.v.byte_ids, False
         for p in pieces:
-            i = self.v.ids.get(p)
-            if i is not None:
-                out.append(i)
-            elif self.v.byte_ids:
-                out += [self.v.byte_ids[b] for b in p.encode("utf-8", "surrogatepass")]
-            elif not out or out[-1] != self.v.unk:  # neighbouring unknowns are one
-                out.append(self.v.unk)
-        return np.array(out, np.int32).tobytes()
+            known = self.bytes_of.get(p)
+            if known is not None:
+                out.append(known)
+            elif byte_ids:
+                out.append(np.array([byte_ids[b] for b in p.encode("utf-8", "surrogatepass")], np.int32).tobytes())
+            elif not after_unknown:  # neighbouring unknowns are one
+                out.append(np.array([self.v.unk], np.int32).tobytes())
+            after_unknown = known is None
+        return b"".join(out)
 
     def learn(self, words: Iterable[str]) -> None:
         """Encode words into `codes`, walking their trie depth first."""
-        ids, scores, longest, unigram = self.v.ids, self.v.scores, self.v.longest, self.v.kind == "unigram"
+        if len(self.sizes) > CACHE_WORDS:
+            self.sizes.clear()
+        if self.n_apart > 2 * CACHE_WORDS:
+            self.apart.clear()
+            self.n_apart = 0
+        (self._walk_unigram if self.v.kind == "unigram" else self._walk_bpe)(sorted(words))
+
+    def _walk_unigram(self, words: list[str]) -> None:
+        ids, scores, longest = self.v.ids, self.v.scores, self.v.longest
         before, start, best = "", [0], [0.0]  # start[i]: where the last piece of the first i characters starts
-        for word in sorted(words):
-            shared = 0
-            for a, b in zip(before, word):
-                if a != b:
-                    break
-                shared += 1
+        for word in words:
+            shared = _shared_prefix(before, word)
             del start[shared + 1 :], best[shared + 1 :]
             for i in range(shared + 1, len(word) + 1):
-                if unigram:
-                    at, value = i - 1, -np.inf
-                    for j in range(max(0, i - longest), i):
-                        k = ids.get(word[j:i])
-                        score = best[j] + (scores[k] if k is not None else self.unknown_score if j == i - 1 else -np.inf)
-                        if score > value:
-                            at, value = j, score
-                    start.append(at)
-                    best.append(value)
-                else:
-                    for j in range(max(0, i - longest), i):
-                        piece = word[j:i]
-                        if j < i - 1 and piece not in ids:
-                            continue
-                        if self._whole(piece) and (not j or self._apart(word[start[j] : j], piece)):
-                            start.append(j)
-                            break
-                    else:
-                        raise AssertionError(f"no last piece for {word[:i]!r}")
-                    best.append(0.0)
+                at, value = i - 1, -np.inf
+                for j in range(max(0, i - longest), i):
+                    k = ids.get(word[j:i])
+                    score = best[j] + (scores[k] if k is not None else self.unknown_score if j == i - 1 else -np.inf)
+                    if score > value:
+                        at, value = j, score
+                start.append(at)
+                best.append(value)
             cuts, i = [], len(word)
             while i:
                 cuts.append(word[start[i] : i])
@@ -183,12 +182,61 @@ class Encoder:
             self.codes[word] = self._code(reversed(cuts))
             before = word
 
+    def _ends(self, tail: str) -> tuple[int, ...]:
+        """Sizes of the pieces that may end where these (at most four) characters end; kept for a bounded number of tails."""
+        short = [n for n in range(len(tail), 1, -1) if tail[-n:] in self.usable]
+        out = self.sizes[tail] = (*self.long.get(tail, ()), *short, 1)
+        return out
+
+    def _walk_bpe(self, words: list[str]) -> None:
+        ids, scores, usable, sizes, apart, codes = self.v.ids, self.v.scores, self.usable, self.sizes, self.apart, self.codes
+        first: dict[str, bool] = {}  # nothing stands before the first piece
+        before, last, after = "", [""], [first]  # last[i]: the last piece of the first i characters; after[i]: what is known to follow it
+        for word in words:
+            shared = _shared_prefix(before, word)
+            del last[shared + 1 :], after[shared + 1 :]
+            for i in range(shared + 1, len(word) + 1):
+                tail = word[i - 4 : i] if i > 4 else word[:i]
+                for size in sizes.get(tail) or self._ends(tail):
+                    if size > i:
+                        continue
+                    piece = word[i - size : i]
+                    if size > 4 and piece not in usable:
+                        continue
+                    ok = after[i - size].get(piece)
+                    if ok is None:
+                        a = last[i - size]
+                        ok = after[i - size][piece] = not a or merge(a + piece, ids, scores) == [a, piece]
+                        self.n_apart += 1
+                    if ok:
+                        break
+                else:
+                    raise AssertionError(f"no last piece for {word[:i]!r}")
+                last.append(piece)
+                known = apart.get(piece)
+                if known is None:
+                    known = apart[piece] = {}
+                after.append(known)
+            cuts, i = [], len(word)
+            while i:
+                piece = last[i]
+                cuts.append(piece)
+                i -= len(piece)
+            cuts.reverse()
+            codes[word] = self._code(cuts)
+            before = word
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Ids of each text; null stays null."""
         split = [self.v.words.findall(self.v.mark(t)) if t is not None else None for t in texts]
-        if len(self.codes) > CACHE_WORDS:
-            self.codes.clear()
-        self.learn(set(chain.from_iterable(x for x in split if x)).difference(self.codes))
+        if len(self.codes) > CACHE_WORDS:  # words that came again are worth keeping
+            self.codes = {w: self.codes[w] for w in self.again}
+            self.again = set()
+        words = set(chain.from_iterable(x for x in split if x))
+        new = words.difference(self.codes)
+        if len(self.again) < CACHE_WORDS // 2:
+            self.again |= words - new
+        self.learn(new)
         code = self.codes.__getitem__
         return [np.frombuffer(b"".join(map(code, x)), np.int32) if x is not None else None for x in split]
 
