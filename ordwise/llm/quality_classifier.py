@@ -1,8 +1,9 @@
 """Quality classifier: naive Bayes support vectors.
 
-A text is the set of its n-grams (words and word pairs; character strings of one to three bytes), hashed into DIM
-features. Features are scaled by their log-count ratio between the classes, texts to unit length, and a linear
-hinge-loss model is fitted to that by dual coordinate descent. A sigmoid fitted to texts held back turns margins into
+A text is the set of its n-grams (words and word pairs; character strings of one to three bytes; which of five
+neighbouring words are equal), hashed into DIM features. Features are scaled by their log-count ratio between the
+classes, texts to about unit length (short ones to less, since they say less), and a linear hinge-loss model is fitted
+to that by dual coordinate descent. A sigmoid fitted to texts held back turns margins into
 probabilities.
 
 The model is fitted on a bounded sample: at most ROWS labelled documents of each class, chosen by a hash of the id.
@@ -26,6 +27,8 @@ DIM = 1 << 18
 ROWS = 4_000
 THRESHOLD = 0.7
 C, EPOCHS = 1.0, 12
+#: Added to squared lengths, as a share of their median.
+FLOOR = 0.5
 _CHUNK = 1 << 20
 _WORDS_KEPT = 200_000
 _M = np.uint32(0x9E3779B1)
@@ -70,17 +73,23 @@ class Features:
                 v = known[x] = xxhash.xxh32_intdigest(x)
             h[k] = v
         found += [_fold(h, 4), _fold(h[:-1] * np.uint32(31) + h[1:], 5)]
+        e = (h[1:] == h[:-1]).astype(np.uint32)
+        m = max(0, len(e) - 3)
+        found.append(_fold(np.unique(e[:m] + 2 * e[1 : m + 1] + 4 * e[2 : m + 2] + 8 * e[3 : m + 3]), 6))
         return self.distinct(np.concatenate(found))
 
 
 class Model:
-    """A weight for each feature and its square scale; a margin is (sum of weights) / length + bias."""
+    """A weight for each feature and its square scale; a margin is (sum of weights) / length + bias.
 
-    def __init__(self, weight: np.ndarray, square: np.ndarray, bias: float, slope: float, shift: float) -> None:
-        self.weight, self.square, self.bias, self.slope, self.shift = weight, square, bias, slope, shift
+    floor: what is added to a text's squared length, so that a few features alone don't decide.
+    """
+
+    def __init__(self, weight: np.ndarray, square: np.ndarray, floor: float, bias: float, slope: float, shift: float) -> None:
+        self.weight, self.square, self.floor, self.bias, self.slope, self.shift = weight, square, floor, bias, slope, shift
 
     def margin(self, ids: np.ndarray) -> float:
-        length = float(np.sqrt(self.square[ids].sum()))
+        length = float(np.sqrt(self.square[ids].sum() + self.floor))
         return (float(self.weight[ids].sum()) / length if length else 0.0) + self.bias
 
     def score(self, ids: np.ndarray) -> float:
@@ -91,18 +100,18 @@ def _sigmoid(x: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(x, -500, 500))))
 
 
-def _descend(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, float]:
+def _descend(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, floor: float, cost: np.ndarray) -> tuple[np.ndarray, float]:
     """L1-loss linear SVM by dual coordinate descent: weights per feature (scales included) and the bias."""
     rng = np.random.default_rng(0)
     v = [scale[i] for i in rows]
-    norm = [max(float(np.sqrt((x * x).sum())), 1e-12) for x in v]
-    v = [x / n for x, n in zip(v, norm)]
+    v = [x / max(float(np.sqrt((x * x).sum() + floor)), 1e-12) for x in v]
+    square = [float(x @ x) + 1.0 for x in v]  # 1 for the bias
     w, bias, alpha = np.zeros(len(scale)), 0.0, np.zeros(len(rows))
     for _ in range(EPOCHS):
         for k in rng.permutation(len(rows)):
             i, x = rows[k], v[k]
             g = y[k] * (float(w[i] @ x) + bias) - 1
-            new = min(max(alpha[k] - g / 2.0, 0.0), cost[k])  # the squared length is 1, and 1 for the bias
+            new = min(max(alpha[k] - g / square[k], 0.0), cost[k])
             if new != alpha[k]:
                 step = (new - alpha[k]) * y[k]
                 w[i] += step * x
@@ -131,7 +140,7 @@ def train(rows: list[np.ndarray], y: np.ndarray, share: float) -> Model:
     zero = np.zeros(DIM, np.float32)
     if not len(y) or abs(y.sum()) == len(y):  # nothing to tell apart
         p = 0.5 if not len(y) else 0.99 if y[0] > 0 else 0.01
-        return Model(zero, zero, 0.0, 0.0, float(np.log(p / (1 - p))))
+        return Model(zero, zero, 0.0, 0.0, 0.0, float(np.log(p / (1 - p))))
     held = np.arange(len(y)) % 5 == 4
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held[:] = False
@@ -141,8 +150,10 @@ def train(rows: list[np.ndarray], y: np.ndarray, share: float) -> Model:
     ratio = np.log(count[1] / n[1]) - np.log(count[-1] / n[-1])
     ratio[(count[1] + count[-1]) <= 3] = 0.0  # in one text alone
     cost = C * np.where(y[use] > 0, len(use) / (2 * (y[use] > 0).sum()), len(use) / (2 * (y[use] < 0).sum()))
-    weight, bias = _descend([rows[k] for k in use], y[use], ratio, cost)
-    model = Model(weight.astype(np.float32), (ratio**2).astype(np.float32), bias, 1.0, 0.0)
+    square = (ratio**2).astype(np.float32)
+    floor = FLOOR * float(np.median([square[rows[k]].sum() for k in use]))
+    weight, bias = _descend([rows[k] for k in use], y[use], ratio, floor, cost)
+    model = Model(weight.astype(np.float32), square, floor, bias, 1.0, 0.0)
     test = np.flatnonzero(held) if held.any() else use
     m = np.array([model.margin(rows[k]) for k in test])
     part = np.where(y[test] > 0, share / max(1, (y[test] > 0).sum()), (1 - share) / max(1, (y[test] < 0).sum())) * len(test)
@@ -181,12 +192,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
         y = np.where(t.column("label").to_numpy() == 1, 1, -1)
         order = np.random.default_rng(1).permutation(len(y))
         m = train([flat[ends[k] : ends[k + 1]] for k in order], y[order], share)
-        return pa.table({"weight": [m.weight.tobytes()], "square": [m.square.tobytes()], "bias": [m.bias], "slope": [m.slope], "shift": [m.shift]})
+        return pa.table({"weight": [m.weight.tobytes()], "square": [m.square.tobytes()], "floor": [m.floor], "bias": [m.bias], "slope": [m.slope], "shift": [m.shift]})
 
-    got = found.groupBy(F.lit("all")).applyInArrow(one, "weight binary, square binary, bias double, slope double, shift double").first()
+    got = found.groupBy(F.lit("all")).applyInArrow(one, "weight binary, square binary, floor double, bias double, slope double, shift double").first()
     if got is None:
         return train([], np.empty(0, int), 0.5)
-    return Model(np.frombuffer(got["weight"], np.float32), np.frombuffer(got["square"], np.float32), got["bias"], got["slope"], got["shift"])
+    return Model(np.frombuffer(got["weight"], np.float32), np.frombuffer(got["square"], np.float32), got["floor"], got["bias"], got["slope"], got["shift"])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

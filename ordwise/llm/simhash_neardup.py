@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordwise.llm._shared import cut
+from ordwise.llm._shared import cut, join_small
 from ordwise.llm.components import connected_components
 
 BUDGET = 4
@@ -245,3 +245,20 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     names = cut(of.groupBy("root").agg(F.min("first_id").alias("component_id")).withColumnRenamed("root", "r"), "names")
     named = cut(of.join(names, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id"), "named")
     return fps.join(named, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
+
+
+def drop_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """The rows of `docs` that stay: of each group the document with the least doc_id; columns unchanged.
+
+    Of rows that repeat a staying doc_id, the least by all columns stays. Rows without doc_id all stay, for none of
+    them can be named.
+    """
+    groups = near_duplicates(docs, budget)
+    first = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__n"))
+    first = cut(first, "first")
+    rows = join_small(docs, first, F.col("doc_id").cast("long") == F.col("__id"))
+    out = rows.where("__n = 1").select(*docs.columns)
+    if first.where("__n > 1").limit(1).count():
+        least = rows.where("__n > 1").groupBy("__id").agg(F.min(F.struct(*docs.columns)).alias("r"))
+        out = out.unionByName(least.select("r.*"))
+    return out.unionByName(docs.where("doc_id IS NULL"))
