@@ -78,32 +78,48 @@ class Model:
     def __init__(self, langs: list[str], prior: np.ndarray, words: dict[str, np.ndarray], by_length: dict[int, dict[str, np.ndarray]]) -> None:
         self.langs, self.prior, self.words, self.by_length = langs, prior, words, by_length
 
-    def word_score(self, word: str) -> np.ndarray | None:
+    def word_score(self, word: str) -> np.ndarray:
+        """Log probability per language; zeros if nothing of the word is known."""
         known = self.words.get(word)
         if known is not None:
             return known
         for n in range(LONGEST, 0, -1):
-            table = self.by_length.get(n, {})
-            found = [table[g] for g in grams(word, n) if g in table]
+            get = self.by_length.get(n, {}).get
+            found = [row for row in map(get, grams(word, n)) if row is not None]
             if found:
-                return np.sum(found, axis=0) / n
-        return None
+                return np.add.reduce(found) / n
+        return np.zeros(len(self.langs))
 
-    def predict(self, text: str | None, memory: dict[str, np.ndarray | None]) -> tuple[str, float]:
+
+class Scorer:
+    """Predicts with a model; a worker keeps the scores of a bounded number of words, one row each."""
+
+    def __init__(self, model: Model) -> None:
+        self.model = model
+        self.row: dict[str, int] = {}
+        self.rows = np.zeros((1024, max(1, len(model.langs))))
+
+    def predict(self, text: str | None) -> tuple[str, float]:
         """(language, probability); null, letterless, or a model of no language: ("und", 0.0)."""
-        seen = Counter(words_of(text)) if text else None
-        if not seen or not self.langs:
+        m, row = self.model, self.row
+        words = words_of(text) if text else None
+        if not words or not m.langs:
             return UNKNOWN, 0.0
-        total = self.prior.copy()
-        for w, n in seen.items():
-            if w in memory:
-                s = memory[w]
-            else:
-                s = memory[w] = self.word_score(w)
-            if s is not None:
-                total += n * s
+        new = set(words).difference(row)
+        if len(row) + len(new) > FLUSH and row:
+            row.clear()
+            new = set(words)
+        while len(row) + len(new) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        for w in new:
+            self.rows[len(row)] = m.word_score(w)
+            row[w] = len(row)
+        total = m.prior.copy()
+        at = np.fromiter(map(row.__getitem__, words), np.int64, len(words))
+        for i in range(0, len(at), 1 << 16):
+            total += self.rows[at[i : i + (1 << 16)]].sum(0)
         best = int(total.argmax())
-        return self.langs[best], float(1.0 / np.exp(total - total[best]).sum())
+        return m.langs[best], float(1.0 / np.exp(total - total[best]).sum())
 
 
 def fit(labelled: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
@@ -167,14 +183,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     kinds = dict(docs.dtypes)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory: dict[str, np.ndarray | None] = {}
-        m = shared.value
+        scorer = Scorer(shared.value)
         for b in batches:
-            found = []
-            for x in b.column(0):
-                if len(memory) > FLUSH:
-                    memory.clear()
-                found.append(m.predict(x.as_py(), memory))
+            found = [scorer.predict(x.as_py()) for x in b.column(0)]
             langs, scores = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names[1:], "lang_pred", "score"])
 
@@ -188,4 +199,4 @@ def remainder(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(4))
 
 
-__all__ = ["Model", "fit", "predict", "remainder"]
+__all__ = ["Model", "Scorer", "fit", "predict", "remainder"]
