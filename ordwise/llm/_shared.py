@@ -93,3 +93,31 @@ def join_small(big: DataFrame, small: DataFrame, on: Column | list[str], how: st
     """
     few = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return big.join(F.broadcast(small) if few else small, on, how)
+
+
+def map_column(df: DataFrame, column: str, kind: str, make, outs: dict[str, str], keep: list[str] | None = None) -> DataFrame:  # noqa: ANN001
+    """`df` with new columns made from one column over Arrow batches; columns named like new ones are replaced.
+
+    make() is called once a task and gives a function from an Arrow array (of type `kind`) to pieces (rows taken,
+    list of new arrays). keep: the columns to return besides the new ones; None: all. The column itself is sent once.
+    """
+    import pyarrow as pa
+
+    kept = [c for c in (df.columns if keep is None else keep) if c not in outs]
+    kinds = dict(df.dtypes)
+    same = column in kept and kinds[column] == kind
+    inner = df.select(*[F.col(c).alias(f"x{i}") for i, c in enumerate(kept)], *([] if same else [F.col(column).cast(kind).alias("c")]))
+    at = kept.index(column) if same else len(kept)
+    names = [*(f"x{i}" for i in range(len(kept))), *(f"y{i}" for i in range(len(outs)))]
+
+    def run(batches):  # noqa: ANN001, ANN202
+        fn = make()
+        for b in batches:
+            done = 0
+            for rows, arrays in fn(b.column(at)):
+                yield pa.RecordBatch.from_arrays([*b.slice(done, rows).columns[: len(kept)], *arrays], names)
+                done += rows
+
+    schema = ", ".join([*(f"x{i} {kinds[c]}" for i, c in enumerate(kept)), *(f"y{i} {k}" for i, k in enumerate(outs.values()))])
+    out = inner.mapInArrow(run, schema)
+    return out.select(*[F.col(f"x{i}").alias(c) for i, c in enumerate(kept)], *[F.col(f"y{i}").alias(c) for i, c in enumerate(outs)])

@@ -11,7 +11,7 @@ those of the prefix it shares with the word before are kept and only the rest is
                   one that merging keeps apart from the last piece of the shorter prefix. Whether it does is decided by
                   merging the two pieces' characters, once for each pair of pieces.
 
-Texts stay in their partitions: there is no shuffle, and a worker keeps the codes of a bounded number of words.
+Texts stay in their partitions: there is no shuffle, and a task keeps the codes of a bounded number of words.
 The model is read on the driver from a path that the caller names, and never trained.
 """
 
@@ -24,15 +24,17 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ordwise.llm._shared import map_column
 
 MARK = "▁"
 #: The public model that the registered query encodes with.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words whose codes a worker keeps, and code points of text that are encoded at once.
-CACHE_WORDS = 500_000
-BATCH_CHARS = 2_000_000
+#: Words whose codes a task keeps, and bytes of text that are encoded at once.
+CACHE_WORDS = 250_000
+BATCH_BYTES = 1_500_000
 _UNKNOWN = -1
 
 
@@ -117,7 +119,7 @@ def _shared_prefix(a: str, b: str) -> int:
 
 
 class Encoder:
-    """Codes of marked words; one for each model and worker."""
+    """Codes of marked words; one for each task."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = v = vocabulary
@@ -241,18 +243,6 @@ class Encoder:
         return [np.frombuffer(b"".join(map(code, x)), np.int32) if x is not None else None for x in split]
 
 
-_encoders: dict[tuple, Encoder] = {}
-
-
-def _encoder(v: Vocabulary) -> Encoder:
-    """The worker's encoder for a model, kept from task to task."""
-    key = (v.kind, len(v.pieces), hash((tuple(v.pieces), tuple(v.scores))))
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(v)
-    return _encoders[key]
-
-
 def _shared(spark: SparkSession, v: Vocabulary):  # noqa: ANN202
     """A broadcast of the vocabulary (a file's worth: its size is the model's, whatever the data)."""
     return spark.sparkContext.broadcast(v)
@@ -265,28 +255,27 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", output:
     named `output` is replaced. Long texts are encoded whole.
     """
     model = _shared(docs.sparkSession, vocabulary)
-    keep = [c for c in docs.columns if c != output]
-    inner = docs.select(F.col(text).alias("t"), *[F.col(c).alias(f"x{i}") for i, c in enumerate(keep)])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _encoder(model.value)
-        for b in batches:
-            for part in _by_chars(b):
-                ids = coder.encode(part.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([_lists(ids), *part.columns[1:]], [output, *part.schema.names[1:]])
+    def make():  # noqa: ANN202
+        coder = Encoder(model.value)  # goes with its task, so that workers don't keep memory
 
-    kinds = dict(docs.dtypes)
-    out = inner.mapInArrow(run, ", ".join([f"`{output}` array<int>", *(f"x{i} {kinds[c]}" for i, c in enumerate(keep))]))
-    return out.select(*[F.col(f"x{i}").alias(c) for i, c in enumerate(keep)], output)
+        def run(texts: pa.Array) -> Iterator[tuple[int, list[pa.Array]]]:
+            for part in _by_chars(texts):
+                yield len(part), [_lists(coder.encode(part.to_pylist()))]
 
+        return run
 
-def _by_chars(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with a bounded amount of text each (or one row)."""
-    size = np.array([len(x) if x is not None else 0 for x in b.column(0).to_pylist()])
+    return map_column(docs, text, "string", make, {output: "array<int>"})
+
+
+def _by_chars(texts: pa.Array) -> Iterator[pa.Array]:
+    """Slices of an array with a bounded amount of text each (or one text)."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
-    while at < b.num_rows:
-        to = max(at + 1, int(np.searchsorted(np.cumsum(size[at:]), BATCH_CHARS, side="right")) + at)
-        yield b.slice(at, to - at)
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + BATCH_BYTES, side="right")))
+        yield texts.slice(at, to - at)
         at = to
 
 
@@ -303,24 +292,23 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, tokens: str = "tokens", outp
     null; ids outside the vocabulary raise; bytes that are no UTF-8 become U+FFFD. A column named `output` is replaced.
     """
     model = _shared(rows.sparkSession, vocabulary)
-    keep = [c for c in rows.columns if c != output]
-    inner = rows.select(F.col(tokens).alias("t"), *[F.col(c).alias(f"x{i}") for i, c in enumerate(keep)])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():  # noqa: ANN202
         v = model.value
         piece, first = v.bytes_of().__getitem__, v.dummy_prefix
-        for b in batches:
-            ids = b.column(0)
+
+        def run(ids: pa.Array) -> Iterator[tuple[int, list[pa.Array]]]:
             ends, null = ids.offsets.to_numpy(), np.asarray(ids.is_null())
             flat = ids.values.to_numpy(zero_copy_only=False)
             if len(flat) and flat[ends[0] : ends[-1]].min(initial=0) < 0:
                 raise ValueError("negative token id")
-            texts = []
-            for i in range(len(ids)):
-                t = b"".join(map(piece, flat[ends[i] : ends[i + 1]].tolist()))
-                texts.append(None if null[i] else (t[1:] if first and t[:1] == b" " else t).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *b.columns[1:]], [output, *b.schema.names[1:]])
-
-    kinds = dict(rows.dtypes)
-    out = inner.mapInArrow(run, ", ".join([f"`{output}` string", *(f"x{i} {kinds[c]}" for i, c in enumerate(keep))]))
-    return out.select(*[F.col(f"x{i}").alias(c) for i, c in enumerate(keep)], output)
+            for at in range(0, len(ids), 256):
+                texts = []
+                for i in range(at, min(at + 256, len(ids))):
+                    t = b"".join(map(piece, flat[ends[i] : ends[i + 1]].tolist()))
+                    texts.append(None if null[i] else (t[1:] if first and t[:1] == b" " else t).decode("utf-8", "replace"))
+                yield len(texts), [pa.array(texts, pa.string())]
+
+        return run
+
+    return map_column(rows, tokens, "array<int>", make, {output: "string"})
