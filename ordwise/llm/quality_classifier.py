@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordwise.llm._shared import cut
+from ordwise.llm._shared import cut, map_column
 
 DIM = 1 << 18
 #: Labelled documents of each class that the model is fitted on, at most.
@@ -200,25 +200,23 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
     return Model(np.frombuffer(got["weight"], np.float32), np.frombuffer(got["square"], np.float32), got["floor"], got["bias"], got["slope"], got["shift"])
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of `docs` with score (0 to 1, higher: class 1 likelier); a column of that name is replaced.
+def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """All columns of `docs` (or those of `keep`) with score (0 to 1, higher: class 1 likelier), replacing one so named.
 
     Null and empty texts have no features and score what the bias alone says. Repeated rows score alike; an empty
     table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in docs.columns if c != "score"]
-    kinds = dict(docs.dtypes)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():  # noqa: ANN202
         f, m = Features(), shared.value
-        for b in batches:
-            s = [m.score(f.of(x.as_py())) for x in b.column(0)]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(s, pa.float64())], [*b.schema.names[1:], "score"])
 
-    inner = docs.select(F.col(text).cast("binary").alias("t"), *[F.col(c).alias(f"x{i}") for i, c in enumerate(keep)])
-    out = inner.mapInArrow(run, ", ".join([*(f"x{i} {kinds[c]}" for i, c in enumerate(keep)), "score double"]))
-    return out.select(*[F.col(f"x{i}").alias(c) for i, c in enumerate(keep)], "score")
+        def run(texts: pa.Array) -> Iterator[tuple[int, list[pa.Array]]]:
+            yield len(texts), [pa.array([m.score(f.of(x.as_py())) for x in texts.cast(pa.binary())], pa.float64())]
+
+        return run
+
+    return map_column(docs, text, "string", make, {"score": "double"}, keep)
 
 
 def learned(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = ROWS) -> Model:
