@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ordwise.llm._shared import cut
+from ordwise.llm._shared import cut, map_column
 
 #: Entries of the model, over all languages.
 MAX_WORDS = 200_000
@@ -73,21 +73,21 @@ def _most_frequent(counts: DataFrame, group: list[str], each: Column, total: str
 
 
 class Model:
-    """Log probabilities of words and n-grams per language; picklable and bounded."""
+    """Log probabilities per language; picklable and bounded. A table is (row numbers, rows), one row per word or n-gram."""
 
-    def __init__(self, langs: list[str], prior: np.ndarray, words: dict[str, np.ndarray], by_length: dict[int, dict[str, np.ndarray]]) -> None:
+    def __init__(self, langs: list[str], prior: np.ndarray, words: tuple[dict[str, int], np.ndarray], by_length: dict[int, tuple[dict[str, int], np.ndarray]]) -> None:
         self.langs, self.prior, self.words, self.by_length = langs, prior, words, by_length
 
     def word_score(self, word: str) -> np.ndarray:
         """Log probability per language; zeros if nothing of the word is known."""
-        known = self.words.get(word)
+        known = self.words[0].get(word)
         if known is not None:
-            return known
+            return self.words[1][known]
         for n in range(LONGEST, 0, -1):
-            get = self.by_length.get(n, {}).get
-            found = [row for row in map(get, grams(word, n)) if row is not None]
+            number, rows = self.by_length[n]
+            found = [k for k in map(number.get, grams(word, n)) if k is not None]
             if found:
-                return np.add.reduce(found) / n
+                return rows[found].sum(0) / n
         return np.zeros(len(self.langs))
 
 
@@ -131,7 +131,7 @@ def fit(labelled: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GR
     counted = cut(ok.mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "word-counts")
     langs = [r["lang"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(max_grams // (2 * LONGEST)).collect()]
     if not langs:
-        return Model([], np.zeros(0), {}, {})
+        return Model([], np.zeros(0), ({}, np.zeros((0, 0))), {})
     counted = counted.where(F.col("lang").isin(langs)) if len(langs) == max_grams // (2 * LONGEST) else counted
     words = _most_frequent(counted, ["lang"], F.lit(max_words // len(langs)), "total")
 
@@ -150,19 +150,15 @@ def fit(labelled: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GR
     g = _most_frequent(g, ["lang", "size"], F.lit(max_grams // (LONGEST * len(langs))), "total")
     at = {x: i for i, x in enumerate(langs)}
 
-    def table(rows: pa.Table, key: str) -> dict[str, np.ndarray]:
+    def table(rows: pa.Table, key: str) -> tuple[dict[str, int], np.ndarray]:
         totals = np.full(len(langs), 1.0)
-        lang, total = [at[x] for x in rows.column("lang").to_pylist()], rows.column("total").to_pylist()
-        for i, t in zip(lang, total):
-            totals[i] = t
-        counts: dict[str, np.ndarray] = {}
-        for i, k, n in zip(lang, rows.column(key).to_pylist(), rows.column("n").to_pylist()):
-            row = counts.get(k)
-            if row is None:
-                row = counts[k] = np.full(len(langs), 0.5)
-            row[i] = n
-        size = np.log(totals + 0.5 * max(1, len(counts)))
-        return {k: np.log(v) - size for k, v in counts.items()}
+        lang = np.array([at[x] for x in rows.column("lang").to_pylist()], int)
+        totals[lang] = rows.column("total").to_numpy()
+        number: dict[str, int] = {}
+        row = np.array([number.setdefault(k, len(number)) for k in rows.column(key).to_pylist()], int)
+        counts = np.full((len(number), len(langs)), 0.5)
+        counts[row, lang] = rows.column("n").to_numpy()
+        return number, np.log(counts) - np.log(totals + 0.5 * max(1, len(number)))
 
     sums = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     prior = np.array([sums[x] for x in langs], float)
@@ -172,26 +168,24 @@ def fit(labelled: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GR
     return Model(langs, np.log(prior / prior.sum()), table(words.toArrow(), "word"), by_length)
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of `docs` with lang_pred and score (0 to 1); columns of these names are replaced.
+def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """All columns of `docs` (or those of `keep`) with lang_pred and score (0 to 1), replacing columns so named.
 
     Null texts and texts without a letter: "und", 0. A text of letters of which nothing is known takes the most
     frequent language. An empty table gives no rows; repeated rows are predicted alike. Whole texts are read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    kinds = dict(docs.dtypes)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():  # noqa: ANN202
         scorer = Scorer(shared.value)
-        for b in batches:
-            found = [scorer.predict(x.as_py()) for x in b.column(0)]
-            langs, scores = zip(*found) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names[1:], "lang_pred", "score"])
 
-    inner = docs.select(F.col(text).cast("string").alias("t"), *[F.col(c).alias(f"x{i}") for i, c in enumerate(keep)])
-    out = inner.mapInArrow(run, ", ".join([*(f"x{i} {kinds[c]}" for i, c in enumerate(keep)), "lang_pred string", "score double"]))
-    return out.select(*[F.col(f"x{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
+        def run(texts: pa.Array) -> Iterator[tuple[int, list[pa.Array]]]:
+            found = [scorer.predict(x.as_py()) for x in texts]
+            yield len(found), [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
+
+        return run
+
+    return map_column(docs, text, "string", make, {"lang_pred": "string", "score": "double"}, keep)
 
 
 def remainder(doc_id: Column) -> Column:

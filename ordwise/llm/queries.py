@@ -151,7 +151,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = language_id.remainder(F.col("doc_id"))
     model = language_id.fit(docs.where(rest != 2).select("lang", "text"))
     held = F.coalesce(rest == 2, F.lit(False)).alias("held_out")
-    return language_id.predict(docs.select("doc_id", "text", held), model).select("doc_id", "held_out", "lang_pred", "score")
+    return language_id.predict(docs.select("doc_id", "text", held), model, keep=["doc_id", "held_out"])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +162,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_classifier.learned(docs, _read(spark, sf_dir, "labels"))
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False)).alias("held_out")
-    scored = quality_classifier.score(docs.select("doc_id", "text", held), model)
+    scored = quality_classifier.score(docs.select("doc_id", "text", held), model, keep=["doc_id", "held_out"])
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= quality_classifier.THRESHOLD).cast("int").alias("predicted"))
 
 
