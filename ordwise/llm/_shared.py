@@ -113,10 +113,12 @@ def map_column(df: DataFrame, column: str, kind: str, make, outs: dict[str, str]
     def run(batches):  # noqa: ANN001, ANN202
         fn = make()
         for b in batches:
-            done = 0
+            done = 0  # rows of the batch that are dealt with
             for rows, arrays in fn(b.column(at)):
                 yield pa.RecordBatch.from_arrays([*b.slice(done, rows).columns[: len(kept)], *arrays], names)
                 done += rows
+        del fn
+        pa.default_memory_pool().release_unused()  # idle workers live on beside the next stage's
 
     schema = ", ".join([*(f"x{i} {kinds[c]}" for i, c in enumerate(kept)), *(f"y{i} {k}" for i, k in enumerate(outs.values()))])
     out = inner.mapInArrow(run, schema)

@@ -20,8 +20,7 @@ _SPLIT = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded again: n_tokens, a digest of the ids, and whether the text came back."""
     model = sentencepiece_codec.load(sentencepiece_codec.MODEL)
-    coded = sentencepiece_codec.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    back = sentencepiece_codec.decode(coded, model)
+    back = sentencepiece_codec.encode_decode(_read(spark, sf_dir, "documents").select("doc_id", "text"), model)
     ids = F.sha2(F.array_join("tokens", " "), 256)
     same = F.replace(F.col("text"), F.lit("\u2581"), F.lit(" ")) == F.col("decoded")
     return back.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), ids.alias("tokens_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("round_trip"))

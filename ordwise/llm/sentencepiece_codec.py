@@ -33,8 +33,8 @@ MARK = "▁"
 #: The public model that the registered query encodes with.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words whose codes a task keeps, and bytes of text that are encoded at once.
-CACHE_WORDS = 250_000
-BATCH_BYTES = 1_500_000
+CACHE_WORDS = 150_000
+BATCH_BYTES = 1_000_000
 _UNKNOWN = -1
 
 
@@ -254,18 +254,45 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", output:
     Null texts have null ids, empty ones none. Repeated rows, other columns and their names don't matter; a column
     named `output` is replaced. Long texts are encoded whole.
     """
+    return _coded(docs, vocabulary, text, {output: "array<int>"})
+
+
+def encode_decode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", output: str = "tokens", back: str = "decoded") -> DataFrame:
+    """As `encode`, with the text decoded from the ids again in column `back`, by the same worker in one pass."""
+    return _coded(docs, vocabulary, text, {output: "array<int>", back: "string"})
+
+
+def _coded(docs: DataFrame, vocabulary: Vocabulary, text: str, outs: dict[str, str]) -> DataFrame:
     model = _shared(docs.sparkSession, vocabulary)
 
     def make():  # noqa: ANN202
         coder = Encoder(model.value)  # goes with its task, so that workers don't keep memory
+        decoder = Decoder(model.value) if len(outs) > 1 else None
 
         def run(texts: pa.Array) -> Iterator[tuple[int, list[pa.Array]]]:
             for part in _by_chars(texts):
-                yield len(part), [_lists(coder.encode(part.to_pylist()))]
+                ids = coder.encode(part.to_pylist())
+                back = [pa.array(map(decoder.text, ids), pa.string())] if decoder else []
+                yield len(part), [_lists(ids), *back]
 
         return run
 
-    return map_column(docs, text, "string", make, {output: "array<int>"})
+    return map_column(docs, text, "string", make, outs)
+
+
+class Decoder:
+    """Ids to text."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.piece, self.first = vocabulary.bytes_of().__getitem__, vocabulary.dummy_prefix
+
+    def text(self, ids: np.ndarray | None) -> str | None:
+        if ids is None:
+            return None
+        if ids.min(initial=0) < 0:
+            raise ValueError("negative token id")
+        t = b"".join(map(self.piece, ids.tolist()))
+        return (t[1:] if self.first and t[:1] == b" " else t).decode("utf-8", "replace")
 
 
 def _by_chars(texts: pa.Array) -> Iterator[pa.Array]:
@@ -294,20 +321,14 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, tokens: str = "tokens", outp
     model = _shared(rows.sparkSession, vocabulary)
 
     def make():  # noqa: ANN202
-        v = model.value
-        piece, first = v.bytes_of().__getitem__, v.dummy_prefix
+        decoder = Decoder(model.value)
 
         def run(ids: pa.Array) -> Iterator[tuple[int, list[pa.Array]]]:
             ends, null = ids.offsets.to_numpy(), np.asarray(ids.is_null())
             flat = ids.values.to_numpy(zero_copy_only=False)
-            if len(flat) and flat[ends[0] : ends[-1]].min(initial=0) < 0:
-                raise ValueError("negative token id")
             for at in range(0, len(ids), 256):
-                texts = []
-                for i in range(at, min(at + 256, len(ids))):
-                    t = b"".join(map(piece, flat[ends[i] : ends[i + 1]].tolist()))
-                    texts.append(None if null[i] else (t[1:] if first and t[:1] == b" " else t).decode("utf-8", "replace"))
-                yield len(texts), [pa.array(texts, pa.string())]
+                rows = range(at, min(at + 256, len(ids)))
+                yield len(rows), [pa.array([None if null[i] else decoder.text(flat[ends[i] : ends[i + 1]]) for i in rows], pa.string())]
 
         return run
 
