@@ -49,19 +49,19 @@ def prefix(
         w = Window.partitionBy(*partition_by).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
         return df.withColumns({n: _or(p.agg(v).over(w), i) for n, (v, p, i) in outs.items()})
     if strategy == "bucket":
-        rows = df.withColumn("__b", F.floor(F.col(order[0]) / bucket))
+        rows = df.withColumn("__prefix_bucket", F.floor(F.col(order[0]) / bucket))
     elif strategy == "range":
-        rows = materialize(df.repartitionByRange(*partition_by, *order).withColumn("__b", F.spark_partition_id()))
+        rows = materialize(df.repartitionByRange(*partition_by, *order).withColumn("__prefix_bucket", F.spark_partition_id()))
     else:
         raise ValueError(strategy)
-    keys = [*partition_by, "__b"]
-    totals = rows.groupBy(*keys).agg(*[p.agg(v).alias(f"__t{i}") for i, (v, p, _) in enumerate(outs.values())])
-    before = Window.partitionBy(*partition_by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[p.agg(F.col(f"__t{i}")).over(before).alias(f"__o{i}") for i, (_, p, _) in enumerate(outs.values())])
-    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    keys = [*partition_by, "__prefix_bucket"]
+    totals = rows.groupBy(*keys).agg(*[p.agg(v).alias(f"__prefix_total{i}") for i, (v, p, _) in enumerate(outs.values())])
+    before = Window.partitionBy(*partition_by).orderBy("__prefix_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select(*[F.col(k).alias(f"__prefix_key{i}") for i, k in enumerate(keys)], *[p.agg(F.col(f"__prefix_total{i}")).over(before).alias(f"__prefix_before{i}") for i, (_, p, _) in enumerate(outs.values())])
+    same = [F.col(k).eqNullSafe(F.col(f"__prefix_key{i}")) for i, k in enumerate(keys)]
     within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
     joined = rows.join(base, same)
-    out = joined.withColumns({n: _or(p.merge(F.col(f"__o{i}"), p.agg(v).over(within)), d) for i, (n, (v, p, d)) in enumerate(outs.items())})
+    out = joined.withColumns({n: _or(p.merge(F.col(f"__prefix_before{i}"), p.agg(v).over(within)), d) for i, (n, (v, p, d)) in enumerate(outs.items())})
     return out.select(*df.columns, *[n for n in outs if n not in df.columns])
 
 
