@@ -247,13 +247,15 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     return fps.join(named, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
 
 
-def drop_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
+def drop_duplicates(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """The rows of `docs` that stay: of each group the document with the least doc_id; columns unchanged.
 
+    groups: doc_id and component_id of every row; None: those of `near_duplicates`.
+
     Of rows that repeat a staying doc_id, the least by all columns stays. Rows without doc_id all stay, for none of
     them can be named.
     """
-    groups = near_duplicates(docs, budget)
+    groups = cut(near_duplicates(docs) if groups is None else groups, "groups")
     first = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__n"))
     first = cut(first, "first")
     rows = join_small(docs, first, F.col("doc_id").cast("long") == F.col("__id"))
