@@ -159,12 +159,16 @@ def word_hashes(texts: Iterable[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
 class _Bucket:
     """The words of a bucket's documents that take part: those with an id that are no later copies."""
 
-    def __init__(self, table: pa.Table, later: np.ndarray, window: int) -> None:
+    def __init__(self, table: pa.Table, later: list[np.ndarray], window: int) -> None:
         ids = table.column("__id")
         self.known = ~np.asarray(ids.is_null())
         self.ids = ids.fill_null(0).to_numpy().astype(np.int64)
-        self.later = np.isin(self.ids, later) & self.known if len(later) else np.zeros(len(self.ids), bool)
         texts = table.column("__text").to_pylist()
+        self.later = np.isin(self.ids, later[0]) & self.known if len(later[0]) else np.zeros(len(self.ids), bool)
+        copies = set(zip(*(x.tolist() for x in later)))
+        for i in np.flatnonzero(self.later):  # another row of the same id may have a text of its own
+            d = hashlib.md5(texts[i] or b"").hexdigest()
+            self.later[i] = (int(self.ids[i]), int(d[:15], 16), int(d[15:30], 16)) in copies
         self.h, self.counts = word_hashes(t if k and not c else None for t, k, c in zip(texts, self.known, self.later))
         self.row = np.repeat(np.arange(len(self.counts)), self.counts)
         self.doc = self.ids[self.row]
@@ -231,7 +235,7 @@ def _reply(bucket: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> p
     return pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(np.ones(len(a), np.int32)), pa.array(a), pa.array(b), pa.array(c)], ["bucket", "kind", "a", "b", "c"])
 
 
-_REPLY = "bucket int, kind int, a long, b long, c long"  # kind 0: a is the id of a later copy; 1: an answer
+_REPLY = "bucket int, kind int, a long, b long, c long"  # kind 0: a is the id of a later copy, b and c are of its digest; 1: an answer
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, output: str = "digest", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -253,8 +257,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, output: str = "digest
     n = max(1, -(-total // bucket_bytes))
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     first = cut(seen.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("d"), "first"), "copied")
-    later = seen.join(first, F.col("digest") == F.col("d")).where("doc_id > first").select("doc_id").distinct()
-    later = cut(later.select(bucket(F.col("doc_id")).alias("bucket"), F.lit(0).alias("kind"), F.col("doc_id").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("c")), "later")
+    later = seen.join(first, F.col("digest") == F.col("d")).where("doc_id > first").select("doc_id", "digest").distinct()
+    part = lambda at: F.conv(F.substring("digest", at, 15), 16, 10).cast("long")
+    later = cut(later.select(bucket(F.col("doc_id")).alias("bucket"), F.lit(0).alias("kind"), F.col("doc_id").alias("a"), part(1).alias("b"), part(16).alias("c")), "later")
 
     outs = [c for c in docs.columns if c not in ("n_words", "n_removed")]
     extra = [c for c in outs if c != "text"] if output == "text" else []
@@ -266,7 +271,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, output: str = "digest
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             kind = right.column("kind").to_numpy()
             a, b, c = (right.column(x).to_numpy() for x in "abc")
-            return fn(left, _Bucket(left, a[kind == 0], window), a[kind == 1], b[kind == 1], c[kind == 1])
+            return fn(left, _Bucket(left, [x[kind == 0] for x in (a, b, c)], window), a[kind == 1], b[kind == 1], c[kind == 1])
 
         return run
 

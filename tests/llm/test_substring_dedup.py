@@ -82,3 +82,10 @@ def test_windows_name_their_interior_alike_in_any_surroundings():
             doc = np.r_[np.zeros(len(before) // 2), np.ones(len(h) - len(before) // 2)].astype(int)
             seen.append(sd.anchors(h, doc, 13)[len(before) : len(before) + 18].tolist())
         assert all(x == seen[0] for x in seen)
+
+
+def test_rows_of_one_id_are_judged_apart(spark):
+    texts = [" ".join(f"{x}{i}" for i in range(20)) for x in "abc"]
+    rows = [(3, texts[0]), (5, texts[0]), (5, texts[1]), (8, texts[1]), (9, texts[2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, sd.substring_dedup(df).collect()), key=str) == brute(rows, 13)
