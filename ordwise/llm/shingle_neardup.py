@@ -14,10 +14,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordwise.llm._shared import cut
+from ordwise.llm._shared import cut, join_small
 from ordwise.llm.components import connected_components
 from ordwise.llm.simhash_neardup import _LOWER
 
@@ -57,21 +57,26 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return same / (len(both) - same) if len(both) else 1.0
 
 
+def _named() -> list[Column]:
+    """What tells rows apart, up to rows of one id and text."""
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("digest")]
+
+
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, class, its shingles as bytes and its bands, one row per document."""
+    """doc_id, digest of the text, class, its shingles as bytes and its bands, one row per document."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                sets = [shingles(x.as_py(), shingle) for x in part.column(1)]
+                sets = [shingles(x.as_py(), shingle) for x in part.column(2)]
                 raw = [s.tobytes() for s in sets]
                 key = np.array([xxhash.xxh64_intdigest(r) for r in raw], _U).view(np.int64)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(sets) + 1, BANDS, dtype=np.int32)), pa.array(np.concatenate([band_keys(s) for s in sets])))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(key), pa.array(raw, pa.binary()), bands], ["doc_id", "class", "grams", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(key), pa.array(raw, pa.binary()), bands], ["doc_id", "digest", "class", "grams", "bands"])
         pa.default_memory_pool().release_unused()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, class long, grams binary, bands array<long>")
+    return docs.select(*_named(), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, digest string, class long, grams binary, bands array<long>")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -90,8 +95,8 @@ def _confirm(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def class_roots(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, class) of every row of (doc_id, text), and (node, root) of the classes that link to another one."""
+def row_roots(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, digest of the text and root (a name of the row's group) of every row of (doc_id, text)."""
     sets = cut(_sets(docs, shingle), "shingles")
     posted = cut(sets.select("class", F.explode("bands").alias("band")).distinct(), "bands")
     hubs = posted.groupBy("band").agg(F.min("class").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -112,7 +117,8 @@ def class_roots(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRE
     across = cut(across.join(stars, ["u", "v"], "left_anti").select("u", "v"), "across")
     if across.limit(1).count():
         roots = connected_components(links.unionByName(_confirm(across, sets, threshold)))
-    return sets.select("doc_id", "class"), roots
+    rows = sets.select("doc_id", "digest", "class").join(roots, F.col("class") == F.col("node"), "left")
+    return cut(rows.select("doc_id", "digest", F.coalesce("root", "class").alias("root")), "row-roots")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
@@ -122,7 +128,27 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float =
     with each other; a null doc_id is in a component but never names it unless nothing else does; an empty table
     gives no rows.
     """
-    rows, roots = class_roots(docs, shingle, threshold)
-    rows = cut(rows.join(roots, F.col("class") == F.col("node"), "left").select("doc_id", F.coalesce("root", "class").alias("root")), "class-roots")
+    rows = row_roots(docs, shingle, threshold)
     names = cut(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("root", "r"), "names")
     return rows.join(names, F.col("root") == F.col("r")).select("doc_id", "component_id")
+
+
+def drop_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs` that stay, one of each group: that of the least doc_id, null ids last; columns unchanged.
+
+    Of several rows with that id, or of rows without one, the least by all columns stays.
+    """
+    rows = row_roots(docs, shingle, threshold)
+    names = cut(rows.groupBy("root").agg(F.min("doc_id").alias("least")).withColumnRenamed("root", "r"), "names")
+    first = rows.join(names, (F.col("root") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("least")))
+    first = cut(first.groupBy("root", "doc_id", "digest").agg(F.count(F.lit(1)).alias("n")), "first")
+    size = cut(first.groupBy("root").agg(F.sum("n").alias("__n")).withColumnRenamed("root", "r"), "sizes")
+    stay = first.join(size, F.col("root") == F.col("r")).select(F.col("root").alias("__root"), F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), "__n")
+    stay = cut(stay, "stay")
+    ident, digest = _named()
+    found = join_small(docs, stay, ident.eqNullSafe(F.col("__id")) & (digest == F.col("__digest")))
+    out = found.where("__n = 1").select(*docs.columns)
+    if stay.where("__n > 1").limit(1).count():
+        least = found.where("__n > 1").groupBy("__root").agg(F.min(F.struct(*docs.columns)).alias("r"))
+        out = out.unionByName(least.select("r.*"))
+    return out
