@@ -326,6 +326,29 @@ _register(
     "SELECT o_orderkey AS pos, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 5 = 0 AND c_custkey % 2 = 1",
 )
 
+# the same over whole tables: keys of customers are offset, so that both sides have unmatched rows
+
+_WJA, _WJB = "a AS (SELECT o_orderkey AS pos, o_custkey AS k FROM orders)", "b AS (SELECT c_custkey AS pos, c_custkey + 50 AS k FROM customer)"
+
+
+def _whole_join_sides(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return _needles(s, d), read_table(s, d, "customer").selectExpr("c_custkey AS pos", "c_custkey + 50 AS k")
+
+
+for _k, _sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("full", "FULL JOIN")):
+    _register(
+        f"join_{_k}_whole",
+        lambda s, d, k=_k: joins.relational_join(*_whole_join_sides(s, d), k, ordered=True, sentinel=-1),
+        f"WITH {_WJA}, {_WJB} SELECT coalesce(a.pos, -1) AS a_pos, coalesce(b.pos, -1) AS b_pos, row_number() OVER (ORDER BY a.pos NULLS LAST, b.pos) - 1 AS rank FROM a {_sql} b ON a.k = b.k",
+    )
+_register("join_semi_whole", lambda s, d: joins.semi_join(*_whole_join_sides(s, d)), f"WITH {_WJA}, {_WJB} SELECT * FROM a WHERE k IN (SELECT k FROM b)")
+_register("join_anti_whole", lambda s, d: joins.anti_join(*_whole_join_sides(s, d)), f"WITH {_WJA}, {_WJB} SELECT * FROM a WHERE k NOT IN (SELECT k FROM b)")
+_register(
+    "join_payload_whole",
+    lambda s, d: compact.gather(joins.relational_join(*_whole_join_sides(s, d)).select(F.col("a_pos").alias("pos"), F.col("b_pos").alias("i")), read_table(s, d, "customer").selectExpr("c_custkey AS pos", "c_name")),
+    "SELECT o_orderkey AS pos, c_name FROM orders JOIN customer ON o_custkey = c_custkey + 50",
+)
+
 
 # multisets
 
@@ -364,10 +387,11 @@ _register("sort_network", lambda s, d: read_table(s, d, "lineitem").selectExpr("
 _MERGE = "x AS (SELECT o_custkey // 3 AS k, o_orderkey AS v FROM orders WHERE o_orderkey % 4 = 0), a AS (SELECT *, row_number() OVER (ORDER BY k, v) - 1 AS pos FROM x), y AS (SELECT c_custkey // 2 AS k, -c_custkey AS v FROM customer), b AS (SELECT *, row_number() OVER (ORDER BY k, v) - 1 AS pos FROM y), u AS (SELECT k, v, 0 AS s, pos FROM a UNION ALL SELECT k, v, 1, pos FROM b), m AS (SELECT k, v, s, row_number() OVER (ORDER BY k, s, pos) - 1 AS out FROM u)"
 
 
-def _sorted_sides(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _sorted_sides(s: SparkSession, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     from ordwise.operators.positional import with_pos
 
-    a = read_table(s, d, "orders").where("o_orderkey % 4 = 0").selectExpr("CAST(floor(o_custkey / 3) AS BIGINT) AS k", "o_orderkey AS v")
+    o = read_table(s, d, "orders")
+    a = (o if whole else o.where("o_orderkey % 4 = 0")).selectExpr("CAST(floor(o_custkey / 3) AS BIGINT) AS k", "o_orderkey AS v")
     b = read_table(s, d, "customer").selectExpr("CAST(floor(c_custkey / 2) AS BIGINT) AS k", "-c_custkey AS v")
     return with_pos(a, ["k", "v"]), with_pos(b, ["k", "v"])
 
@@ -380,6 +404,18 @@ _register(
     f"WITH {_MERGE}, n AS (SELECT count(*) AS n FROM m), p AS (SELECT part, least(part * 700, n) AS diagonal FROM (SELECT unnest(generate_series(0, ceil(n / 700)::BIGINT)) AS part, n FROM n)) SELECT part, diagonal, count(CASE WHEN s = 0 THEN 1 END) AS a_count, diagonal - count(CASE WHEN s = 0 THEN 1 END) AS b_count FROM p LEFT JOIN m ON out < diagonal GROUP BY part, diagonal",
 )
 
+# the same over all orders
+
+_WMERGE = "x AS (SELECT o_custkey // 3 AS k, o_orderkey AS v FROM orders), a AS (SELECT *, row_number() OVER (ORDER BY k, v) - 1 AS pos FROM x), y AS (SELECT c_custkey // 2 AS k, -c_custkey AS v FROM customer), b AS (SELECT *, row_number() OVER (ORDER BY k, v) - 1 AS pos FROM y), u AS (SELECT k, v, 0 AS s, pos FROM a UNION ALL SELECT k, v, 1, pos FROM b), m AS (SELECT k, v, s, row_number() OVER (ORDER BY k, s, pos) - 1 AS out FROM u)"
+
+_register("merge_keys_whole", lambda s, d: sorting.merge_keys(*_sorted_sides(s, d, whole=True)), f"WITH {_WMERGE} SELECT out, k FROM m")
+_register("merge_pairs_whole", lambda s, d: sorting.merge_pairs(*_sorted_sides(s, d, whole=True)), f"WITH {_WMERGE} SELECT out, k, v FROM m")
+_register(
+    "merge_path_partitions_whole",
+    lambda s, d: search.merge_path_partitions(*_sorted_sides(s, d, whole=True), 700),
+    f"WITH {_WMERGE}, n AS (SELECT count(*) AS n FROM m), p AS (SELECT part, least(part * 700, n) AS diagonal FROM (SELECT unnest(generate_series(0, ceil(n / 700)::BIGINT)) AS part, n FROM n)) SELECT part, diagonal, count(CASE WHEN s = 0 THEN 1 END) AS a_count, diagonal - count(CASE WHEN s = 0 THEN 1 END) AS b_count FROM p LEFT JOIN m ON out < diagonal GROUP BY part, diagonal",
+)
+
 _SEG = f"{_E}, s AS (SELECT pos, v, sum(CASE WHEN pos > 0 AND v % 7 = 0 THEN 1 ELSE 0 END) OVER (ORDER BY pos)::BIGINT AS seg_id FROM e)"
 _register(
     "segsort_flags",
