@@ -358,14 +358,23 @@ _CNT = "ca AS (SELECT k, count(*) AS n FROM a GROUP BY k), cb AS (SELECT k, coun
 _OCC = "pa AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY pos) - 1 AS occ FROM a), pb AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY pos) - 1 AS occ FROM b), j AS (SELECT coalesce(pa.k, pb.k) AS k, coalesce(pa.occ, pb.occ) AS occ, coalesce(pa.v, pb.v) AS v, pa.v IS NOT NULL AS ia, pb.v IS NOT NULL AS ib FROM pa FULL JOIN pb ON pa.k = pb.k AND pa.occ = pb.occ)"
 
 
-def _set_sides(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return read_table(s, d, "part").selectExpr("p_partkey AS pos", "p_size AS k", "p_partkey AS v"), read_table(s, d, "customer").where("c_custkey < 1000").selectExpr("c_custkey AS pos", "c_nationkey + 20 AS k", "-c_custkey AS v")
+def _set_sides(s: SparkSession, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    c = read_table(s, d, "customer")
+    return read_table(s, d, "part").selectExpr("p_partkey AS pos", "p_size AS k", "p_partkey AS v"), (c if whole else c.where("c_custkey < 1000")).selectExpr("c_custkey AS pos", "c_nationkey + 20 AS k", "-c_custkey AS v")
 
 
 for _op, _short, _times, _has in (("intersection", "intersect", "least(x, y)", "ia AND ib"), ("union", "union_max", "greatest(x, y)", "true"), ("difference", "diff", "greatest(x - y, 0)", "ia AND NOT ib"), ("symmetric", "symdiff", "abs(x - y)", "ia <> ib")):
     _register(f"set_{_short}", lambda s, d, op=_op: sets.set_keys(*_set_sides(s, d), op), f"WITH {_SA}, {_SB}, {_CNT} SELECT k FROM (SELECT k, unnest(generate_series(1, {_times})) FROM c)")
     _register(f"set_{_short}_pairs", lambda s, d, op=_op: sets.set_pairs(*_set_sides(s, d), op, ranked=True), f"WITH {_SA}, {_SB}, {_OCC} SELECT k, occ, v, row_number() OVER (ORDER BY k, occ) - 1 AS out FROM j WHERE {_has}")
 
+# the same over all customers
+
+_WSB = "b AS (SELECT c_custkey AS pos, c_nationkey + 20 AS k, -c_custkey AS v FROM customer)"
+
+for _op, _short, _times, _has in (("intersection", "intersect", "least(x, y)", "ia AND ib"), ("union", "union_max", "greatest(x, y)", "true"), ("difference", "diff", "greatest(x - y, 0)", "ia AND NOT ib"), ("symmetric", "symdiff", "abs(x - y)", "ia <> ib")):
+    _register(f"set_{_short}_whole", lambda s, d, op=_op: sets.set_keys(*_set_sides(s, d, whole=True), op), f"WITH {_SA}, {_WSB}, {_CNT} SELECT k FROM (SELECT k, unnest(generate_series(1, {_times})) FROM c)")
+    _register(f"set_{_short}_pairs_whole", lambda s, d, op=_op: sets.set_pairs(*_set_sides(s, d, whole=True), op, ranked=True), f"WITH {_SA}, {_WSB}, {_OCC} SELECT k, occ, v, row_number() OVER (ORDER BY k, occ) - 1 AS out FROM j WHERE {_has}")
+
 
 # sorts
 
@@ -446,6 +455,17 @@ def matmul(s: SparkSession, d: str) -> DataFrame:
     return numeric.matmul(*_matrix(s, d))
 
 
+@query(
+    """WITH e AS (SELECT vec_id AS k, unnest(range(0, len(embedding))) AS i, round(unnest(embedding)::DOUBLE * 1000)::BIGINT AS v FROM embeddings)
+SELECT a.i, b.i AS j, sum(a.v * b.v)::BIGINT AS v FROM e a JOIN e b ON a.k = b.k GROUP BY a.i, b.i"""
+)
+def matmul_whole(s: SparkSession, d: str) -> DataFrame:
+    """The transpose of all vectors times themselves: as large as a vector is long, squared, whatever their number."""
+    e = read_table(s, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("j", "x"))
+    e = e.selectExpr("CAST(j AS BIGINT) AS i", "vec_id AS k", "CAST(round(x * 1000) AS BIGINT) AS v")
+    return numeric.matmul(e, e.select("k", F.col("i").alias("j"), "v"))
+
+
 @query("SELECT o_orderkey AS sys_id, [1.0, 2.0, 3.0]::DOUBLE[] AS x FROM orders")
 def tridiagonal(s: SparkSession, d: str) -> DataFrame:
     """One system per order whose solution is (1, 2, 3)."""

@@ -38,3 +38,9 @@ def test_every_order_and_customer_enters(spark, tables):
     rows = catalogue.QUERIES["join_full_whole"](spark, tables).collect()
     assert {r.a_pos for r in rows} == {-1, *range(1, 401)} and {r.b_pos for r in rows} == {-1, *range(1, 1201)}
     assert catalogue.QUERIES["merge_pairs_whole"](spark, tables).count() == 400 + 1200
+
+
+def test_every_customer_and_vector_enters(spark, tables):
+    assert catalogue.QUERIES["set_union_max_pairs_whole"](spark, tables).count() >= 1200
+    got = {(r.i, r.j): r.v for r in catalogue.QUERIES["matmul_whole"](spark, tables).collect()}
+    assert got[2, 2] == 200 * 1000 * 1000
