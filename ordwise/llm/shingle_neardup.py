@@ -2,8 +2,9 @@
 
 Documents of one shingle set are one class before that. Classes that share a band are compared in two rounds: every
 class with the least one of its bands; then, in bands that these links leave in several components, all pairs across
-components. So each pair that shares a band is compared unless links already connect it, and a large group of
-near copies costs one comparison a member and band, not one a pair. A pair at the threshold of 0.8 shares none of
+components. So each pair that shares a band is compared unless links already connect it. A large group of
+near copies at the threshold costs one comparison a member and band; one that shares bands below the threshold costs
+one a pair, so it grows with the square of its size. A pair at the threshold of 0.8 shares none of
 32 bands of four with probability 5e-8.
 """
 
