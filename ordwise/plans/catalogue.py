@@ -303,13 +303,13 @@ _register("interval_scatter", lambda s, d: intervals.interval_scatter(_intervals
 _register("interval_move", lambda s, d: intervals.interval_move(_intervals(s, d), _orders(s, d)), f"WITH {_PARTS}, {_O} SELECT g.pos * 4 + rank AS pos, o.v FROM g JOIN o ON o.pos = g.pos * 2 + rank")
 
 
-# joins: orders by customer with odd customers, so that both sides have unmatched rows
+# joins: orders by customer; keys of customers are offset, so that both sides have unmatched rows
 
-_JA, _JB = "a AS (SELECT o_orderkey AS pos, o_custkey AS k FROM orders WHERE o_orderkey % 5 = 0)", "b AS (SELECT c_custkey AS pos, c_custkey AS k FROM customer WHERE c_custkey % 2 = 1)"
+_JA, _JB = "a AS (SELECT o_orderkey AS pos, o_custkey AS k FROM orders)", "b AS (SELECT c_custkey AS pos, c_custkey + 50 AS k FROM customer)"
 
 
 def _join_sides(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return _needles(s, d).where("pos % 5 = 0"), read_table(s, d, "customer").where("c_custkey % 2 = 1").selectExpr("c_custkey AS pos", "c_custkey AS k")
+    return _needles(s, d), read_table(s, d, "customer").selectExpr("c_custkey AS pos", "c_custkey + 50 AS k")
 
 
 for _k, _sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("full", "FULL JOIN")):
@@ -323,29 +323,6 @@ _register("join_anti", lambda s, d: joins.anti_join(*_join_sides(s, d)), f"WITH
 _register(
     "join_payload",
     lambda s, d: compact.gather(joins.relational_join(*_join_sides(s, d)).select(F.col("a_pos").alias("pos"), F.col("b_pos").alias("i")), read_table(s, d, "customer").selectExpr("c_custkey AS pos", "c_name")),
-    "SELECT o_orderkey AS pos, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 5 = 0 AND c_custkey % 2 = 1",
-)
-
-# the same over whole tables: keys of customers are offset, so that both sides have unmatched rows
-
-_WJA, _WJB = "a AS (SELECT o_orderkey AS pos, o_custkey AS k FROM orders)", "b AS (SELECT c_custkey AS pos, c_custkey + 50 AS k FROM customer)"
-
-
-def _whole_join_sides(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return _needles(s, d), read_table(s, d, "customer").selectExpr("c_custkey AS pos", "c_custkey + 50 AS k")
-
-
-for _k, _sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("full", "FULL JOIN")):
-    _register(
-        f"join_{_k}_whole",
-        lambda s, d, k=_k: joins.relational_join(*_whole_join_sides(s, d), k, ordered=True, sentinel=-1),
-        f"WITH {_WJA}, {_WJB} SELECT coalesce(a.pos, -1) AS a_pos, coalesce(b.pos, -1) AS b_pos, row_number() OVER (ORDER BY a.pos NULLS LAST, b.pos) - 1 AS rank FROM a {_sql} b ON a.k = b.k",
-    )
-_register("join_semi_whole", lambda s, d: joins.semi_join(*_whole_join_sides(s, d)), f"WITH {_WJA}, {_WJB} SELECT * FROM a WHERE k IN (SELECT k FROM b)")
-_register("join_anti_whole", lambda s, d: joins.anti_join(*_whole_join_sides(s, d)), f"WITH {_WJA}, {_WJB} SELECT * FROM a WHERE k NOT IN (SELECT k FROM b)")
-_register(
-    "join_payload_whole",
-    lambda s, d: compact.gather(joins.relational_join(*_whole_join_sides(s, d)).select(F.col("a_pos").alias("pos"), F.col("b_pos").alias("i")), read_table(s, d, "customer").selectExpr("c_custkey AS pos", "c_name")),
     "SELECT o_orderkey AS pos, c_name FROM orders JOIN customer ON o_custkey = c_custkey + 50",
 )
 
@@ -353,28 +330,19 @@ _register(
 # multisets
 
 _SA = "a AS (SELECT p_partkey AS pos, p_size AS k, p_partkey AS v FROM part)"
-_SB = "b AS (SELECT c_custkey AS pos, c_nationkey + 20 AS k, -c_custkey AS v FROM customer WHERE c_custkey < 1000)"
+_SB = "b AS (SELECT c_custkey AS pos, c_nationkey + 20 AS k, -c_custkey AS v FROM customer)"
 _CNT = "ca AS (SELECT k, count(*) AS n FROM a GROUP BY k), cb AS (SELECT k, count(*) AS n FROM b GROUP BY k), c AS (SELECT coalesce(ca.k, cb.k) AS k, coalesce(ca.n, 0) AS x, coalesce(cb.n, 0) AS y FROM ca FULL JOIN cb ON ca.k = cb.k)"
 _OCC = "pa AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY pos) - 1 AS occ FROM a), pb AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY pos) - 1 AS occ FROM b), j AS (SELECT coalesce(pa.k, pb.k) AS k, coalesce(pa.occ, pb.occ) AS occ, coalesce(pa.v, pb.v) AS v, pa.v IS NOT NULL AS ia, pb.v IS NOT NULL AS ib FROM pa FULL JOIN pb ON pa.k = pb.k AND pa.occ = pb.occ)"
 
 
-def _set_sides(s: SparkSession, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
-    c = read_table(s, d, "customer")
-    return read_table(s, d, "part").selectExpr("p_partkey AS pos", "p_size AS k", "p_partkey AS v"), (c if whole else c.where("c_custkey < 1000")).selectExpr("c_custkey AS pos", "c_nationkey + 20 AS k", "-c_custkey AS v")
+def _set_sides(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return read_table(s, d, "part").selectExpr("p_partkey AS pos", "p_size AS k", "p_partkey AS v"), read_table(s, d, "customer").selectExpr("c_custkey AS pos", "c_nationkey + 20 AS k", "-c_custkey AS v")
 
 
 for _op, _short, _times, _has in (("intersection", "intersect", "least(x, y)", "ia AND ib"), ("union", "union_max", "greatest(x, y)", "true"), ("difference", "diff", "greatest(x - y, 0)", "ia AND NOT ib"), ("symmetric", "symdiff", "abs(x - y)", "ia <> ib")):
     _register(f"set_{_short}", lambda s, d, op=_op: sets.set_keys(*_set_sides(s, d), op), f"WITH {_SA}, {_SB}, {_CNT} SELECT k FROM (SELECT k, unnest(generate_series(1, {_times})) FROM c)")
     _register(f"set_{_short}_pairs", lambda s, d, op=_op: sets.set_pairs(*_set_sides(s, d), op, ranked=True), f"WITH {_SA}, {_SB}, {_OCC} SELECT k, occ, v, row_number() OVER (ORDER BY k, occ) - 1 AS out FROM j WHERE {_has}")
 
-# the same over all customers
-
-_WSB = "b AS (SELECT c_custkey AS pos, c_nationkey + 20 AS k, -c_custkey AS v FROM customer)"
-
-for _op, _short, _times, _has in (("intersection", "intersect", "least(x, y)", "ia AND ib"), ("union", "union_max", "greatest(x, y)", "true"), ("difference", "diff", "greatest(x - y, 0)", "ia AND NOT ib"), ("symmetric", "symdiff", "abs(x - y)", "ia <> ib")):
-    _register(f"set_{_short}_whole", lambda s, d, op=_op: sets.set_keys(*_set_sides(s, d, whole=True), op), f"WITH {_SA}, {_WSB}, {_CNT} SELECT k FROM (SELECT k, unnest(generate_series(1, {_times})) FROM c)")
-    _register(f"set_{_short}_pairs_whole", lambda s, d, op=_op: sets.set_pairs(*_set_sides(s, d, whole=True), op, ranked=True), f"WITH {_SA}, {_WSB}, {_OCC} SELECT k, occ, v, row_number() OVER (ORDER BY k, occ) - 1 AS out FROM j WHERE {_has}")
-
 
 # sorts
 
@@ -393,14 +361,13 @@ _register("locality_sort", lambda s, d: sorting.locality_sort_pairs(_keyed(s, d)
 _register("block_sort", lambda s, d: sorting.block_sort(_keyed(s, d), 256), f"WITH {_KEYS} SELECT pos, k, v, row_number() OVER (ORDER BY pos // 256, k, pos) - 1 AS out FROM o")
 _register("sort_network", lambda s, d: read_table(s, d, "lineitem").selectExpr("array(l_partkey, l_suppkey, l_orderkey) AS a").select(sorting.sort_network(F.col("a")).alias("sorted")), "SELECT list_sort([l_partkey, l_suppkey, l_orderkey]) AS sorted FROM lineitem")
 
-_MERGE = "x AS (SELECT o_custkey // 3 AS k, o_orderkey AS v FROM orders WHERE o_orderkey % 4 = 0), a AS (SELECT *, row_number() OVER (ORDER BY k, v) - 1 AS pos FROM x), y AS (SELECT c_custkey // 2 AS k, -c_custkey AS v FROM customer), b AS (SELECT *, row_number() OVER (ORDER BY k, v) - 1 AS pos FROM y), u AS (SELECT k, v, 0 AS s, pos FROM a UNION ALL SELECT k, v, 1, pos FROM b), m AS (SELECT k, v, s, row_number() OVER (ORDER BY k, s, pos) - 1 AS out FROM u)"
+_MERGE = "x AS (SELECT o_custkey // 3 AS k, o_orderkey AS v FROM orders), a AS (SELECT *, row_number() OVER (ORDER BY k, v) - 1 AS pos FROM x), y AS (SELECT c_custkey // 2 AS k, -c_custkey AS v FROM customer), b AS (SELECT *, row_number() OVER (ORDER BY k, v) - 1 AS pos FROM y), u AS (SELECT k, v, 0 AS s, pos FROM a UNION ALL SELECT k, v, 1, pos FROM b), m AS (SELECT k, v, s, row_number() OVER (ORDER BY k, s, pos) - 1 AS out FROM u)"
 
 
-def _sorted_sides(s: SparkSession, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+def _sorted_sides(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     from ordwise.operators.positional import with_pos
 
-    o = read_table(s, d, "orders")
-    a = (o if whole else o.where("o_orderkey % 4 = 0")).selectExpr("CAST(floor(o_custkey / 3) AS BIGINT) AS k", "o_orderkey AS v")
+    a = read_table(s, d, "orders").selectExpr("CAST(floor(o_custkey / 3) AS BIGINT) AS k", "o_orderkey AS v")
     b = read_table(s, d, "customer").selectExpr("CAST(floor(c_custkey / 2) AS BIGINT) AS k", "-c_custkey AS v")
     return with_pos(a, ["k", "v"]), with_pos(b, ["k", "v"])
 
@@ -413,18 +380,6 @@ _register(
     f"WITH {_MERGE}, n AS (SELECT count(*) AS n FROM m), p AS (SELECT part, least(part * 700, n) AS diagonal FROM (SELECT unnest(generate_series(0, ceil(n / 700)::BIGINT)) AS part, n FROM n)) SELECT part, diagonal, count(CASE WHEN s = 0 THEN 1 END) AS a_count, diagonal - count(CASE WHEN s = 0 THEN 1 END) AS b_count FROM p LEFT JOIN m ON out < diagonal GROUP BY part, diagonal",
 )
 
-# the same over all orders
-
-_WMERGE = "x AS (SELECT o_custkey // 3 AS k, o_orderkey AS v FROM orders), a AS (SELECT *, row_number() OVER (ORDER BY k, v) - 1 AS pos FROM x), y AS (SELECT c_custkey // 2 AS k, -c_custkey AS v FROM customer), b AS (SELECT *, row_number() OVER (ORDER BY k, v) - 1 AS pos FROM y), u AS (SELECT k, v, 0 AS s, pos FROM a UNION ALL SELECT k, v, 1, pos FROM b), m AS (SELECT k, v, s, row_number() OVER (ORDER BY k, s, pos) - 1 AS out FROM u)"
-
-_register("merge_keys_whole", lambda s, d: sorting.merge_keys(*_sorted_sides(s, d, whole=True)), f"WITH {_WMERGE} SELECT out, k FROM m")
-_register("merge_pairs_whole", lambda s, d: sorting.merge_pairs(*_sorted_sides(s, d, whole=True)), f"WITH {_WMERGE} SELECT out, k, v FROM m")
-_register(
-    "merge_path_partitions_whole",
-    lambda s, d: search.merge_path_partitions(*_sorted_sides(s, d, whole=True), 700),
-    f"WITH {_WMERGE}, n AS (SELECT count(*) AS n FROM m), p AS (SELECT part, least(part * 700, n) AS diagonal FROM (SELECT unnest(generate_series(0, ceil(n / 700)::BIGINT)) AS part, n FROM n)) SELECT part, diagonal, count(CASE WHEN s = 0 THEN 1 END) AS a_count, diagonal - count(CASE WHEN s = 0 THEN 1 END) AS b_count FROM p LEFT JOIN m ON out < diagonal GROUP BY part, diagonal",
-)
-
 _SEG = f"{_E}, s AS (SELECT pos, v, sum(CASE WHEN pos > 0 AND v % 7 = 0 THEN 1 ELSE 0 END) OVER (ORDER BY pos)::BIGINT AS seg_id FROM e)"
 _register(
     "segsort_flags",
@@ -440,26 +395,11 @@ _register(
 
 # numeric
 
-def _matrix(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    e = read_table(s, d, "embeddings").where("vec_id < 64").select("vec_id", F.posexplode("embedding").alias("j", "x"))
-    e = e.selectExpr("vec_id AS i", "CAST(j AS BIGINT) AS k", "CAST(round(x * 1000) AS BIGINT) AS v")
-    return e, e.select("k", F.col("i").alias("j"), "v")
-
-
-@query(
-    """WITH e AS (SELECT vec_id AS i, unnest(range(0, len(embedding))) AS k, round(unnest(embedding)::DOUBLE * 1000)::BIGINT AS v FROM embeddings WHERE vec_id < 64)
-SELECT a.i, b.i AS j, sum(a.v * b.v)::BIGINT AS v FROM e a JOIN e b ON a.k = b.k GROUP BY a.i, b.i"""
-)
-def matmul(s: SparkSession, d: str) -> DataFrame:
-    """A whole matrix: the product of the first 64 vectors with their transpose (a fixed size, as of a matrix test)."""
-    return numeric.matmul(*_matrix(s, d))
-
-
 @query(
     """WITH e AS (SELECT vec_id AS k, unnest(range(0, len(embedding))) AS i, round(unnest(embedding)::DOUBLE * 1000)::BIGINT AS v FROM embeddings)
 SELECT a.i, b.i AS j, sum(a.v * b.v)::BIGINT AS v FROM e a JOIN e b ON a.k = b.k GROUP BY a.i, b.i"""
 )
-def matmul_whole(s: SparkSession, d: str) -> DataFrame:
+def matmul(s: SparkSession, d: str) -> DataFrame:
     """The transpose of all vectors times themselves: as large as a vector is long, squared, whatever their number."""
     e = read_table(s, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("j", "x"))
     e = e.selectExpr("CAST(j AS BIGINT) AS i", "vec_id AS k", "CAST(round(x * 1000) AS BIGINT) AS v")
