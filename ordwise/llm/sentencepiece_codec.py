@@ -33,9 +33,8 @@ MARK = "▁"
 #: The public model that the registered query encodes with.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words whose codes a task keeps, and bytes of text that are encoded at once.
-CACHE_WORDS = 150_000
-BATCH_BYTES = 1_000_000
-_UNKNOWN = -1
+CACHE_WORDS = 600_000
+BATCH_BYTES = 4_000_000
 
 
 class Vocabulary:
@@ -52,6 +51,7 @@ class Vocabulary:
         letters = "".join(map(re.escape, sorted(alphabet)))
         # words: marks and what follows them; characters of no longer piece stand alone. A vocabulary with marks
         # inside pieces has no such places, and a whole text is one word.
+        self.apart_at_spaces = dummy_prefix and not inside
         self.words = re.compile(".+" if inside else f"{MARK}*[{letters}]+|{MARK}+|[^{MARK}{letters}]" if letters else ".", re.DOTALL)
 
     def mark(self, text: str) -> str:
@@ -123,12 +123,13 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = v = vocabulary
-        self.codes: dict[str, bytes] = {}
+        self.codes: dict[str, bytes] = {}  # of chunks between spaces
         self.again: set[str] = set()
         self.unknown_score = min((v.scores[i] for i in v.ids.values()), default=0.0) - 10.0
         # BPE: only pieces that merging their characters gives back can end an encoding
         self.usable = {p for p in v.ids if v.kind == "unigram" or len(p) == 1 or merge(p, v.ids, v.scores) == [p]}
         self.bytes_of = {p: np.array([i], np.int32).tobytes() for p, i in v.ids.items()}
+        self.by_bytes: dict[str, bytes] = {}  # of characters that are no piece
         long: dict[str, set[int]] = {}
         for p in self.usable:
             if len(p) > 4:
@@ -153,17 +154,17 @@ class Encoder:
             after_unknown = known is None
         return b"".join(out)
 
-    def learn(self, words: Iterable[str]) -> None:
-        """Encode words into `codes`, walking their trie depth first."""
+    def learn(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Codes of words, from walking their trie depth first."""
         if len(self.sizes) > CACHE_WORDS:
             self.sizes.clear()
-        if self.n_apart > 2 * CACHE_WORDS:
+        if self.n_apart > CACHE_WORDS:
             self.apart.clear()
             self.n_apart = 0
-        (self._walk_unigram if self.v.kind == "unigram" else self._walk_bpe)(sorted(words))
+        return (self._walk_unigram if self.v.kind == "unigram" else self._walk_bpe)(sorted(words))
 
-    def _walk_unigram(self, words: list[str]) -> None:
-        ids, scores, longest = self.v.ids, self.v.scores, self.v.longest
+    def _walk_unigram(self, words: list[str]) -> dict[str, bytes]:
+        ids, scores, longest, codes = self.v.ids, self.v.scores, self.v.longest, {}
         before, start, best = "", [0], [0.0]  # start[i]: where the last piece of the first i characters starts
         for word in words:
             shared = _shared_prefix(before, word)
@@ -181,8 +182,18 @@ class Encoder:
             while i:
                 cuts.append(word[start[i] : i])
                 i = start[i]
-            self.codes[word] = self._code(reversed(cuts))
+            codes[word] = self._code(reversed(cuts))
             before = word
+        return codes
+
+    def _piece_code(self, piece: str) -> bytes:
+        """Ids of a piece of a model that spells other characters by their bytes."""
+        known = self.bytes_of.get(piece) or self.by_bytes.get(piece)
+        if known is None:
+            if len(self.by_bytes) > CACHE_WORDS:
+                self.by_bytes.clear()
+            known = self.by_bytes[piece] = self._code([piece])
+        return known
 
     def _ends(self, tail: str) -> tuple[int, ...]:
         """Sizes of the pieces that may end where these (at most four) characters end; kept for a bounded number of tails."""
@@ -190,13 +201,15 @@ class Encoder:
         out = self.sizes[tail] = (*self.long.get(tail, ()), *short, 1)
         return out
 
-    def _walk_bpe(self, words: list[str]) -> None:
-        ids, scores, usable, sizes, apart, codes = self.v.ids, self.v.scores, self.usable, self.sizes, self.apart, self.codes
+    def _walk_bpe(self, words: list[str]) -> dict[str, bytes]:
+        ids, scores, usable, sizes, apart, spelt = self.v.ids, self.v.scores, self.usable, self.sizes, self.apart, bool(self.v.byte_ids)
+        known_code, codes = self.bytes_of.get, {}
         first: dict[str, bool] = {}  # nothing stands before the first piece
-        before, last, after = "", [""], [first]  # last[i]: the last piece of the first i characters; after[i]: what is known to follow it
+        # last[i]: the last piece of the first i characters; after[i]: what is known to follow it; code[i]: their ids
+        before, last, after, code = "", [""], [first], [b""]
         for word in words:
             shared = _shared_prefix(before, word)
-            del last[shared + 1 :], after[shared + 1 :]
+            del last[shared + 1 :], after[shared + 1 :], code[shared + 1 :]
             for i in range(shared + 1, len(word) + 1):
                 tail = word[i - 4 : i] if i > 4 else word[:i]
                 for size in sizes.get(tail) or self._ends(tail):
@@ -219,28 +232,68 @@ class Encoder:
                 if known is None:
                     known = apart[piece] = {}
                 after.append(known)
-            cuts, i = [], len(word)
-            while i:
-                piece = last[i]
-                cuts.append(piece)
-                i -= len(piece)
-            cuts.reverse()
-            codes[word] = self._code(cuts)
+                if spelt and len(word) < 1024:  # longer words would hold too many prefixes' ids
+                    code.append(code[i - size] + (known_code(piece) or self._piece_code(piece)))
+            if len(code) == len(last):
+                codes[word] = code[-1]
+            else:
+                cuts, i = [], len(word)
+                while i:
+                    cuts.append(last[i])
+                    i -= len(last[i])
+                codes[word] = self._code(reversed(cuts))
+                del last[1:], after[1:], code[1:]
+                word = ""
             before = word
+        return codes
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        """Ids of each text; null stays null."""
-        split = [self.v.words.findall(self.v.mark(t)) if t is not None else None for t in texts]
-        if len(self.codes) > CACHE_WORDS:  # words that came again are worth keeping
-            self.codes = {w: self.codes[w] for w in self.again}
+    def _chunk_codes(self, chunks: list[str]) -> list[bytes]:
+        """Codes of distinct chunks, each with a mark in front; those that came before are kept."""
+        if len(self.codes) > CACHE_WORDS:  # chunks that came again are worth keeping
+            self.codes = {w: self.codes[w] for w in self.again if w in self.codes}
             self.again = set()
-        words = set(chain.from_iterable(x for x in split if x))
-        new = words.difference(self.codes)
-        if len(self.again) < CACHE_WORDS // 2:
-            self.again |= words - new
-        self.learn(new)
-        code = self.codes.__getitem__
-        return [np.frombuffer(b"".join(map(code, x)), np.int32) if x is not None else None for x in split]
+        codes = self.codes
+        new = [c for c in chunks if c not in codes]
+        if len(new) < len(chunks) and len(self.again) < CACHE_WORDS // 2:
+            self.again.update(set(chunks).difference(new))
+        split = [self.v.words.findall(MARK + c) for c in new]
+        words = self.learn(set(chain.from_iterable(split)))
+        for c, parts in zip(new, split):
+            codes[c] = words[parts[0]] if len(parts) == 1 else b"".join(map(words.__getitem__, parts))
+        return list(map(codes.__getitem__, chunks))
+
+    def encode_one_by_one(self, texts: list[str | None]) -> pa.ListArray:
+        """Ids of each text, from words found by the expression; null stays null."""
+        split = [self.v.words.findall(self.v.mark(t)) if t is not None else None for t in texts]
+        words = self.learn(set(chain.from_iterable(x for x in split if x)))
+        return _lists([np.frombuffer(b"".join(map(words.__getitem__, x)), np.int32) if x is not None else None for x in split])
+
+    def encode(self, texts: pa.Array) -> pa.ListArray:
+        """Ids of each text; null stays null.
+
+        Texts with single spaces only fall apart at these; the distinct chunks are coded and their codes taken.
+        """
+        if not self.v.apart_at_spaces:
+            return self.encode_one_by_one(texts.to_pylist())
+        odd = pc.fill_null(pc.or_(pc.match_substring_regex(texts, f"^( |$)|  |{MARK}"), pc.equal(texts, "")), True)
+        plain = texts.filter(pc.invert(odd))
+        split = pc.split_pattern(plain, " ")
+        chunks = split.flatten().dictionary_encode()
+        each = self._chunk_codes(chunks.dictionary.to_pylist())
+        taken = _listed(each).take(chunks.indices)
+        at = taken.offsets.to_numpy()[split.offsets.to_numpy()]
+        done = pa.ListArray.from_arrays(pa.array(at), taken.values) if len(plain) else pa.array([], pa.list_(pa.int32()))
+        if len(plain) == len(texts):
+            return done
+        rest = self.encode_one_by_one(texts.filter(odd).to_pylist())
+        mask = odd.to_numpy(zero_copy_only=False)
+        place = np.where(mask, len(plain) + np.cumsum(mask) - 1, np.cumsum(~mask) - 1)
+        return pa.concat_arrays([done, rest]).take(pa.array(place))
+
+
+def _listed(codes: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, codes)]) // 4
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(codes), np.int32)))
 
 
 def _shared(spark: SparkSession, v: Vocabulary):  # noqa: ANN202
@@ -271,9 +324,8 @@ def _coded(docs: DataFrame, vocabulary: Vocabulary, text: str, outs: dict[str, s
 
         def run(texts: pa.Array) -> Iterator[tuple[int, list[pa.Array]]]:
             for part in _by_chars(texts):
-                ids = coder.encode(part.to_pylist())
-                back = [pa.array(map(decoder.text, ids), pa.string())] if decoder else []
-                yield len(part), [_lists(ids), *back]
+                ids = coder.encode(part)
+                yield len(part), [ids, decoder.texts(ids)] if decoder else [ids]
 
         return run
 
@@ -284,15 +336,30 @@ class Decoder:
     """Ids to text."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
-        self.piece, self.first = vocabulary.bytes_of().__getitem__, vocabulary.dummy_prefix
-
-    def text(self, ids: np.ndarray | None) -> str | None:
-        if ids is None:
-            return None
-        if ids.min(initial=0) < 0:
-            raise ValueError("negative token id")
-        t = b"".join(map(self.piece, ids.tolist()))
-        return (t[1:] if self.first and t[:1] == b" " else t).decode("utf-8", "replace")
+        raw = vocabulary.bytes_of()
+        self.n, self.raw, self.silent = len(raw), raw, np.array(sorted(vocabulary.control))
+        # the space of the mark in front goes: a first piece is looked up among those without it
+        self.pieces = pa.array(raw + [x.removeprefix(b" ") for x in raw] if vocabulary.dummy_prefix else raw, pa.binary())
+        self.first = vocabulary.dummy_prefix
+
+    def texts(self, ids: pa.ListArray) -> pa.Array:
+        """The text of each list; null for null; ids outside the vocabulary raise."""
+        ends = ids.offsets.to_numpy()
+        flat = ids.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]].astype(np.int64)
+        if len(flat) and (flat.min() < 0 or flat.max() >= self.n):
+            raise ValueError("token id outside the vocabulary")
+        if self.first:
+            heads = (ends[:-1] - ends[0])[ends[1:] > ends[:-1]]
+            if np.isin(flat[heads], self.silent).any():  # what stands first is found piece by piece
+                return pa.array([None if x is None else b"".join(self.raw[i] for i in x).removeprefix(b" ").decode("utf-8", "replace") for x in ids.to_pylist()], pa.string())
+            flat[heads] += self.n
+        raw = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends - ends[0]), self.pieces.take(pa.array(flat))), b"")
+        if ids.null_count:
+            raw = pc.if_else(ids.is_valid(), raw, pa.scalar(None, pa.binary()))
+        try:
+            return raw.cast(pa.string())
+        except pa.ArrowInvalid:  # not all of it is UTF-8
+            return pa.array([x if x is None else x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
 
 
 def _by_chars(texts: pa.Array) -> Iterator[pa.Array]:
@@ -324,11 +391,9 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, tokens: str = "tokens", outp
         decoder = Decoder(model.value)
 
         def run(ids: pa.Array) -> Iterator[tuple[int, list[pa.Array]]]:
-            ends, null = ids.offsets.to_numpy(), np.asarray(ids.is_null())
-            flat = ids.values.to_numpy(zero_copy_only=False)
             for at in range(0, len(ids), 256):
-                rows = range(at, min(at + 256, len(ids)))
-                yield len(rows), [pa.array([None if null[i] else decoder.text(flat[ends[i] : ends[i + 1]]) for i in rows], pa.string())]
+                part = ids.slice(at, 256)
+                yield len(part), [decoder.texts(part)]
 
         return run
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from ordwise.llm import language_id, quality_classifier
@@ -25,6 +26,33 @@ def test_codec_equals_the_library_and_comes_back(spark):
     assert sp.encode_decode(df.limit(0), model).count() == 0
 
 
+def test_codec_of_long_words_repeats_and_many_batches(spark, monkeypatch):
+    library = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=sp.MODEL)
+    rng = random.Random(3)
+    long = "".join(rng.choice("abcdent") for _ in range(1_000_000))
+    words = ["".join(rng.choice("abcdeé.日") for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    texts = [long, long, "x" * 200_000, " ".join(words) + " " + " ".join(words), *(" ".join(rng.choices(words, k=9)) for _ in range(500))]
+    texts += [texts[-1], texts[-2] + " ", " " + texts[-3], "a  " + texts[-4]]
+    monkeypatch.setattr(sp, "CACHE_WORDS", 500)
+    monkeypatch.setattr(sp, "BATCH_BYTES", 5_000)
+    coder, decoder = sp.Encoder(sp.load(sp.MODEL)), sp.Decoder(sp.load(sp.MODEL))
+    got = []
+    for part in sp._by_chars(pa.array(texts)):
+        ids = coder.encode(part)
+        got += zip(ids.to_pylist(), decoder.texts(ids).to_pylist())
+    for t, (ids, back) in zip(texts, got, strict=True):
+        assert ids == library.encode(t) and back == t
+
+
+def test_decode_of_bytes_that_are_no_text():
+    v = sp.load(sp.MODEL)
+    bad = [v.byte_ids[0xFF]]
+    assert sp.Decoder(v).texts(pa.array([bad, None, [], [v.ids["▁a"]]], pa.list_(pa.int32()))).to_pylist() == ["\ufffd", None, "", "a"]
+    for ids in ([-1], [len(v.pieces)]):
+        with pytest.raises(ValueError):
+            sp.Decoder(v).texts(pa.array([ids], pa.list_(pa.int32())))
+
+
 def test_unigram_models_take_the_best_path():
     pieces = ["<unk>", "a", "b", "ab", "ba", "aba", "▁", "▁a"]
     scores = [0.0, -2.0, -2.5, -2.2, -3.0, -6.0, -1.0, -2.1]
@@ -37,7 +65,7 @@ def test_unigram_models_take_the_best_path():
 
     rng = random.Random(1)
     words = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 9))) for _ in range(60)]
-    for w, ids in zip(words, sp.Encoder(v).encode(words)):
+    for w, ids in zip(words, sp.Encoder(v).encode(pa.array(words)).to_pylist()):
         assert abs(sum(scores[i] for i in ids) - best("▁" + w)) < 1e-9
 
 
