@@ -1,36 +1,70 @@
 """Near-duplicates by SimHash, linked through a binary trie self-join.
 
 Fingerprints are joined with themselves by walking pairs of trie nodes together: a pair of nodes carries the number
-of bits in which their prefixes differ, and is dropped as soon as that exceeds the error budget. To spread the walk
-over a cluster, the 64 bits are cut into six blocks: two fingerprints within four bits agree on at least two whole
-blocks, so it is enough to walk, for each of the 15 pairs of blocks, the trie of the fingerprints that share both.
-Each fingerprint travels 15 times (8 bytes each). Copies are one fingerprint before that. A trie with more than
-CHUNK fingerprints is dealt into chunks, and each pair of its chunks is walked by a task of its own.
-
-A walk reports what it linked as a spanning forest (each fingerprint with the least one it reached), not as pairs.
+of bits in which their prefixes differ, and is dropped as soon as that exceeds the error budget.
+
+The walk is spread over a cluster by its upper levels: a trie of n fingerprints is cut at depth log2(n / CHUNK), and
+each pair of prefixes there that is still within the budget is a task's to walk on, down to single fingerprints. A
+prefix that holds far more than CHUNK (near copies of one text) is dealt into chunks, whose pairs are walked apart.
+With up to ROOT fingerprints there is one trie. Above, the walk would visit too many pairs: the 64 bits are cut into
+budget + j blocks, of which fingerprints within the budget share j at least, and there is one trie for each choice of
+j blocks and their value; j is the least that leaves about ROOT fingerprints in a trie. No link is lost either way.
+A task reports what it linked as a spanning forest (each fingerprint with the least one it reached), not as pairs.
+
+Texts similar at 0.8 differ in too many bits for that (`similar_classes`): there, a longer fingerprint is laid into many
+tries, each with bit positions of its own in front, whose first levels are walked without budget.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordwise.llm._shared import cut
+from ordwise.llm._shared import cut, join_small
 from ordwise.llm.components import connected_components
 
 BUDGET = 4
 SHINGLE = 4
-#: Fingerprints of one trie that one task walks; above, pairs of chunks are dealt out.
+#: Fingerprints under one prefix that one task walks with those of another.
 CHUNK = 4096
-#: Node pairs with at most so many fingerprint pairs are compared at once instead of being walked further.
-LEAF = 64
+#: Fingerprints of a trie that is walked from its root without blocks.
+ROOT = 1 << 16
+#: Levels of a trie that are walked in Spark at most.
+UPPER = 12
+#: A node pair with at most so many fingerprint pairs is a leaf: they are compared.
+LEAF = 8
+#: Similar texts: words of a shingle, their Jaccard similarity, and 64-bit words of their fingerprint.
+WIDE_SHINGLE, SIMILARITY, WIDE = 5, 0.8, 8
+#: What is left of the chance that two texts of that similarity share a node in no trie, and by how many standard
+#: deviations their fingerprints may be further apart than the similarity makes likely to be compared at all.
+MISSED, APART = 0.01, 4
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+_U = np.uint64
+
+
+def _grams(text: bytes | None, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of the word shingles of a text, in order; null or without words: none."""
+    w = text.translate(_LOWER).split() if text else []
+    if not w:
+        return np.empty(0, _U)
+    grams = map(b" ".join, zip(*(w[i:] for i in range(shingle)))) if len(w) > shingle else [b" ".join(w)]
+    return np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), _U)
+
+
+def _majority(h: np.ndarray) -> np.ndarray:
+    """Rows of 64-bit words (rows, words) to the words whose bits are set in over half of them."""
+    raw = np.ascontiguousarray(h).view(np.uint8).reshape(len(h), -1)
+    total = np.zeros(raw.shape[1] * 8, np.int64)
+    for i in range(0, len(raw), 255):  # so many rows that a byte holds the sum
+        total += np.unpackbits(raw[i : i + 255], axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return np.packbits(2 * total > len(h), bitorder="little").view(_U)
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -39,15 +73,8 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     A-Z are lower-cased, words are runs of anything but ASCII white space, fewer words than a shingle are one
     shingle, repeats count, and a bit is set if it is in over half the hashes.
     """
-    w = text.translate(_LOWER).split() if text else []
-    if not w:
-        return 0
-    grams = map(b" ".join, zip(*(w[i:] for i in range(shingle)))) if len(w) > shingle else [b" ".join(w)]
-    h = np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64)
-    total = np.zeros(64, np.int64)
-    for i in range(0, len(h), 1 << 16):
-        total += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(h), bitorder="little").view(np.uint64)[0])
+    h = _grams(text, shingle)
+    return int(_majority(h[:, None])[0]) if len(h) else 0
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -61,23 +88,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, fp long")
 
 
-def _blocks() -> list[tuple[int, int]]:
-    """(shift, width) of the six blocks."""
-    widths, out, at = [11, 11, 11, 11, 10, 10], [], 0
-    for w in widths:
-        out.append((at, w))
-        at += w
-    return out
-
-
-def _pairs_below(fp: np.ndarray, starts: np.ndarray, ends: np.ndarray, side: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Walk tries together and yield linked index pairs.
+def _pairs_below(fp: np.ndarray, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray, budget: int, seen: dict[str, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Walk pairs of tries together and yield linked index pairs.
 
-    fp: sorted within each trie [starts, ends); side: 0 fingerprints of the first chunk, 1 of the second, 2 of a
-    trie that is joined with itself. Node pairs are ranges (a, b) of the sorted array with the depth reached.
+    A node is a range of the array `fp`, sorted within each trie: [a0, a1) with [b0, b1), the same range for a trie
+    that is joined with itself. seen counts node pairs that were split, pruned by the budget, and compared.
     """
-    one, top = np.uint64(1), np.uint64(63)
-    frontier = [(starts, ends, starts, ends, np.zeros(len(starts), np.int64), 0)]
+    top = _U(63)
+    frontier = [(a0, a1, b0, b1, np.zeros(len(a0), np.int64), 0)]
     while frontier:
         a0, a1, b0, b1, err, depth = frontier.pop()
         if len(a0) > 1 << 15:  # bounded memory: the rest waits
@@ -85,61 +103,70 @@ def _pairs_below(fp: np.ndarray, starts: np.ndarray, ends: np.ndarray, side: np.
             a0, a1, b0, b1, err = a0[: 1 << 15], a1[: 1 << 15], b0[: 1 << 15], b1[: 1 << 15], err[: 1 << 15]
         leaf = (a1 - a0) * (b1 - b0) <= LEAF if depth < 64 else np.ones(len(a0), bool)
         if leaf.any():
-            x, y = _compare(fp, side, a0[leaf], a1[leaf], b0[leaf], b1[leaf], budget)
+            seen["compared"] += int(leaf.sum())
+            x, y = _compare(fp, a0[leaf], a1[leaf], b0[leaf], b1[leaf], budget)
             if len(x):
                 yield x, y
         go = ~leaf
         if not go.any():
             continue
         a0, a1, b0, b1, err = a0[go], a1[go], b0[go], b1[go], err[go]
-        bit = top - np.uint64(depth)
-        am, bm = _split(fp, a0, a1, bit, one), _split(fp, b0, b1, bit, one)
-        same = (a0 == b0) & (a1 == b1)
-        zero = np.zeros(len(a0), np.int64)
-        parts = [(a0, am, b0, bm, zero), (am, a1, bm, b1, zero), (a0, am, bm, b1, zero + 1), (am, a1, b0, bm, zero + 1)]
+        seen["split"] += len(a0)
+        bit = top - _U(depth)
+        am, bm = _split(fp, a0, a1, bit), _split(fp, b0, b1, bit)
+        same = a0 == b0
+        parts = [(a0, am, b0, bm, err), (am, a1, bm, b1, err), (a0, am, bm, b1, err + 1), (am, a1, b0, bm, err + 1)]
         keep = []
-        for k, (p0, p1, q0, q1, more) in enumerate(parts):
-            e = err + more
-            ok = (p1 > p0) & (q1 > q0) & (e <= budget)
+        for k, (p0, p1, q0, q1, e) in enumerate(parts):
+            there = (p1 > p0) & (q1 > q0)
             if k == 3:
-                ok &= ~same  # the mirror of the third
+                there &= ~same  # the mirror of the third
+            ok = there & (e <= budget)
+            seen["pruned"] += int(there.sum() - ok.sum())
             keep.append((p0[ok], p1[ok], q0[ok], q1[ok], e[ok]))
         frontier.append((*(np.concatenate(c) for c in zip(*keep)), depth + 1))
 
 
-def _split(fp: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: np.uint64, one: np.uint64) -> np.ndarray:
+def _split(fp: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: np.uint64) -> np.ndarray:
     """First index of each sorted range whose `bit` is set (all higher bits are equal in a range)."""
-    lo, hi = lo.copy(), hi.copy()
-    while True:
-        open_ = lo < hi
-        if not open_.any():
-            return lo
+    one = _U(1)
+    out = np.where((fp[lo] >> bit) & one == one, lo, hi)  # mostly one side has all
+    mixed = np.flatnonzero((out == hi) & ((fp[hi - 1] >> bit) & one == one))
+    lo, hi = lo[mixed], hi[mixed]
+    while len(lo) and (lo < hi).any():
         mid = (lo + hi) >> 1
-        is_set = np.zeros(len(lo), bool)
-        is_set[open_] = (fp[mid[open_]] >> bit) & one == one
-        hi = np.where(open_ & is_set, mid, hi)
-        lo = np.where(open_ & ~is_set, mid + 1, lo)
+        is_set = ((fp[np.minimum(mid, len(fp) - 1)] >> bit) & one == one) | (lo >= hi)
+        hi, lo = np.where(is_set, np.minimum(mid, hi), hi), np.where(is_set, lo, mid + 1)
+    out[mixed] = lo
+    return out
 
 
-def _compare(fp: np.ndarray, side: np.ndarray, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    found_x, found_y = [], []
+def _products(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of each [a0, a1) x [b0, b1), in portions of about `most` at most."""
+    rows = np.maximum(1, most // np.maximum(b1 - b0, 1))
+    if (a1 - a0 > rows).any():  # long sides in pieces
+        pieces = -(-(a1 - a0) // rows)
+        k = np.repeat(np.arange(len(a0)), pieces)
+        at = a0[k] + (np.arange(len(k)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * rows[k]
+        a0, a1, b0, b1 = at, np.minimum(at + rows[k], a1[k]), b0[k], b1[k]
     n = (a1 - a0) * (b1 - b0)
-    cuts = np.searchsorted(np.cumsum(n), np.arange(1 << 19, n.sum() + (1 << 19), 1 << 19), side="left") + 1
-    at = 0
-    for to in cuts:
-        s = slice(at, min(to, len(n)))
-        at = s.stop
-        m = n[s]
-        if not len(m):
-            continue
+    at, ends = 0, np.cumsum(n)
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        s, m = slice(at, to), n[at:to]
         k = np.repeat(np.arange(len(m)), m)
         off = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
         wide = (b1[s] - b0[s])[k]
-        x, y = a0[s][k] + off // wide, b0[s][k] + off % wide
-        ok = (np.bitwise_count(fp[x] ^ fp[y]) <= budget) & (x != y) & ((side[x] != side[y]) | (side[x] == 2))
-        found_x.append(x[ok])
-        found_y.append(y[ok])
-    return (np.concatenate(found_x), np.concatenate(found_y)) if found_x else (np.empty(0, int), np.empty(0, int))
+        yield a0[s][k] + off // wide, b0[s][k] + off % wide
+        at = to
+
+
+def _compare(fp: np.ndarray, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    found = []
+    for x, y in _products(a0, a1, b0, b1):
+        ok = (np.bitwise_count(fp[x] ^ fp[y]) <= budget) & (x != y)
+        found.append((x[ok], y[ok]))
+    return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, int), np.empty(0, int))
 
 
 class _Forest:
@@ -164,70 +191,126 @@ class _Forest:
                 root = self.root = up
 
 
-def trie_links(key: np.ndarray, side: np.ndarray, fp: np.ndarray, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
-    """Links among fingerprints of equal key as a forest: (fp, least fp reached in its trie), as unsigned.
+def _sides(key: np.ndarray, side: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """An order by group, side and fingerprint, and in it the two ranges of each group that has both.
 
-    key: groups, in any order; side as in the chunks of a large trie.
+    side: 0 and 1 are joined with each other, 2 with itself.
     """
-    order = np.lexsort((fp, key))
-    key, side, fp = key[order], side[order], fp[order]
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, int)
-    ends = np.r_[starts[1:], len(key)] if len(key) else starts
-    some = ends - starts > 1
+    order = np.lexsort((fp, side, key))
+    key, side = key[order], side[order]
+    if not len(key):
+        return order, (np.empty(0, int),) * 4
+    first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (side[1:] != side[:-1])])
+    end = np.r_[first[1:], len(key)]
+    own = (side[first] == 2) & (end - first > 1)
+    both = np.r_[(key[first][:-1] == key[first][1:]) & (side[first][:-1] == 0) & (side[first][1:] == 1), False]
+    other = np.where(both, np.minimum(np.arange(len(first)) + 1, len(first) - 1), np.arange(len(first)))
+    some = own | both
+    return order, (first[some], end[some], first[other][some], end[other][some])
+
+
+def trie_links(key: np.ndarray, side: np.ndarray, fp: np.ndarray, budget: int = BUDGET, seen: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links among fingerprints of equal key as a forest: (fp, least fp reached in its group), as unsigned.
+
+    key: groups, in any order; side as in `_sides`. seen: gets counts of the walk.
+    """
+    order, ranges = _sides(key, side, fp)
+    fp = fp[order]
     forest = _Forest(len(fp))
-    for x, y in _pairs_below(fp, starts[some], ends[some], side, budget):
+    for x, y in _pairs_below(fp, *ranges, budget, {"split": 0, "pruned": 0, "compared": 0} if seen is None else seen):
         forest.link(x, y)
     hung = np.flatnonzero(forest.root != np.arange(len(fp)))
     return fp[hung], fp[forest.root[hung]]
 
 
-def fingerprint_links(distinct: DataFrame, budget: int = BUDGET, chunk: int = CHUNK) -> DataFrame:
-    """Distinct fingerprints (fp long) to edges (u, v) that connect exactly what links within `budget` bits connect."""
-    if budget > 4:
-        raise ValueError("two of six blocks agree only up to four differing bits")
-    masks = []
-    for t, pair in enumerate(combinations(_blocks(), 2)):
-        at, shift = F.lit(t).cast("long"), 4
-        for s, w in pair:
-            at = at.bitwiseOR(F.shiftleft(F.shiftrightunsigned("fp", s).bitwiseAND((1 << w) - 1), shift))
-            shift += w
-        masks.append(at)
-    spread = cut(distinct.select("fp", F.explode(F.array(*masks)).alias("key")), "tries")
-    size = cut(spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("k"), F.ceil(F.col("n") / chunk).cast("int").alias("chunks")), "trie-sizes")
-    rows = spread.join(size, F.col("key") == F.col("k")).select("key", "fp", "chunks", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int").alias("c"))
-    # a chunk meets itself and every other chunk of its trie once
-    part = F.when(F.col("chunks") == 1, F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(2).alias("side"))))
-    others = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least("c", j).alias("lo"), F.greatest("c", j).alias("hi"), F.when(j == F.col("c"), 2).when(F.col("c") < j, 0).otherwise(1).alias("side")))
-    rows = rows.select("key", "fp", F.explode(F.coalesce(part, others)).alias("p")).select("key", "fp", "p.lo", "p.hi", "p.side")
-
-    def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _choices(n: int, budget: int, root: int) -> list[tuple[int, list[int]]]:
+    """For each trie family: the mask of the bits that must be equal, and the others from the highest."""
+    j = 0
+    while 64 * j / (budget + j) < math.log2(max(n, 1)) - math.log2(root) if budget + j else False:
+        j += 1
+    blocks = [range(64 * i // (budget + j), 64 * (i + 1) // (budget + j)) for i in range(budget + j)] if j else []
+    out = []
+    for chosen in combinations(blocks, j):
+        held = {b for block in chosen for b in block}
+        out.append((sum(1 << b for b in held), [b for b in range(63, -1, -1) if b not in held]))
+    return out
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _dealt(spread: DataFrame, budget: int, chunk: int, by: str) -> DataFrame:
+    """Rows (key, lead, ...) to those of each pair of units that a task walks: with lo and hi (units) and side added.
+
+    lead: UPPER bits, of which a trie of n rows takes the first log2(n / chunk) as a prefix. A unit is a chunk of a
+    prefix; rows fall into chunks by the hash of `by`. Prefixes meet if they differ in at most `budget` bits.
+    """
+    spark = spread.sparkSession
+    depth = F.least(F.lit(UPPER), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / chunk)))).cast("int")
+    sizes = cut(spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("k"), depth.alias("depth")), "trie-sizes")
+    rows = join_small(spread, sizes, F.col("key") == F.col("k")).drop("k").withColumn("prefix", F.expr(f"shiftright(lead, {UPPER} - depth)")).drop("lead")
+    nodes = rows.groupBy("key", "prefix").agg(F.ceil(F.count(F.lit(1)) / (2 * chunk)).cast("int").alias("chunks"))
+    nodes = cut(nodes.select(F.col("key").alias("k"), F.col("prefix").alias("p"), "chunks"), "trie-nodes")
+    # at most 2^UPPER masks a depth, whatever the data
+    masks = spark.createDataFrame([(d, m) for d in range(UPPER + 1) for m in range(1 << d) if m.bit_count() <= budget], "d int, mask int")
+    rows = join_small(rows, nodes, (F.col("key") == F.col("k")) & (F.col("prefix") == F.col("p"))).drop("k", "p")
+    rows = rows.withColumn("c", F.pmod(F.xxhash64(by), F.col("chunks")).cast("int")).drop("chunks")
+    rows = rows.join(F.broadcast(masks), F.col("depth") == F.col("d")).withColumn("q", F.col("prefix").bitwiseXOR(F.col("mask"))).drop("d", "mask", "depth")
+    rows = join_small(rows, nodes, (F.col("key") == F.col("k")) & (F.col("q") == F.col("p"))).drop("k", "p")
+    rows = rows.withColumn("oc", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    unit = lambda p, c: F.shiftleft(F.col(p).cast("long"), 40).bitwiseOR(F.col(c).cast("long"))
+    rows = rows.withColumns({"me": unit("prefix", "c"), "it": unit("q", "oc")}).drop("prefix", "q", "c", "oc")
+    side = F.when(F.col("me") == F.col("it"), 2).when(F.col("me") < F.col("it"), 0).otherwise(1)
+    return rows.withColumns({"lo": F.least("me", "it"), "hi": F.greatest("me", "it"), "side": side}).drop("me", "it")
+
+
+def _by_unit_pair(rows: DataFrame, payload: list[str], make, schema: str) -> DataFrame:  # noqa: ANN001
+    """Give each (key, lo, hi) of `rows` whole to one call of make(group numbers, side, *payload columns)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[list[np.ndarray]] = []
-        rows_kept = 0
+        n = 0
 
         def done(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
-            k, lo, hi, side, fp = (np.concatenate(c) for c in zip(*parts))
+            k, lo, hi, side, *rest = (np.concatenate(c) for c in zip(*parts))
             group = np.cumsum(np.r_[0, (k[1:] != k[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
-            u, v = trie_links(group, side, fp.view(np.uint64), budget)
-            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+            return make(group, side, *rest)
 
         for b in batches:  # sorted, so that a group is contiguous; whole groups are walked together
             if not b.num_rows:
                 continue
-            cols = [b.column(i).to_numpy() for i in range(5)]
-            if rows_kept > 1 << 15:
+            cols = [c.to_numpy() for c in b.columns]
+            if n > 1 << 15:
                 k, lo, hi = (kept[-1][i][-1] for i in range(3))
                 new = np.flatnonzero((cols[0] != k) | (cols[1] != lo) | (cols[2] != hi))
                 if len(new):
                     kept.append([c[: new[0]] for c in cols])
                     yield done(kept)
-                    kept, rows_kept, cols = [], 0, [c[new[0] :] for c in cols]
+                    kept, n, cols = [], 0, [c[new[0] :] for c in cols]
             kept.append(cols)
-            rows_kept += len(cols[0])
+            n += len(cols[0])
         if kept:
             yield done(kept)
 
-    spread_out = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return spread_out.select("key", "lo", "hi", "side", "fp").mapInArrow(walk, "u long, v long").distinct()
+    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").select("key", "lo", "hi", "side", *payload).mapInArrow(run, schema)
+
+
+def fingerprint_links(distinct: DataFrame, budget: int = BUDGET, chunk: int = CHUNK, root: int = ROOT) -> DataFrame:
+    """Distinct fingerprints (fp long) to edges (u, v) that connect exactly what links within `budget` bits connect."""
+    each = []
+    for t, (held, free) in enumerate(_choices(distinct.count(), budget, root)):
+        lead = F.lit(0)
+        for b in free[:UPPER]:
+            lead = F.shiftleft(lead, 1).bitwiseOR(F.shiftrightunsigned("fp", b).bitwiseAND(F.lit(1)).cast("int"))
+        each.append(F.struct(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(held)))).alias("key"), lead.alias("lead")))
+    spread = cut(distinct.select("fp", F.explode(F.array(*each)).alias("at")).select("fp", "at.key", "at.lead"), "tries")
+
+    def walk(group: np.ndarray, side: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        u, v = trie_links(group, side, fp.view(_U), budget)
+        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+
+    return _by_unit_pair(_dealt(spread, budget, chunk, "fp"), ["fp"], walk, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
@@ -245,3 +328,201 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     names = cut(of.groupBy("root").agg(F.min("first_id").alias("component_id")).withColumnRenamed("root", "r"), "names")
     named = cut(of.join(names, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id"), "named")
     return fps.join(named, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
+
+# texts of a given similarity
+
+
+def shingle_set(text: bytes | None, shingle: int = WIDE_SHINGLE) -> np.ndarray:
+    """The distinct XXH64 (seed 42) of word shingles, sorted; null or blank: none."""
+    return np.unique(_grams(text, shingle))
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; of two empty ones 1."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    same = int((both[1:] == both[:-1]).sum())
+    return same / (len(both) - same) if len(both) else 1.0
+
+
+def wide_fingerprint(h: np.ndarray) -> np.ndarray:
+    """WIDE words of SimHash of a shingle set: each word from hashes of the hashes."""
+    if not len(h):
+        return np.zeros(WIDE, _U)
+    x = h[:, None] + np.arange(1, WIDE + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return _majority(x ^ (x >> _U(31)))
+
+
+def expected(bits: int, threshold: float, sigmas: float) -> float:
+    """Share of `bits` in which texts of that similarity differ, and so many standard deviations more."""
+    p = math.acos(min(1.0, 2 * threshold / (1 + threshold))) / math.pi
+    return p + sigmas * math.sqrt(p * (1 - p) / bits)
+
+
+def trie_orders(n: int, threshold: float = SIMILARITY) -> np.ndarray:
+    """Leading bit positions of each trie (tries, levels) for n fingerprints: as many levels as leave some 256
+    fingerprints in a node (16 at least), and as many tries as leave a chance of MISSED."""
+    levels = max(16, math.ceil(math.log2(max(n, 2))) - 8)
+    meet = (1 - expected(64 * WIDE, threshold, 1)) ** levels
+    tries = max(1, math.ceil(math.log(MISSED) / math.log(1 - meet))) if meet < 1 else 1
+    rng = np.random.default_rng(42)
+    return np.stack([rng.permutation(64 * WIDE)[:levels] for _ in range(tries)])
+
+
+def nearest_in_group(group: np.ndarray, side: np.ndarray, fp: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs: each row with the nearest other row of its group (the first of equals), if within the budget."""
+    order, ranges = _sides(group, side, fp)
+    fp = fp[order]
+    none = np.iinfo(np.int64).max
+    best = np.full(len(fp), none)
+    for x, y in _products(*ranges):
+        d = np.bitwise_count(fp[x] ^ fp[y]).astype(np.int64)
+        ok = (d <= budget) & (x != y)
+        x, y, d = x[ok], y[ok], d[ok] << 40
+        np.minimum.at(best, x, d + y)
+        np.minimum.at(best, y, d + x)
+    at = np.flatnonzero(best < none)
+    return order[at], order[best[at] & ((1 << 40) - 1)]
+
+
+def _named() -> list[Column]:
+    """What tells rows apart, up to rows of one id and text."""
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("digest")]
+
+
+def _wide(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, digest of the text, class (a hash of its shingle set), fp (its fingerprint's words), one row per document."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(x.as_py(), shingle) for x in b.column(2)]
+            key = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], _U).view(np.int64)
+            words = np.stack([wide_fingerprint(h) for h in sets]) if sets else np.empty((0, WIDE), _U)
+            fp = pa.ListArray.from_arrays(pa.array(np.arange(0, WIDE * len(sets) + 1, WIDE, dtype=np.int32)), pa.array(words.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(key), fp], ["doc_id", "digest", "class", "fp"])
+
+    return docs.select(*_named(), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, digest string, class long, fp array<long>")
+
+
+def candidates(classes: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """Classes (class, fp) to pairs (u > v) with d, the bits in which they differ.
+
+    In each trie every class meets those that share its node, and is paired with the nearest of them.
+    """
+    orders = trie_orders(classes.count(), threshold)
+    first, whole = (int(bits * expected(bits, threshold, APART)) for bits in (64, 64 * WIDE))
+
+    def post(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = _U(1) << np.arange(orders.shape[1], dtype=_U)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                b = batch.slice(at, 1024)
+                words = b.column(1).flatten().to_numpy().reshape(-1, WIDE)
+                bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1, bitorder="little").astype(_U)
+                key = np.concatenate([bits[:, o] @ powers + _U(t << 52) for t, o in enumerate(orders)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.tile(b.column(0).to_numpy(), len(orders))), pa.array(np.tile(words[:, 0], len(orders)))], ["key", "class", "f"])
+
+    def meet(group: np.ndarray, side: np.ndarray, cls: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+        x, y = nearest_in_group(group, side, f.view(_U), first)
+        pairs = np.unique(np.stack([np.maximum(cls[x], cls[y]), np.minimum(cls[x], cls[y])]), axis=1) if len(x) else np.empty((2, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
+
+    posted = cut(classes.select("class", "fp").mapInArrow(post, "key long, class long, f long"), "tries")
+    sizes = cut(posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * CHUNK).select(F.col("key").alias("k"), F.ceil(F.col("n") / (2 * CHUNK)).cast("int").alias("chunks")), "trie-sizes")
+    rows = join_small(posted, sizes, F.col("key") == F.col("k"), "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    c, other = F.pmod(F.xxhash64("class"), F.col("chunks")).cast("long"), F.col("oc").cast("long")
+    rows = rows.select("key", "class", "f", c.alias("c"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("oc"))
+    rows = rows.select("key", "class", "f", F.least("c", other).alias("lo"), F.greatest("c", other).alias("hi"), F.when(F.col("c") == other, 2).when(F.col("c") < other, 0).otherwise(1).alias("side"))
+    pairs = cut(_by_unit_pair(rows, ["class", "f"], meet, "u long, v long").distinct(), "node-pairs")
+    ends = lambda x: classes.select(F.col("class").alias(f"k{x}"), F.col("fp").alias(x))
+    both = pairs.join(ends("a"), F.col("u") == F.col("ka")).join(ends("b"), F.col("v") == F.col("kb"))
+    d = F.aggregate(F.zip_with("a", "b", lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("int")), F.lit(0), lambda p, q: p + q)
+    return both.select("u", "v", d.alias("d")).where(F.col("d") <= whole)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """The pairs (u, v) of classes whose shingle sets are similar enough."""
+
+    def grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(x.as_py(), shingle).tobytes() for x in b.column(1)], pa.binary())], ["class", "grams"])
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = b.column(2), b.column(3)
+            ok = [similarity(np.frombuffer(x[i].as_py(), _U), np.frombuffer(y[i].as_py(), _U)) >= threshold for i in range(b.num_rows)]
+            yield b.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("k")).distinct()
+    one = sets.join(ends, F.col("class") == F.col("k"), "left_semi").groupBy("class").agg(F.min(F.struct("digest")).alias("r")).select(F.col("class").alias("__class"), F.col("r.digest").alias("__digest"))
+    one = cut(one, "ends")
+    texts = join_small(docs.select(F.col("text").cast("binary").alias("t"), F.md5(F.coalesce("text", F.lit(""))).alias("digest")), one, F.col("digest") == F.col("__digest"))
+    known = cut(texts.dropDuplicates(["__class"]).select("__class", "t").mapInArrow(grams, "class long, grams binary"), "end-sets")
+    side = lambda x: known.select(F.col("class").alias(f"k{x}"), F.col("grams").alias(x))
+    both = pairs.join(side("a"), F.col("u") == F.col("ka")).join(side("b"), F.col("v") == F.col("kb"))
+    return cut(both.select("u", "v", "a", "b").mapInArrow(compare, "u long, v long"), "links")
+
+
+def row_roots(docs: DataFrame, shingle: int = WIDE_SHINGLE, threshold: float = SIMILARITY) -> DataFrame:
+    """doc_id, digest of the text and root (a name of the row's group) of every row of (doc_id, text).
+
+    Rounds: every class takes its nearest candidate outside its group that was not compared before; the pairs are
+    confirmed by their shingle sets, and groups grow by those that are, until a round confirms none. So a pair is
+    compared only while it can join two groups, and a group of any size costs one comparison a member and round.
+    """
+    sets = cut(_wide(docs, shingle), "wide")
+    classes = cut(sets.groupBy("class").agg(F.first("fp").alias("fp")), "classes")
+    open_ = cut(candidates(classes, threshold), "candidates")
+    links, roots = None, None
+    while open_.limit(1).count():
+        ends = open_.select(F.col("u").alias("n"), F.struct("d", "u", "v").alias("p")).unionByName(open_.select(F.col("v").alias("n"), F.struct("d", "u", "v").alias("p")))
+        tried = cut(ends.groupBy("n").agg(F.min("p").alias("p")).select("p.u", "p.v").distinct(), "tried")
+        found = _confirmed(tried, sets, docs, shingle, threshold)
+        if not found.limit(1).count():
+            break
+        links = found if links is None else links.unionByName(found)
+        roots = cut(connected_components(links), "row-roots")
+        left = open_.join(tried, ["u", "v"], "left_anti")
+        of = lambda x: roots.select(F.col("node").alias(f"n{x}"), F.col("root").alias(f"r{x}"))
+        left = left.join(of("u"), F.col("u") == F.col("nu"), "left").join(of("v"), F.col("v") == F.col("nv"), "left")
+        open_ = cut(left.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v", "d"), "candidates")
+    if roots is None:
+        return sets.select("doc_id", "digest", F.col("class").alias("root"))
+    rows = sets.select("doc_id", "digest", "class").join(roots, F.col("class") == F.col("node"), "left")
+    return cut(rows.select("doc_id", "digest", F.coalesce("root", "class").alias("root")), "row-roots")
+
+
+def similar_classes(docs: DataFrame, shingle: int = WIDE_SHINGLE, threshold: float = SIMILARITY) -> DataFrame:
+    """Documents (doc_id, text) to doc_id, component_id (the least doc_id that links reach, itself included).
+
+    Links are pairs with Jaccard similarity of their sets of word shingles of at least `threshold`, each confirmed;
+    a pair at the threshold is missed with a chance of about MISSED, unless others connect it. Texts without words
+    link with each other; a null doc_id is in a component but never names it unless nothing else does; an empty
+    table gives no rows; other columns are ignored.
+    """
+    rows = row_roots(docs, shingle, threshold)
+    names = cut(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("root", "r"), "names")
+    return rows.join(names, F.col("root") == F.col("r")).select("doc_id", "component_id")
+
+
+def drop_duplicates(docs: DataFrame, shingle: int = WIDE_SHINGLE, threshold: float = SIMILARITY) -> DataFrame:
+    """The rows of `docs` that stay, one of each group: that of the least doc_id, null ids last; columns unchanged.
+
+    Of several rows with that id, or of rows without one, the least by all columns stays.
+    """
+    rows = row_roots(docs, shingle, threshold)
+    names = cut(rows.groupBy("root").agg(F.min("doc_id").alias("least")).withColumnRenamed("root", "r"), "names")
+    first = rows.join(names, (F.col("root") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("least")))
+    first = cut(first.groupBy("root", "doc_id", "digest").agg(F.count(F.lit(1)).alias("n")), "first")
+    size = cut(first.groupBy("root").agg(F.sum("n").alias("__n")).withColumnRenamed("root", "r"), "sizes")
+    stay = first.join(size, F.col("root") == F.col("r")).select(F.col("root").alias("__root"), F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), "__n")
+    stay = cut(stay, "stay")
+    ident, digest = _named()
+    found = join_small(docs, stay, ident.eqNullSafe(F.col("__id")) & (digest == F.col("__digest")))
+    out = found.where("__n = 1").select(*docs.columns)
+    if stay.where("__n > 1").limit(1).count():
+        least = found.where("__n > 1").groupBy("__root").agg(F.min(F.struct(*docs.columns)).alias("r"))
+        out = out.unionByName(least.select("r.*"))
+    return out

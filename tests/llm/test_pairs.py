@@ -51,26 +51,48 @@ def flips(rng, base, most):
     return base
 
 
-@pytest.mark.parametrize(("seed", "chunk", "balls"), [(1, 4096, 40), (2, 16, 4), (3, 7, 1)])
-def test_links_connect_what_brute_force_connects(spark, seed, chunk, balls):
+@pytest.mark.parametrize(("seed", "chunk", "balls", "budget", "root"), [(1, 4096, 40, 4, 1 << 16), (2, 16, 4, 4, 1 << 16), (3, 7, 1, 4, 64), (4, 16, 9, 4, 1), (5, 50, 9, 0, 1), (6, 8, 9, 1, 1 << 16), (7, 64, 9, 6, 32), (8, 40, 5, 2, 8)])
+def test_links_connect_what_brute_force_connects(spark, seed, chunk, balls, budget, root):
     rng = random.Random(seed)
     centres = [rng.getrandbits(64) for _ in range(balls)]
-    fps = sorted({flips(rng, rng.choice(centres), 5) for _ in range(250)} | {rng.getrandbits(64) for _ in range(100)} | {0, (1 << 64) - 1})
+    fps = sorted({flips(rng, rng.choice(centres), budget + 1) for _ in range(250)} | {rng.getrandbits(64) for _ in range(100)} | {0, (1 << 64) - 1})
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    edges = simhash_neardup.fingerprint_links(spark.createDataFrame([(s,) for s in signed], "fp long"), chunk=chunk).collect()
+    edges = simhash_neardup.fingerprint_links(spark.createDataFrame([(s,) for s in signed], "fp long"), budget, chunk, root).collect()
     at = {s: i for i, s in enumerate(signed)}
     got = components(len(fps), [(at[u], at[v]) for u, v in edges])
-    assert got == components(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4])
+    assert got == components(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= budget])
 
 
-def test_trie_walk_without_groups_in_common():
+@pytest.mark.parametrize("budget", range(7))
+def test_walk_splits_prunes_and_links(budget):
     rng = np.random.default_rng(5)
-    fp = np.unique(rng.integers(0, 1 << 20, 3000, dtype=np.uint64))  # dense: many links, deep walks
-    u, v = simhash_neardup.trie_links(np.zeros(len(fp), np.int64), np.full(len(fp), 2), fp, 2)
+    fp = np.unique(np.r_[rng.integers(0, 1 << 64, 2000, dtype=np.uint64), rng.integers(0, 1 << 16, 300, dtype=np.uint64)])
+    seen = {"split": 0, "pruned": 0, "compared": 0}
+    u, v = simhash_neardup.trie_links(np.zeros(len(fp), np.int64), np.full(len(fp), 2), fp, budget, seen)
     at = {x: i for i, x in enumerate(fp.tolist())}
     got = components(len(fp), [(at[a], at[b]) for a, b in zip(u.tolist(), v.tolist())])
-    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 2
+    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= budget
     assert got == components(len(fp), zip(*np.nonzero(np.triu(near, 1))))
+    assert seen["split"] > 1000 and seen["pruned"] > 1000 and (budget > 4 or seen["compared"] < len(fp) ** 2 / 8)
+
+
+def test_walk_of_two_sides():
+    rng = np.random.default_rng(6)
+    fp = np.unique(rng.integers(0, 1 << 12, 900, dtype=np.uint64))
+    side, key = rng.integers(0, 2, len(fp)), rng.integers(0, 3, len(fp))
+    u, v = simhash_neardup.trie_links(key, side, fp, 1)
+    at = {x: i for i, x in enumerate(fp.tolist())}
+    near = (np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 1) & (side[:, None] != side[None, :]) & (key[:, None] == key[None, :])
+    assert components(len(fp), [(at[a], at[b]) for a, b in zip(u.tolist(), v.tolist())]) == components(len(fp), zip(*np.nonzero(np.triu(near, 1))))
+
+
+def test_nearest_in_group():
+    rng = np.random.default_rng(7)
+    f = rng.integers(0, 1 << 64, 400, dtype=np.uint64)
+    f[200:] = f[:200] ^ (np.uint64(1) << rng.integers(0, 64, 200, dtype=np.uint64))
+    group = np.r_[np.arange(200) % 20, np.arange(200) % 20]
+    x, y = simhash_neardup.nearest_in_group(group, np.full(400, 2), f, 21)
+    assert dict(zip(x.tolist(), y.tolist())) == {i: (i + 200) % 400 for i in range(400)}
 
 
 def test_documents_end_to_end(spark):
