@@ -2,39 +2,57 @@
 
 A word seen in training scores by its log frequency in each language. A word that wasn't falls back to its character
 n-grams (with marks at its ends): the longest length of which any n-gram is known decides, and shorter ones only if
-none is. Counts cover every training document. The model keeps the most frequent words and n-grams of each language,
-within a total that is a parameter, so its broadcast is bounded whatever the corpus; words below that line are scored
-as unseen ones.
+none is. Counts cover every training document, and every word and n-gram is scored by its full counts.
 
-Counting and scoring run over Arrow batches; only (language, word, count) rows are shuffled, summed per batch first.
+The count tables stay distributed. A bounded number of the most frequent words goes to the workers that read the
+texts, and answers for most of them; what a document holds besides, it names with its counts, and these words get
+their scores by joins: on the word table, and, for words that training never saw, on the n-gram table of each length
+in turn. The limit of the broadcast thus decides how much is joined, never what a word scores.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordwise.llm._shared import cut, map_column
+from ordwise.llm._shared import cut, join_small
 
-#: Entries of the model, over all languages.
-MAX_WORDS = 200_000
-MAX_GRAMS = 200_000
+#: Words whose counts workers hold.
+KNOWN_WORDS = 300_000
 LONGEST = 5
-#: Distinct words after which a counting task hands on what it has, and words whose scores a worker keeps.
+#: Distinct words after which a counting task hands on what it has.
 FLUSH = 200_000
-_WORD = re.compile(r"[^\W\d_]+")
+#: Count of a word or n-gram in a language that never showed it.
+ABSENT = 0.5
 UNKNOWN = "und"
 
 
+@cache
+def _letters() -> re.Pattern:
+    """Runs of letters: word characters but digits, numerals and the underscore."""
+    other, start = [], None
+    for c in range(sys.maxunicode + 2):
+        odd = c <= sys.maxunicode and chr(c).isalnum() and not chr(c).isalpha()
+        if odd and start is None:
+            start = c
+        elif not odd and start is not None:
+            other.append(f"\\U{start:08x}-\\U{c - 1:08x}")
+            start = None
+    return re.compile(rf"[^\W_{''.join(other)}]+")
+
+
 def words_of(text: str) -> list[str]:
     """Lower-cased runs of letters."""
-    return _WORD.findall(text.lower())
+    return _letters().findall(text.lower())
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -43,12 +61,19 @@ def grams(word: str, n: int) -> list[str]:
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
+def _grams(word: Column, n: int) -> Column:
+    """The same as an array column."""
+    w = F.concat(F.lit("^"), word, F.lit("$")) if n > 1 else word
+    at = F.when(F.length(w) >= n, F.sequence(F.lit(1), F.length(w) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.substr(w, i, F.lit(n)))
+
+
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[str, Counter] = {}
+    counts: dict[int, Counter] = {}
 
     def out() -> Iterator[pa.RecordBatch]:
         for lang, c in counts.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["lang", "word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.int32()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["lang", "word", "n"])
         counts.clear()
 
     for b in batches:
@@ -60,132 +85,130 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
-def _most_frequent(counts: DataFrame, group: list[str], each: Column, total: str) -> DataFrame:
-    """The most frequent rows per group: the least count is taken with which at most `each` rows remain; ties stay together."""
-    tally = counts.groupBy(*group, "n").agg(F.count(F.lit(1)).alias("rows"))  # few rows: distinct counts
-    upto = F.sum("rows").over(Window.partitionBy(*group).orderBy(F.desc("n")))
-    least = tally.withColumn("upto", upto).where(F.col("upto") <= each).groupBy(*group).agg(F.min("n").alias("least"))
-    least = least.select(*[F.col(g).alias(f"_{g}") for g in group], "least")
-    on = [F.col(g) == F.col(f"_{g}") for g in group]
-    sums = counts.groupBy(*group).agg(F.sum("n").alias(total)).select(*[F.col(g).alias(f"__{g}") for g in group], total)
-    kept = counts.join(least, on).where("n >= least")
-    return kept.join(sums, [F.col(g) == F.col(f"__{g}") for g in group]).select(*group, *[c for c in counts.columns if c not in group], total)
+class Model:
+    """Counts per language. words: the distributed table (word, n: counts by language number)."""
 
+    def __init__(self, langs: list[str], words: DataFrame | None, totals: list[int], distinct: int) -> None:
+        self.langs, self.words, self.totals, self.distinct = langs, words, totals, distinct
+        self.by_length: dict[int, tuple[DataFrame, list[int], int]] = {}
 
-class Model:
-    """Log probabilities per language; picklable and bounded. A table is (row numbers, rows), one row per word or n-gram."""
-
-    def __init__(self, langs: list[str], prior: np.ndarray, words: tuple[dict[str, int], np.ndarray], by_length: dict[int, tuple[dict[str, int], np.ndarray]]) -> None:
-        self.langs, self.prior, self.words, self.by_length = langs, prior, words, by_length
-
-    def word_score(self, word: str) -> np.ndarray:
-        """Log probability per language; zeros if nothing of the word is known."""
-        known = self.words[0].get(word)
-        if known is not None:
-            return self.words[1][known]
-        for n in range(LONGEST, 0, -1):
-            number, rows = self.by_length[n]
-            found = [k for k in map(number.get, grams(word, n)) if k is not None]
-            if found:
-                return rows[found].sum(0) / n
-        return np.zeros(len(self.langs))
-
-
-class Scorer:
-    """Predicts with a model; a worker keeps the scores of a bounded number of words, one row each."""
-
-    def __init__(self, model: Model) -> None:
-        self.model = model
-        self.row: dict[str, int] = {}
-        self.rows = np.zeros((1024, max(1, len(model.langs))))
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """(language, probability); null, letterless, or a model of no language: ("und", 0.0)."""
-        m, row = self.model, self.row
-        words = words_of(text) if text else None
-        if not words or not m.langs:
-            return UNKNOWN, 0.0
-        new = set(words).difference(row)
-        if len(row) + len(new) > FLUSH and row:
-            row.clear()
-            new = set(words)
-        while len(row) + len(new) > len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        for w in new:
-            self.rows[len(row)] = m.word_score(w)
-            row[w] = len(row)
-        total = m.prior.copy()
-        at = np.fromiter(map(row.__getitem__, words), np.int64, len(words))
-        for i in range(0, len(at), 1 << 16):
-            total += self.rows[at[i : i + (1 << 16)]].sum(0)
-        best = int(total.argmax())
-        return m.langs[best], float(1.0 / np.exp(total - total[best]).sum())
+    def prior(self) -> np.ndarray:
+        """Log share of each language; one without a word is never predicted."""
+        with np.errstate(divide="ignore"):
+            return np.log(np.array(self.totals, float) / max(1, sum(self.totals)))
 
+    def grams(self, n: int) -> tuple[DataFrame, list[int], int]:
+        """All n-grams of length n with their counts by language, the totals of these, and how many there are."""
+        if n not in self.by_length:
+            parts = self.words.select(F.explode(_grams(F.col("word"), n)).alias("gram"), "n")
+            sums = parts.groupBy("gram").agg(F.array(*[F.sum(F.get("n", i)) for i in range(len(self.langs))]).alias("n"))
+            self.by_length[n] = _with_totals(cut(sums, f"grams{n}"), len(self.langs))
+        return self.by_length[n]
 
-def fit(labelled: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
-    """Learn from (lang, text), over all rows with both.
 
-    The driver receives at most `max_words` + `max_grams` counts. Smoothing: an absent word counts 0.5.
-    """
+def _with_totals(table: DataFrame, n_langs: int) -> tuple[DataFrame, list[int], int]:
+    row = table.agg(F.count(F.lit(1)), *[F.sum(F.get("n", F.lit(i))) for i in range(n_langs)]).first()
+    return table, [x or 0 for x in row[1:]], row[0]
+
+
+def fit(labelled: DataFrame) -> Model:
+    """Learn from (lang, text), over all rows with both. The driver receives the languages and a total for each."""
     ok = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counted = cut(ok.mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "word-counts")
-    langs = [r["lang"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(max_grams // (2 * LONGEST)).collect()]
+    langs = sorted(r["lang"] for r in ok.select("lang").distinct().collect())
     if not langs:
-        return Model([], np.zeros(0), ({}, np.zeros((0, 0))), {})
-    counted = counted.where(F.col("lang").isin(langs)) if len(langs) == max_grams // (2 * LONGEST) else counted
-    words = _most_frequent(counted, ["lang"], F.lit(max_words // len(langs)), "total")
+        return Model([], None, [], 0)
+    number = F.create_map(*[F.lit(x) for i, k in enumerate(langs) for x in (k, i)])
+    counted = ok.select(F.element_at(number, F.col("lang")).alias("lang"), "text").mapInArrow(_count, "lang int, word string, n long")
+    each = [F.coalesce(F.sum(F.when(F.col("lang") == i, F.col("n"))), F.lit(0)) for i in range(len(langs))]
+    table, totals, distinct = _with_totals(cut(counted.groupBy("word").agg(F.array(*each).alias("n")), "word-counts"), len(langs))
+    return Model(langs, table, totals, distinct)
 
-    def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: dict[tuple[str, int], Counter] = {}
-            for lang, word, n in zip(*(c.to_pylist() for c in b.columns)):
-                for size in range(1, LONGEST + 1):
-                    c = out.setdefault((lang, size), Counter())
-                    for g in grams(word, size):
-                        c[g] += n
-            for (lang, size), c in out.items():
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array([size] * len(c), pa.int32()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["lang", "size", "gram", "n"])
-
-    g = cut(counted.mapInArrow(split, "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")), "gram-counts")
-    g = _most_frequent(g, ["lang", "size"], F.lit(max_grams // (LONGEST * len(langs))), "total")
-    at = {x: i for i, x in enumerate(langs)}
-
-    def table(rows: pa.Table, key: str) -> tuple[dict[str, int], np.ndarray]:
-        totals = np.full(len(langs), 1.0)
-        lang = np.array([at[x] for x in rows.column("lang").to_pylist()], int)
-        totals[lang] = rows.column("total").to_numpy()
-        number: dict[str, int] = {}
-        row = np.array([number.setdefault(k, len(number)) for k in rows.column(key).to_pylist()], int)
-        counts = np.full((len(number), len(langs)), 0.5)
-        counts[row, lang] = rows.column("n").to_numpy()
-        return number, np.log(counts) - np.log(totals + 0.5 * max(1, len(number)))
-
-    sums = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    prior = np.array([sums[x] for x in langs], float)
-    found = g.toArrow()
-    sizes = found.column("size").to_numpy()
-    by_length = {n: table(found.filter(pa.array(sizes == n)), "gram") for n in range(1, LONGEST + 1)}
-    return Model(langs, np.log(prior / prior.sum()), table(words.toArrow(), "word"), by_length)
-
-
-def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """All columns of `docs` (or those of `keep`) with lang_pred and score (0 to 1), replacing columns so named.
 
-    Null texts and texts without a letter: "und", 0. A text of letters of which nothing is known takes the most
-    frequent language. An empty table gives no rows; repeated rows are predicted alike. Whole texts are read.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _logs(n: Column, totals: list[int], distinct: int) -> list[Column]:
+    """Log probability in each language, from counts by language."""
+    return [F.log(F.when(F.get(n, F.lit(i)) > 0, F.get(n, F.lit(i)).cast("double")).otherwise(ABSENT)) - F.lit(float(np.log(t + ABSENT * max(1, distinct)))) for i, t in enumerate(totals)]
+
 
-    def make():  # noqa: ANN202
-        scorer = Scorer(shared.value)
+class Reader:
+    """Sums what a document's frequent words score; one for each task."""
 
-        def run(texts: pa.Array) -> Iterator[tuple[int, list[pa.Array]]]:
-            found = [scorer.predict(x.as_py()) for x in texts]
-            yield len(found), [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
+    def __init__(self, number: dict[str, int], rows: np.ndarray) -> None:
+        self.number, self.rows = number, rows
 
-        return run
+    def read(self, text: str | None) -> tuple[np.ndarray | None, list[dict]]:
+        """Sum of scores by language (None without letters) and the other words with their counts."""
+        words = words_of(text) if text else None
+        if not words:
+            return None, []
+        at = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        rest = Counter([words[i] for i in np.flatnonzero(at < 0)])
+        at = at[at >= 0]
+        total = np.zeros(self.rows.shape[1])
+        for i in range(0, len(at), 1 << 16):
+            total += self.rows[at[i : i + (1 << 16)]].sum(0)
+        return total, [{"w": w, "n": n} for w, n in rest.items()]
+
+
+def _unseen(words: DataFrame, model: Model) -> DataFrame:
+    """Words (w) that training never saw to (w, v: score by language)."""
+    out, rest = [], words
+    langs = range(len(model.langs))
+    for size in range(LONGEST, 0, -1):
+        if not rest.limit(1).count():
+            break
+        table, totals, distinct = model.grams(size)
+        parts = rest.select("w", F.explode(_grams(F.col("w"), size)).alias("g"))
+        met = join_small(parts, table.select("gram", *[c.alias(f"s{i}") for i, c in enumerate(_logs(F.col("n"), totals, distinct))]), F.col("g") == F.col("gram"))
+        found = cut(met.groupBy("w").agg(F.array(*[F.sum(f"s{i}") / size for i in langs]).alias("v")), f"backoff{size}")
+        out.append(found)
+        rest = cut(rest.join(found.select("w"), "w", "left_anti"), "unseen")
+    out.append(rest.select("w", F.array(*[F.lit(0.0) for _ in langs]).alias("v")))
+    scored = out[0]
+    for x in out[1:]:
+        scored = scored.unionByName(x)
+    return scored
+
+
+def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, known_words: int = KNOWN_WORDS) -> DataFrame:
+    """All columns of `docs` (or those of `keep`) with lang_pred and score (0 to 1), replacing columns so named.
 
-    return map_column(docs, text, "string", make, {"lang_pred": "string", "score": "double"}, keep)
+    Null texts and texts without a letter: "und", 0. A text of letters of which nothing is known takes the most
+    frequent language; of languages with one score the first by code point. An empty table gives no rows; repeated
+    rows are predicted alike. Whole texts are read.
+    """
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    if not model.langs:
+        return docs.select(*kept, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    langs, kinds = range(len(model.langs)), dict(docs.dtypes)
+    top = model.words.orderBy(F.desc(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)), "word").limit(known_words)
+    top = top.select("word", *[c.alias(f"s{i}") for i, c in enumerate(_logs(F.col("n"), model.totals, model.distinct))]).toArrow()  # at most known_words rows
+    rows = np.stack([top.column(f"s{i}").to_numpy() for i in langs], axis=1)
+    shared = docs.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate(top.column("word").to_pylist())}, rows))
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(*shared.value)
+        other = pa.list_(pa.struct([("w", pa.string()), ("n", pa.int32())]))
+        for b in batches:
+            found = [reader.read(x.as_py()) for x in b.column(b.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x[0] for x in found], pa.list_(pa.float64())), pa.array([x[1] for x in found], other)], [*b.schema.names[:-1], "known", "other"])
+        pa.default_memory_pool().release_unused()
+
+    inner = docs.select(F.monotonically_increasing_id().alias("rid"), *[F.col(c).alias(f"x{i}") for i, c in enumerate(kept)], F.col(text).cast("string").alias("t"))
+    schema = "rid long, " + "".join(f"x{i} {kinds[c]}, " for i, c in enumerate(kept)) + "known array<double>, other array<struct<w:string,n:int>>"
+    # written: from here on a row has its number, whatever is run again
+    scored = cut(inner.mapInArrow(read, schema), "known-scores")
+    named = scored.where(F.size("other") > 0).select("rid", F.explode("other").alias("o")).select("rid", F.col("o.w").alias("w"), F.col("o.n").alias("n"))
+    distinct = cut(named.select("w").distinct().join(model.words.withColumnRenamed("n", "c"), F.col("w") == F.col("word"), "left").select("w", "c"), "other-words")
+    vectors = distinct.where("c IS NOT NULL").select("w", F.array(*_logs(F.col("c"), model.totals, model.distinct)).alias("v"))
+    vectors = cut(vectors.unionByName(_unseen(distinct.where("c IS NULL").select("w"), model)), "other-scores")
+    more = named.join(vectors.withColumnRenamed("w", "k"), F.col("w") == F.col("k")).groupBy(F.col("rid").alias("r"))
+    more = more.agg(F.array(*[F.sum(F.col("n") * F.get("v", F.lit(i))) for i in langs]).alias("more"))
+    prior = F.array(*[F.lit(float(x)) for x in model.prior()])
+    total = F.zip_with(F.zip_with("known", prior, lambda a, b: a + b), F.coalesce("more", F.array(*[F.lit(0.0) for _ in langs])), lambda a, b: a + b)
+    out = scored.join(more, F.col("rid") == F.col("r"), "left").withColumn("total", total).withColumn("most", F.array_max("total"))
+    best = F.get(F.array(*[F.lit(x) for x in model.langs]), (F.array_position("total", F.col("most")) - 1).cast("int"))
+    score = F.lit(1.0) / F.aggregate("total", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("most")))
+    return out.select(*[F.col(f"x{i}").alias(c) for i, c in enumerate(kept)], F.coalesce(best, F.lit(UNKNOWN)).alias("lang_pred"), F.coalesce(score, F.lit(0.0)).alias("score"))
 
 
 def remainder(doc_id: Column) -> Column:
@@ -193,4 +216,4 @@ def remainder(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(4))
 
 
-__all__ = ["Model", "Scorer", "fit", "predict", "remainder"]
+__all__ = ["Model", "Reader", "fit", "grams", "predict", "remainder", "words_of"]

@@ -1,9 +1,12 @@
 """SentencePiece codec against the library, language identification and the quality classifier on small corpora."""
 
+import math
 import random
+from collections import Counter
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from ordwise.llm import language_id, quality_classifier
 from ordwise.llm import sentencepiece_codec as sp
@@ -69,20 +72,67 @@ def test_unigram_models_take_the_best_path():
         assert abs(sum(scores[i] for i in ids) - best("▁" + w)) < 1e-9
 
 
-def test_language_id(spark):
+def plain_language(rows, text):
+    """The method in plain Python, over complete counts: (language, probability)."""
+    counts = {}
+    for lang, t in rows:
+        if lang is not None and t is not None:
+            counts.setdefault(lang, Counter()).update(language_id.words_of(t))
+    langs = sorted(counts)
+    tables = {0: counts}
+    for n in range(1, 6):
+        tables[n] = {k: Counter() for k in langs}
+        for k in langs:
+            for w, c in counts[k].items():
+                for g in language_id.grams(w, n):
+                    tables[n][k][g] += c
+    every = {n: set().union(*t.values()) for n, t in tables.items()}
+    total = {n: {k: sum(t[k].values()) for k in langs} for n, t in tables.items()}
+    log = lambda n, k, x: math.log(tables[n][k][x] or 0.5) - math.log(total[n][k] + 0.5 * len(every[n]))
+    words = language_id.words_of(text) if text else []
+    if not words:
+        return "und", 0.0
+    score = {k: math.log(total[0][k] / sum(total[0].values())) if total[0][k] else -math.inf for k in langs}
+    for w in words:
+        found, size = [w] if w in every[0] else [], 1
+        n = 0
+        if not found:
+            for n in range(5, 0, -1):
+                size = n
+                if found := [g for g in language_id.grams(w, n) if g in every[n]]:
+                    break
+        for k in langs:
+            score[k] += sum(log(n, k, x) for x in found) / size
+    best = max(langs, key=lambda k: (score[k], -langs.index(k)))
+    return best, 1 / sum(math.exp(s - score[best]) for s in score.values())
+
+
+@pytest.mark.parametrize("known_words", [100_000, 20, 1])
+def test_language_scores_equal_plain_ones_however_few_words_are_broadcast(spark, known_words):
     rng = random.Random(3)
-    parts = {"xx": ["ka", "lo", "mi", "tu"], "yy": ["sch", "ung", "ei", "ber"], None: ["zzz"]}
+    parts = {"xx": ["ka", "lo", "mi", "tu"], "yy": ["sch", "ung", "ei", "ber", "ka"], None: ["zzz"]}
     word = lambda k: "".join(rng.choice(parts[k]) for _ in range(rng.randint(1, 4)))
-    rows = [(i, k, " ".join(word(k) for _ in range(30))) for i in range(60) for k in parts] + [(99, "xx", None), (99, "xx", "")]
+    rows = [(i, k, " ".join(word(k) for _ in range(12))) for i in range(25) for k in parts] + [(99, "xx", None), (99, "xx", ""), (98, "vv", ""), (97, "zz", " ".join(f"{a}{b}q" for a in "abcdefgh" for b in "abcdefghij"))]
     df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
     model = language_id.fit(df)
-    assert sorted(model.langs) == ["xx", "yy"]
-    test = [(1, "KAlolomitu kakaka"), (2, "schungeiber"), (3, None), (4, "12 %"), (5, ""), (6, "本")]
-    got = {r.doc_id: r for r in language_id.predict(spark.createDataFrame(test, "doc_id long, text string"), model).collect()}
-    assert [got[i].lang_pred for i in (1, 2, 3, 4, 5)] == ["xx", "yy", "und", "und", "und"]
-    assert got[6].lang_pred in model.langs and all(0 <= r.score <= 1 for r in got.values())
+    assert model.langs == ["vv", "xx", "yy", "zz"]
+    texts = ["KAlolomitu kakaka", "schungeiber", None, "12 %", "", "本", "½ ② Ⅷ ²", "x½y", "kaq lolo lolo eiei xyz", "cat", "a", "ka " * 300_000, *[r[2] for r in rows[:12]]]
+    test = [(i % 9, t, "mine", 3) for i, t in enumerate(texts + texts[:3])]
+    got = language_id.predict(spark.createDataFrame(test, "doc_id int, text string, lang_pred string, score int").withColumn("rid", F.col("doc_id")), model, known_words=known_words)
+    assert got.columns == ["doc_id", "text", "rid", "lang_pred", "score"]
+    want = {t: plain_language([r[1:] for r in rows], t) for t in texts}
+    found = got.collect()
+    assert Counter(r.text for r in found) == Counter(r[1] for r in test)
+    for r in found:
+        assert r.lang_pred == want[r.text][0] and abs(r.score - want[r.text][1]) < 1e-6, (r.text, r, want[r.text])
+    assert [want[t][0] for t in (None, "12 %", "", "½ ② Ⅷ ²")] == ["und"] * 4
+
+
+def test_language_id_of_empty_tables(spark):
+    df = spark.createDataFrame([(1, "xx", "ka lo")], "doc_id long, lang string, text string")
     none = language_id.fit(df.limit(0))
-    assert language_id.predict(df.limit(2), none).first().lang_pred == "und"
+    assert language_id.predict(df, none).select("lang_pred", "score").first() == ("und", 0.0)
+    assert language_id.predict(df.limit(0), language_id.fit(df)).count() == 0
 
 
 def test_quality_classifier(spark):
