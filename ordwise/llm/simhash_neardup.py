@@ -3,13 +3,13 @@
 Fingerprints are joined with themselves by walking pairs of trie nodes together: a pair of nodes carries the number
 of bits in which their prefixes differ, and is dropped as soon as that exceeds the error budget.
 
-The walk is spread over a cluster by its upper levels: a trie of n fingerprints is cut at depth log2(n / CHUNK), and
-each pair of prefixes there that is still within the budget is a task's to walk on, down to single fingerprints. A
-prefix that holds far more than CHUNK (near copies of one text) is dealt into chunks, whose pairs are walked apart.
-With up to ROOT fingerprints there is one trie. Above, the walk would visit too many pairs: the 64 bits are cut into
-budget + j blocks, of which fingerprints within the budget share j at least, and there is one trie for each choice of
-j blocks and their value; j is the least that leaves about ROOT fingerprints in a trie. No link is lost either way.
-A task reports what it linked as a spanning forest (each fingerprint with the least one it reached), not as pairs.
+Of two fingerprints within the budget, one half of the bits differs in at most half the budget. So there are two
+tries, each with another half in front, and in its upper 32 levels only half the budget is allowed: a walk of n
+fingerprints visits some n * log2(n)^2 / 2 node pairs at a budget of 4, whatever n. The walk is spread over a cluster
+by its first levels: each pair of prefixes that is still within the budget there is a task's to walk on, down to
+single fingerprints. A prefix that holds far more than CHUNK (near copies of one text) is dealt into chunks, whose
+pairs are walked apart. A task reports what it linked as a spanning forest (each fingerprint with the least one it
+reached), not as pairs.
 
 Texts similar at 0.8 differ in too many bits for that (`similar_classes`): there, a longer fingerprint is laid into many
 tries, each with bit positions of its own in front, whose first levels are walked without budget.
@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +31,9 @@ from ordwise.llm.components import connected_components
 
 BUDGET = 4
 SHINGLE = 4
-#: Fingerprints under one prefix that one task walks with those of another.
-CHUNK = 4096
-#: Fingerprints of a trie that is walked from its root without blocks.
-ROOT = 1 << 16
-#: Levels of a trie that are walked in Spark at most.
-UPPER = 12
+#: Fingerprints under one prefix that one task walks with those of another, and first levels that are always prefixes.
+CHUNK = 1 << 15
+LEVELS = 4
 #: A node pair with at most so many fingerprint pairs is a leaf: they are compared.
 LEAF = 8
 #: Similar texts: words of a shingle, their Jaccard similarity, and 64-bit words of their fingerprint.
@@ -92,7 +88,8 @@ def _pairs_below(fp: np.ndarray, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray,
     """Walk pairs of tries together and yield linked index pairs.
 
     A node is a range of the array `fp`, sorted within each trie: [a0, a1) with [b0, b1), the same range for a trie
-    that is joined with itself. seen counts node pairs that were split, pruned by the budget, and compared.
+    that is joined with itself. In the upper 32 levels half the budget is allowed. seen counts node pairs that were
+    split, pruned by the budget, and compared.
     """
     top = _U(63)
     frontier = [(a0, a1, b0, b1, np.zeros(len(a0), np.int64), 0)]
@@ -114,14 +111,14 @@ def _pairs_below(fp: np.ndarray, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray,
         seen["split"] += len(a0)
         bit = top - _U(depth)
         am, bm = _split(fp, a0, a1, bit), _split(fp, b0, b1, bit)
-        same = a0 == b0
+        same, allowed = a0 == b0, budget // 2 if depth < 32 else budget
         parts = [(a0, am, b0, bm, err), (am, a1, bm, b1, err), (a0, am, bm, b1, err + 1), (am, a1, b0, bm, err + 1)]
         keep = []
         for k, (p0, p1, q0, q1, e) in enumerate(parts):
             there = (p1 > p0) & (q1 > q0)
             if k == 3:
                 there &= ~same  # the mirror of the third
-            ok = there & (e <= budget)
+            ok = there & (e <= allowed)
             seen["pruned"] += int(there.sum() - ok.sum())
             keep.append((p0[ok], p1[ok], q0[ok], q1[ok], e[ok]))
         frontier.append((*(np.concatenate(c) for c in zip(*keep)), depth + 1))
@@ -212,6 +209,7 @@ def _sides(key: np.ndarray, side: np.ndarray, fp: np.ndarray) -> tuple[np.ndarra
 def trie_links(key: np.ndarray, side: np.ndarray, fp: np.ndarray, budget: int = BUDGET, seen: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links among fingerprints of equal key as a forest: (fp, least fp reached in its group), as unsigned.
 
+    Links whose upper 32 bits differ in more than half the budget are left to the trie of the other half.
     key: groups, in any order; side as in `_sides`. seen: gets counts of the walk.
     """
     order, ranges = _sides(key, side, fp)
@@ -223,48 +221,6 @@ def trie_links(key: np.ndarray, side: np.ndarray, fp: np.ndarray, budget: int =
     return fp[hung], fp[forest.root[hung]]
 
 
-def _choices(n: int, budget: int, root: int) -> list[tuple[int, list[int]]]:
-    """For each trie family: the mask of the bits that must be equal, and the others from the highest."""
-    j = 0
-    while 64 * j / (budget + j) < math.log2(max(n, 1)) - math.log2(root) if budget + j else False:
-        j += 1
-    blocks = [range(64 * i // (budget + j), 64 * (i + 1) // (budget + j)) for i in range(budget + j)] if j else []
-    out = []
-    for chosen in combinations(blocks, j):
-        held = {b for block in chosen for b in block}
-        out.append((sum(1 << b for b in held), [b for b in range(63, -1, -1) if b not in held]))
-    return out
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-def _dealt(spread: DataFrame, budget: int, chunk: int, by: str) -> DataFrame:
-    """Rows (key, lead, ...) to those of each pair of units that a task walks: with lo and hi (units) and side added.
-
-    lead: UPPER bits, of which a trie of n rows takes the first log2(n / chunk) as a prefix. A unit is a chunk of a
-    prefix; rows fall into chunks by the hash of `by`. Prefixes meet if they differ in at most `budget` bits.
-    """
-    spark = spread.sparkSession
-    depth = F.least(F.lit(UPPER), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / chunk)))).cast("int")
-    sizes = cut(spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("k"), depth.alias("depth")), "trie-sizes")
-    rows = join_small(spread, sizes, F.col("key") == F.col("k")).drop("k").withColumn("prefix", F.expr(f"shiftright(lead, {UPPER} - depth)")).drop("lead")
-    nodes = rows.groupBy("key", "prefix").agg(F.ceil(F.count(F.lit(1)) / (2 * chunk)).cast("int").alias("chunks"))
-    nodes = cut(nodes.select(F.col("key").alias("k"), F.col("prefix").alias("p"), "chunks"), "trie-nodes")
-    # at most 2^UPPER masks a depth, whatever the data
-    masks = spark.createDataFrame([(d, m) for d in range(UPPER + 1) for m in range(1 << d) if m.bit_count() <= budget], "d int, mask int")
-    rows = join_small(rows, nodes, (F.col("key") == F.col("k")) & (F.col("prefix") == F.col("p"))).drop("k", "p")
-    rows = rows.withColumn("c", F.pmod(F.xxhash64(by), F.col("chunks")).cast("int")).drop("chunks")
-    rows = rows.join(F.broadcast(masks), F.col("depth") == F.col("d")).withColumn("q", F.col("prefix").bitwiseXOR(F.col("mask"))).drop("d", "mask", "depth")
-    rows = join_small(rows, nodes, (F.col("key") == F.col("k")) & (F.col("q") == F.col("p"))).drop("k", "p")
-    rows = rows.withColumn("oc", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
-    unit = lambda p, c: F.shiftleft(F.col(p).cast("long"), 40).bitwiseOR(F.col(c).cast("long"))
-    rows = rows.withColumns({"me": unit("prefix", "c"), "it": unit("q", "oc")}).drop("prefix", "q", "c", "oc")
-    side = F.when(F.col("me") == F.col("it"), 2).when(F.col("me") < F.col("it"), 0).otherwise(1)
-    return rows.withColumns({"lo": F.least("me", "it"), "hi": F.greatest("me", "it"), "side": side}).drop("me", "it")
-
-
 def _by_unit_pair(rows: DataFrame, payload: list[str], make, schema: str) -> DataFrame:  # noqa: ANN001
     """Give each (key, lo, hi) of `rows` whole to one call of make(group numbers, side, *payload columns)."""
 
@@ -296,21 +252,39 @@ def _by_unit_pair(rows: DataFrame, payload: list[str], make, schema: str) -> Dat
     return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").select("key", "lo", "hi", "side", *payload).mapInArrow(run, schema)
 
 
-def fingerprint_links(distinct: DataFrame, budget: int = BUDGET, chunk: int = CHUNK, root: int = ROOT) -> DataFrame:
+def _turned(fp: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Fingerprints with their halves exchanged where t is 1."""
+    return np.where(t == 1, (fp << _U(32)) | (fp >> _U(32)), fp)
+
+
+def fingerprint_links(distinct: DataFrame, budget: int = BUDGET, chunk: int = CHUNK) -> DataFrame:
     """Distinct fingerprints (fp long) to edges (u, v) that connect exactly what links within `budget` bits connect."""
-    each = []
-    for t, (held, free) in enumerate(_choices(distinct.count(), budget, root)):
-        lead = F.lit(0)
-        for b in free[:UPPER]:
-            lead = F.shiftleft(lead, 1).bitwiseOR(F.shiftrightunsigned("fp", b).bitwiseAND(F.lit(1)).cast("int"))
-        each.append(F.struct(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(held)))).alias("key"), lead.alias("lead")))
-    spread = cut(distinct.select("fp", F.explode(F.array(*each)).alias("at")).select("fp", "at.key", "at.lead"), "tries")
-
-    def walk(group: np.ndarray, side: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        u, v = trie_links(group, side, fp.view(_U), budget)
-        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
-
-    return _by_unit_pair(_dealt(spread, budget, chunk, "fp"), ["fp"], walk, "u long, v long").distinct()
+    depth = max(LEVELS, math.ceil(math.log2(max(distinct.count(), 1) / chunk)))
+    swapped = F.shiftleft("fp", 32).bitwiseOR(F.shiftrightunsigned("fp", 32))
+    rows = distinct.select(F.explode(F.array(*[F.struct(F.lit(t).cast("long").alias("key"), x.alias("fp")) for t, x in enumerate((F.col("fp"), swapped))])).alias("r")).select("r.*")
+    rows = rows.withColumn("prefix", F.shiftrightunsigned("fp", 64 - depth))
+    nodes = rows.groupBy("key", "prefix").agg(F.ceil(F.count(F.lit(1)) / (2 * chunk)).cast("int").alias("chunks"))
+    nodes = cut(nodes.select(F.col("key").alias("k"), F.col("prefix").alias("p"), "chunks"), "trie-nodes")
+    there = (F.col("key") == F.col("k")) & (F.col("prefix") == F.col("p"))
+    rows = join_small(rows, nodes, there).withColumn("c", F.pmod(F.xxhash64("fp"), F.col("chunks"))).select("key", "fp", F.col("prefix").alias("own"), "c")
+    # the prefixes within the budget: their number depends on the depth and the budget alone
+    near = F.array(*[F.lit(m).cast("long") for m in range(1 << depth) if m.bit_count() <= budget // 2])
+    rows = join_small(rows.withColumn("mask", F.explode(near)).withColumn("prefix", F.col("own").bitwiseXOR(F.col("mask"))), nodes, there)
+    rows = rows.select("key", "fp", "own", "c", "prefix", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)).alias("oc"))
+    me, it = (F.shiftleft(F.col(p), 32).bitwiseOR(F.col(c)) for p, c in (("own", "c"), ("prefix", "oc")))
+    side = F.when(me == it, 2).when(me < it, 0).otherwise(1)
+    rows = rows.select("key", F.least(me, it).alias("lo"), F.greatest(me, it).alias("hi"), side.alias("side"), F.col("key").alias("t"), "fp")
+
+    def walk(group: np.ndarray, side: np.ndarray, t: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        ends = []
+        for half in (0, 1):
+            of = t == half
+            u, v = trie_links(group[of], side[of], fp[of].view(_U), budget)
+            ends.append([_turned(x, np.full(len(x), half)).view(np.int64) for x in (u, v)])
+        u, v = (np.concatenate(x) for x in zip(*ends))
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return _by_unit_pair(rows, ["t", "fp"], walk, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:

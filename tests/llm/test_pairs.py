@@ -51,13 +51,13 @@ def flips(rng, base, most):
     return base
 
 
-@pytest.mark.parametrize(("seed", "chunk", "balls", "budget", "root"), [(1, 4096, 40, 4, 1 << 16), (2, 16, 4, 4, 1 << 16), (3, 7, 1, 4, 64), (4, 16, 9, 4, 1), (5, 50, 9, 0, 1), (6, 8, 9, 1, 1 << 16), (7, 64, 9, 6, 32), (8, 40, 5, 2, 8)])
-def test_links_connect_what_brute_force_connects(spark, seed, chunk, balls, budget, root):
+@pytest.mark.parametrize(("seed", "chunk", "balls", "budget"), [(1, 4096, 40, 4), (2, 16, 4, 4), (3, 7, 1, 4), (4, 2, 9, 4), (5, 50, 9, 0), (6, 8, 9, 1), (7, 64, 9, 6), (8, 40, 5, 3)])
+def test_links_connect_what_brute_force_connects(spark, seed, chunk, balls, budget):
     rng = random.Random(seed)
     centres = [rng.getrandbits(64) for _ in range(balls)]
     fps = sorted({flips(rng, rng.choice(centres), budget + 1) for _ in range(250)} | {rng.getrandbits(64) for _ in range(100)} | {0, (1 << 64) - 1})
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    edges = simhash_neardup.fingerprint_links(spark.createDataFrame([(s,) for s in signed], "fp long"), budget, chunk, root).collect()
+    edges = simhash_neardup.fingerprint_links(spark.createDataFrame([(s,) for s in signed], "fp long"), budget, chunk).collect()
     at = {s: i for i, s in enumerate(signed)}
     got = components(len(fps), [(at[u], at[v]) for u, v in edges])
     assert got == components(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= budget])
@@ -66,14 +66,18 @@ def test_links_connect_what_brute_force_connects(spark, seed, chunk, balls, budg
 @pytest.mark.parametrize("budget", range(7))
 def test_walk_splits_prunes_and_links(budget):
     rng = np.random.default_rng(5)
-    fp = np.unique(np.r_[rng.integers(0, 1 << 64, 2000, dtype=np.uint64), rng.integers(0, 1 << 16, 300, dtype=np.uint64)])
+    near = np.uint64(0xABCDEF0123456789) ^ (np.uint64(1) << rng.integers(0, 64, (300, 4), dtype=np.uint64)).sum(1, dtype=np.uint64)
+    fp = np.unique(np.r_[rng.integers(0, 1 << 64, 2000, dtype=np.uint64), near])
     seen = {"split": 0, "pruned": 0, "compared": 0}
-    u, v = simhash_neardup.trie_links(np.zeros(len(fp), np.int64), np.full(len(fp), 2), fp, budget, seen)
     at = {x: i for i, x in enumerate(fp.tolist())}
-    got = components(len(fp), [(at[a], at[b]) for a, b in zip(u.tolist(), v.tolist())])
-    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= budget
-    assert got == components(len(fp), zip(*np.nonzero(np.triu(near, 1))))
-    assert seen["split"] > 1000 and seen["pruned"] > 1000 and (budget > 4 or seen["compared"] < len(fp) ** 2 / 8)
+    pairs = []
+    for half in (0, 1):
+        t = np.full(len(fp), half)
+        u, v = simhash_neardup.trie_links(np.zeros(len(fp), np.int64), np.full(len(fp), 2), simhash_neardup._turned(fp, t), budget, seen)
+        pairs += [(at[a], at[b]) for a, b in zip(*(simhash_neardup._turned(x, t[: len(x)]).tolist() for x in (u, v)))]
+    close = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= budget
+    assert components(len(fp), pairs) == components(len(fp), zip(*np.nonzero(np.triu(close, 1))))
+    assert seen["split"] > 1000 and seen["pruned"] > 1000 and seen["compared"] < len(fp) ** 2 / 20
 
 
 def test_walk_of_two_sides():
