@@ -2,8 +2,15 @@
 
 Per document a few counts are taken. The documents that pass two fixed base rules feed mergeable quantile sketches
 (KLL), one for each metric, language and source; sketches of small groups are merged into their language's, and
-those of small languages into one of all. Fences around the middle of each distribution are then joined back to
-the counts. Only DataFrame functions are used; the text is read once, and only counts are shuffled.
+those of small languages into one of all. Their quantiles are the thresholds, joined back to the counts:
+
+  what should be rare (symbols, repeated lines, repeated words, each a word): some times the group's usual upper level.
+      That level climbs from the median over the quantiles of CLIMB while they rise steadily; above a gap stands what
+      does not belong to the group, however much of it there is. A source in which symbols are common allows them.
+  mean word length: some interquartile ranges around the group's median, and the spread that few words make.
+
+No threshold is a constant; only whole items of rounding are added. Only DataFrame functions are used; the text is read
+once, and only counts are shuffled.
 """
 
 from __future__ import annotations
@@ -18,10 +25,13 @@ SYMBOLS = "#*$%&|<>"
 SKETCH_K = 4096
 #: A group with fewer rows takes its language's thresholds, a language with fewer those of all rows.
 LEAST_ROWS = 30
-#: Metric: (numerator, how far beyond the quartiles in interquartile ranges, slack of the ratio, slack in items).
-METRICS = {"symbols": ("n_symbols", 3.0, 0.1, 2.0), "dup_lines": ("n_dup_lines", 3.0, 0.01, 2.0), "repeats": ("n_repeat_words", 3.0, 0.1, 20.0)}
-#: Mean word length may leave the median by so many interquartile ranges, characters, and characters times 1/sqrt(words).
-WORD_LENGTH = (4.0, 1.0, 8.0)
+#: Metric: (numerator, what the next quantile may add to three times the one below, items that are always allowed).
+METRICS = {"symbols": ("n_symbols", 0.02, 2), "dup_lines": ("n_dup_lines", 0.01, 1), "repeats": ("n_repeat_words", 0.05, 10)}
+CLIMB = (50, 75, 90, 95, 99)
+#: The level may be exceeded so many times.
+TIMES = 3.0
+#: Mean word length may leave the median by so many interquartile ranges, and characters times 1/sqrt(words).
+WORD_LENGTH = (4.0, 8.0)
 
 
 def counts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "source"), text: str = "text") -> DataFrame:
@@ -37,17 +47,19 @@ def counts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "source")
         long(F.length(F.array_join("__w", ""))).alias("word_chars"),
         long(F.length("__t") - F.length(F.translate("__t", SYMBOLS, ""))).alias("n_symbols"),
         long(F.size("__lines") - F.size(F.array_distinct("__lines"))).alias("n_dup_lines"),
-        F.when(n >= 5, F.transform(F.sequence(F.lit(1), n - 4), lambda i: F.array_join(F.slice("__w", i, 5), " "))).otherwise(F.array().cast("array<string>")).alias("__five"),
+        F.when(n >= 5, F.transform(F.sequence(F.lit(1), n - 4), lambda i: F.xxhash64(F.slice("__w", i, 5)))).otherwise(F.array().cast("array<long>")).alias("__five"),
+        "__w",
     )
-    some = F.size(F.array_distinct("__five")) < F.size("__five")  # few texts repeat anything: only theirs are sorted
-    df = df.withColumn("__sorted", F.when(some, F.sort_array(F.transform("__five", lambda x, i: F.struct(x.alias("k"), i.alias("i"))))))
+    some = F.size(F.array_distinct("__five")) < F.size("__five")  # few texts repeat anything: only their words are compared
+    five = F.transform("__five", lambda _, i: F.struct(F.array_join(F.slice("__w", i + 1, 5), " ").alias("k"), i.alias("i")))
+    df = df.withColumn("__sorted", F.when(some, F.sort_array(five)))
     same = lambda x, j: (x["k"] == F.get("__sorted", j - 1)["k"]) | (x["k"] == F.get("__sorted", j + 1)["k"])
     at = F.transform(F.filter("__sorted", lambda x, j: F.coalesce(same(x, j), x["k"] == F.get("__sorted", j + 1)["k"], x["k"] == F.get("__sorted", j - 1)["k"])), lambda x: x["i"])
     df = df.withColumn("__at", F.sort_array(at))
     covered = F.aggregate(F.transform("__at", lambda p, j: F.least(F.lit(5), F.coalesce(F.get("__at", j + 1) - p, F.lit(5)))), F.lit(0), lambda a, x: a + x)
     df = df.withColumn("n_repeat_words", long(F.coalesce(covered, F.lit(0))))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return df.drop("__five", "__sorted", "__at").withColumn("base_failed", failed)
+    return df.drop("__w", "__five", "__sorted", "__at").withColumn("base_failed", failed)
 
 
 def _ratio(name: str) -> Column:
@@ -55,7 +67,7 @@ def _ratio(name: str) -> Column:
 
 
 def thresholds(counted: DataFrame) -> DataFrame:
-    """Per (lang, source): max_symbols, max_dup_lines, max_repeats, mid_length, len_range, from merged sketches."""
+    """Per (lang, source): top_symbols, top_dup_lines, top_repeats, mid_length, len_range, from merged sketches."""
     ok = counted.where(~F.col("base_failed"))
     metric = {k: _ratio(v[0]) for k, v in METRICS.items()} | {"length": _ratio("word_chars")}
     group = cut(ok.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(c, F.lit(SKETCH_K)).alias(k) for k, c in metric.items()]), "sketches")
@@ -64,14 +76,21 @@ def thresholds(counted: DataFrame) -> DataFrame:
     of_all = merged(by_lang, [])
 
     def quantiles(df: DataFrame, prefix: str) -> DataFrame:
-        at = lambda k, q: F.kll_sketch_get_quantile_double(k, F.lit(q)).alias(f"{prefix}_{k}_{int(q * 100)}")
-        return df.select(*[c for c in df.columns if c in ("lang", "source")], F.col("n").alias(f"{prefix}_n"), *[at(k, q) for k in metric for q in (0.25, 0.5, 0.75)])
+        at = lambda k: F.array(*[F.kll_sketch_get_quantile_double(k, F.lit(q / 100)) for q in (25, *CLIMB)]).alias(f"{prefix}_{k}")
+        return df.select(*[c for c in df.columns if c in ("lang", "source")], F.col("n").alias(f"{prefix}_n"), *[at(k) for k in metric])
 
     g, lang, al = quantiles(group, "g"), quantiles(by_lang, "l").withColumnRenamed("lang", "l"), quantiles(of_all.where("n > 0"), "a")
     t = join_small(g, lang, F.col("lang").eqNullSafe(F.col("l")), "left").join(F.broadcast(al), F.lit(True), "left")  # al: one row
-    pick = lambda k, q: F.when(F.col("g_n") >= LEAST_ROWS, F.col(f"g_{k}_{q}")).when(F.col("l_n") >= LEAST_ROWS, F.col(f"l_{k}_{q}")).otherwise(F.col(f"a_{k}_{q}"))
-    upper = lambda k: (pick(k, 75) + METRICS[k][1] * (pick(k, 75) - pick(k, 25)) + METRICS[k][2]).alias(f"max_{k}")
-    return t.select("lang", "source", *[upper(k) for k in METRICS], pick("length", 50).alias("mid_length"), (pick("length", 75) - pick("length", 25)).alias("len_range"))
+    pick = lambda k: F.when(F.col("g_n") >= LEAST_ROWS, F.col(f"g_{k}")).when(F.col("l_n") >= LEAST_ROWS, F.col(f"l_{k}")).otherwise(F.col(f"a_{k}"))
+    t = t.select("lang", "source", *[pick(k).alias(k) for k in metric])
+
+    def top(k: str) -> Column:
+        steady = lambda a, x: a["on"] & (x <= 3 * a["top"] + METRICS[k][1])
+        climb = lambda a, x: F.struct(F.when(steady(a, x), x).otherwise(a["top"]).alias("top"), steady(a, x).alias("on"))
+        return F.aggregate(F.slice(k, 3, len(CLIMB) - 1), F.struct(F.get(k, F.lit(1)).alias("top"), F.lit(True).alias("on")), climb, lambda a: a["top"]).alias(f"top_{k}")
+
+    at = lambda i: F.get("length", F.lit(i))
+    return t.select("lang", "source", *[top(k) for k in METRICS], at(1).alias("mid_length"), (at(2) - at(0)).alias("len_range"))
 
 
 def judge(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -85,9 +104,9 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
     fences = cut(thresholds(counted).withColumnsRenamed({"lang": "__l", "source": "__s"}), "fences")
     on = F.col("lang").eqNullSafe(F.col("__l")) & F.col("source").eqNullSafe(F.col("__s"))
     out = join_small(counted, fences, on, "left")
-    iqr, flat, thin = WORD_LENGTH
-    inside = F.abs(_ratio("word_chars") - F.col("mid_length")) <= iqr * F.col("len_range") + flat + thin / F.sqrt("n_words")
-    for k, (count, _, _, items) in METRICS.items():
-        inside = inside & (_ratio(count) <= F.col(f"max_{k}") + items / F.col("n_words"))
+    iqr, thin = WORD_LENGTH
+    inside = F.abs(_ratio("word_chars") - F.col("mid_length")) <= iqr * F.col("len_range") + thin / F.sqrt("n_words")
+    for k, (count, _, items) in METRICS.items():
+        inside = inside & (F.col(count) <= TIMES * F.col(f"top_{k}") * F.col("n_words") + items)
     kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce(inside, F.lit(True)))
     return out.select(*counted.columns, kept.alias("kept"))

@@ -31,16 +31,16 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-_Q = {m: {q: f"min(CASE WHEN r_{m} >= {q / 100} * n THEN {m} END)" for q in (25, 50, 75)} for m in ("symbols", "dup_lines", "repeats", "length")}
+_Q = (25, *quality_rules.CLIMB)
 
 
 def _levels() -> str:
-    """Quartiles for (lang, source), for lang and for all, each with its row count."""
-    out = []
+    """Quantiles for (lang, source), for lang and for all, each with its row count."""
+    out, metrics = [], (*quality_rules.METRICS, "length")
     for name, keys in (("g", "lang, source"), ("l", "lang"), ("a", "")):
         part = f"PARTITION BY {keys}" if keys else ""
-        ranks = ", ".join(f"row_number() OVER ({part} ORDER BY {m}) AS r_{m}" for m in _Q)
-        picks = ", ".join(f"{_Q[m][q]} AS {name}_{m}_{q}" for m in _Q for q in _Q[m])
+        ranks = ", ".join(f"row_number() OVER ({part} ORDER BY {m}) AS r_{m}" for m in metrics)
+        picks = ", ".join(f"min(CASE WHEN r_{m} >= {q / 100}::DOUBLE * n THEN {m} END) AS {name}_{m}_{q}" for m in metrics for q in _Q)
         by = f"GROUP BY {keys}" if keys else ""
         out.append(f"{name} AS (SELECT {keys + ',' if keys else ''} max(n) AS {name}_n, {picks} FROM (SELECT *, count(*) OVER ({part}) AS n, {ranks} FROM ok) {by})")
     return ", ".join(out)
@@ -51,11 +51,21 @@ def _pick(m: str, q: int) -> str:
     return f"(CASE WHEN g_n >= {n} THEN g_{m}_{q} WHEN l_n >= {n} THEN l_{m}_{q} ELSE a_{m}_{q} END)"
 
 
+def _tops() -> str:
+    """The level of each metric, climbing over the quantiles while they rise steadily."""
+    out = []
+    for m, (_, more, _) in quality_rules.METRICS.items():
+        out.append(f"{_pick(m, quality_rules.CLIMB[0])} AS t0_{m}, true AS s0_{m}")
+        for i, q in enumerate(quality_rules.CLIMB[1:]):
+            out.append(f"s{i}_{m} AND {_pick(m, q)} <= 3 * t{i}_{m} + {more}::DOUBLE AS s{i + 1}_{m}, CASE WHEN s{i + 1}_{m} THEN {_pick(m, q)} ELSE t{i}_{m} END AS t{i + 1}_{m}")
+    return ", ".join(out)
+
+
 def _inside() -> str:
-    iqr, flat, thin = quality_rules.WORD_LENGTH
-    parts = [f"abs(length - {_pick('length', 50)}) <= {iqr} * ({_pick('length', 75)} - {_pick('length', 25)}) + {flat} + {thin} / sqrt(n_words)"]
-    for m, (_, k, slack, items) in quality_rules.METRICS.items():
-        parts.append(f"{m} <= {_pick(m, 75)} + {k} * ({_pick(m, 75)} - {_pick(m, 25)}) + {slack} + {items} / n_words")
+    iqr, thin = quality_rules.WORD_LENGTH
+    parts = [f"abs(length - {_pick('length', 50)}) <= {iqr}::DOUBLE * ({_pick('length', 75)} - {_pick('length', 25)}) + {thin}::DOUBLE / sqrt(n_words)"]
+    for m, (count, _, items) in quality_rules.METRICS.items():
+        parts.append(f"{count} <= {quality_rules.TIMES}::DOUBLE * t{len(quality_rules.CLIMB) - 1}_{m} * n_words + {items}")
     return " AND ".join(f"({p})" for p in parts)
 
 
@@ -74,9 +84,9 @@ m AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 ok AS (SELECT * FROM m WHERE NOT base_failed), {_levels()}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   CASE WHEN base_failed THEN false ELSE coalesce({_inside()}, true) END AS kept
-FROM m LEFT JOIN g ON m.lang IS NOT DISTINCT FROM g.lang AND m.source IS NOT DISTINCT FROM g.source
-LEFT JOIN l ON m.lang IS NOT DISTINCT FROM l.lang LEFT JOIN a ON true
-""".replace(", l AS (SELECT lang,", ", ql AS (SELECT lang,").replace("LEFT JOIN l ON m.lang IS NOT DISTINCT FROM l.lang", "LEFT JOIN ql ON m.lang IS NOT DISTINCT FROM ql.lang")
+FROM (SELECT m.*, g.* EXCLUDE (lang, source), l.* EXCLUDE (lang), a.*, {_tops()} FROM m LEFT JOIN g ON m.lang IS NOT DISTINCT FROM g.lang AND m.source IS NOT DISTINCT FROM g.source
+LEFT JOIN ql ON m.lang IS NOT DISTINCT FROM ql.lang LEFT JOIN a ON true)
+""".replace(", l AS (SELECT lang,", ", ql AS (SELECT lang,").replace("l.* EXCLUDE (lang)", "ql.* EXCLUDE (lang)")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
