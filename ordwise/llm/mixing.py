@@ -7,7 +7,9 @@ to the next pair. Pairs are formed within blocks of a source's units ordered by
 documents of like size. What a block leaves over (at most one unit) enters the next level of the reduction tree; a
 source's last unit is decided by a coin with its remaining probability.
 
-Only DataFrame functions are used. A block holds a bounded number of narrow rows, whatever a source's size.
+Rows that agree in id, source, size and text are counted first: n of them with probability p are floor(n * p) taken
+ones and one unit with what is left, so copies never meet in one block. Only DataFrame functions are used. A block
+holds a bounded number of narrow rows, whatever a source's size.
 """
 
 from __future__ import annotations
@@ -15,10 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ordwise.llm._shared import cut, drop_cut, join_small, n_words
+from ordwise.llm._shared import cut, join_small, n_words
 
 #: Rows that a block has on average; a hash deals them, so a block can have a few more.
 BLOCK = 512
+#: Copies of a row that are written out by one task.
+RUN = 4096
 EPS = 1e-9
 
 
@@ -50,26 +54,32 @@ def _coin(*parts: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") * F.lit(2.0**-53)
 
 
-def _pivot(units: DataFrame, key: list[str], seed: int, level: int) -> DataFrame:
-    """One level of the tree: units (source, doc_id, size, base, p) in blocks to rows done or left over."""
-    unit = "struct<neg long, doc_id long, base int, p double>"
+#: What a unit is: equal rows, of which `base` are taken once more than all are, and one with probability p.
+_UNIT = ("doc_id", "digest", "n")
+
+
+def _pivot(units: DataFrame, seed: int, level: int) -> DataFrame:
+    """One level of the tree: units (source, size, base, p, ...) in blocks to units done (p = -1) or left over."""
+    unit = "struct<neg:bigint, doc_id:bigint, digest:string, n:bigint, base:bigint, p:double>"
+
+    def made(x: Column, base: Column, p: Column) -> Column:
+        return F.struct(x["neg"].alias("neg"), *[x[c].alias(c) for c in _UNIT], base.cast("long").alias("base"), p.alias("p"))
 
     def step(acc: Column, x: Column) -> Column:
         a, b, had = acc["carry"], x, acc["carry"].isNotNull()
         pa, pb = a["p"], b["p"]
         both = pa + pb
-        u = _coin(F.lit(seed), F.lit(level), a["doc_id"], b["doc_id"], a["neg"], b["neg"], acc["n"])
+        u = _coin(F.lit(seed), F.lit(level), a["doc_id"], b["doc_id"], a["digest"], b["digest"], a["neg"], b["neg"], acc["n"])
         low = both < 1 - EPS
         a_goes_on = F.when(low, u * both < pa).otherwise(u * (2 - both) >= 1 - pb)
         # low: who goes on has all the mass, the other 0; else who stops has 1 and the other goes on with the rest
         stops = F.when(low, F.lit(0)).otherwise(F.lit(1))
-        rest = F.when(low, both).otherwise(F.greatest(both - 1, F.lit(0.0)))
+        left = F.when(low, both).otherwise(F.greatest(both - 1, F.lit(0.0)))
         on = F.when(a_goes_on, a).otherwise(b)
         off = F.when(a_goes_on, b).otherwise(a)
-        done = F.struct(off["neg"].alias("neg"), off["doc_id"].alias("doc_id"), (off["base"] + stops).alias("base"), F.lit(-1.0).alias("p"))
-        whole = rest < EPS
-        out = F.concat(acc["out"], F.array(done), F.when(whole, F.array(F.struct(on["neg"].alias("neg"), on["doc_id"].alias("doc_id"), on["base"].alias("base"), F.lit(-1.0).alias("p")))).otherwise(F.array().cast(f"array<{unit}>")))
-        carry = F.when(~whole, F.struct(on["neg"].alias("neg"), on["doc_id"].alias("doc_id"), on["base"].alias("base"), rest.alias("p")))
+        done, whole = made(off, off["base"] + stops, F.lit(-1.0)), left < EPS
+        out = F.concat(acc["out"], F.array(done), F.when(whole, F.array(made(on, on["base"], F.lit(-1.0)))).otherwise(F.array().cast(f"array<{unit}>")))
+        carry = F.when(~whole, made(on, on["base"], left))
         return F.struct(
             F.when(had, out).otherwise(acc["out"]).alias("out"),
             F.when(had, carry).otherwise(b).alias("carry"),
@@ -78,72 +88,109 @@ def _pivot(units: DataFrame, key: list[str], seed: int, level: int) -> DataFrame
 
     start = F.struct(F.array().cast(f"array<{unit}>").alias("out"), F.lit(None).cast(unit).alias("carry"), F.lit(0).alias("n"))
     finish = lambda acc: F.when(acc["carry"].isNotNull(), F.concat(acc["out"], F.array(acc["carry"]))).otherwise(acc["out"])
-    block = F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("neg"), "doc_id", "base", "p")))
+    block = F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("neg"), *_UNIT, "base", "p")))
     return (
-        units.groupBy(*key)
+        units.groupBy("source", "block")
         .agg(block.alias("units"))
         .select("source", F.explode(F.aggregate("units", start, step, finish)).alias("u"))
-        .select("source", F.col("u.doc_id").alias("doc_id"), (-F.col("u.neg")).alias("size"), F.col("u.base").alias("base"), F.col("u.p").alias("p"))
+        .select("source", *[F.col(f"u.{c}").alias(c) for c in _UNIT], (-F.col("u.neg")).alias("size"), F.col("u.base").alias("base"), F.col("u.p").alias("p"))
     )
 
 
 def copies(sizes: DataFrame, targets: DataFrame, seed: int = 7, block: int = BLOCK) -> DataFrame:
-    """How often to take each row: doc_id, source, size, source_size, target, copies (int).
+    """How often to take rows: doc_id, source, size, digest, n (equal rows), source_size, target, base, extra.
 
-    sizes: doc_id, source, size; targets as of `source_targets`. One row for each row of `sizes`, also for
-    repeated rows; a null doc_id is a unit like any other.
+    sizes: doc_id, source, size, digest (of the text); targets as of `source_targets`. `extra` of the n rows are taken
+    base + 1 times, the others `base` times. A null doc_id is a value like any other.
     """
     t = targets.select("source", "source_size", "target", "n_docs")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate + EPS)
-    plan = t.withColumn("base", whole.cast("int")).withColumn("p", F.when(rate - whole > EPS, rate - whole).otherwise(F.lit(0.0))).withColumnRenamed("source", "s")
-    units = join_small(sizes, plan, F.col("source").eqNullSafe(F.col("s")), "inner")
-    settled = units.where(F.col("p") == 0).select("source", "doc_id", "size", "base")
-    most = plan.where(F.col("p") > 0).agg(F.max("n_docs")).first()[0] or 0
+    plan = t.withColumn("always", whole.cast("int")).withColumn("rate", F.when(rate - whole > EPS, rate - whole).otherwise(F.lit(0.0))).withColumnRenamed("source", "s")
+    classes = sizes.groupBy("source", "doc_id", "size", "digest").agg(F.count(F.lit(1)).alias("n"))
+    units = join_small(classes, plan.select("s", "rate", "n_docs"), F.col("source").eqNullSafe(F.col("s")), "inner")
+    mass = F.col("n") * F.col("rate")
+    units = units.withColumn("base", F.floor(mass + EPS)).withColumn("p", mass - F.col("base"))
+    units = units.withColumn("p", F.when(F.col("p") > EPS, F.col("p")).otherwise(F.lit(0.0)))
+    cols = ["source", "doc_id", "size", "digest", "n", "base"]
+    most = plan.where(F.col("rate") > 0).agg(F.max("n_docs")).first()[0] or 0
     blocks = F.greatest(F.ceil(F.col("n_docs") / block), F.lit(1))
-    live = units.where(F.col("p") > 0).select("source", "doc_id", "size", "base", "p", blocks.alias("blocks"))
-    level, done, tables = 0, [settled], []
+    live = units.where(F.col("p") > 0).select(*cols, "p", blocks.alias("blocks"))
+    level, done = 0, [units.where(F.col("p") == 0).select(*cols)]
     while True:
-        keyed = live.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), F.lit(level), "doc_id", "size"), F.col("blocks")))
-        got = cut(_pivot(keyed, ["source", "block"], seed, level), f"pivot{level}")
-        tables.append(got)
+        keyed = live.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), F.lit(level), "doc_id", "size", "digest"), F.col("blocks")))
+        got = cut(_pivot(keyed, seed, level), f"pivot{level}")
         left = got.where(F.col("p") >= 0)
-        done.append(got.where(F.col("p") < 0).select("source", "doc_id", "size", "base"))
+        done.append(got.where(F.col("p") < 0).select(*cols))
         most, level = -(-most // block), level + 1
         if most <= 1:
             break
         count = F.greatest(F.ceil(F.col("n_docs") / F.lit(float(block) ** (level + 1))), F.lit(1))
         live = join_small(left, plan.select("s", count.alias("blocks")), F.col("source").eqNullSafe(F.col("s")), "inner").drop("s")
-    last = left.select("source", "doc_id", "size", (F.col("base") + (_coin(F.lit(seed), F.lit(-1), F.col("source"), F.col("doc_id")) < F.col("p")).cast("int")).alias("base"))
-    rows = last
+    rows = left.withColumn("base", F.col("base") + (_coin(F.lit(seed), F.lit(-1), F.col("source"), F.col("doc_id"), F.col("digest")) < F.col("p")).cast("int")).select(*cols)
     for x in done:
         rows = rows.unionByName(x)
-    out = join_small(rows, plan.select("s", "source_size", "target"), F.col("source").eqNullSafe(F.col("s")), "inner")
-    return out.select("doc_id", "source", "size", "source_size", "target", F.col("base").alias("copies"))
+    out = join_small(rows, plan.select("s", "source_size", "target", "always"), F.col("source").eqNullSafe(F.col("s")), "inner")
+    return out.select("doc_id", "source", "size", "digest", "n", "source_size", "target", F.col("always").alias("base"), F.col("base").alias("extra"))
+
+
+def _repeated(df: DataFrame, times: str) -> DataFrame:
+    """Every row of `df` as often as its column `times` says, without that column; rows with many are dealt out first."""
+    again = lambda x, n: x.withColumn(times, F.explode(F.sequence(F.lit(1).cast("long"), n.cast("long")))).drop(times)
+    some = df.where(F.col(times) > 0)
+    out = again(some.where(F.col(times) <= RUN), F.col(times))
+    many = some.where(F.col(times) > RUN)
+    if many.limit(1).count():
+        part = f"{times}_part"
+        many = many.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / RUN)))).repartition(part, times)
+        many = many.withColumn(times, F.least(F.lit(RUN), F.col(times) - RUN * F.col(part))).drop(part)
+        out = out.unionByName(again(many, F.col(times)))
+    return out
+
+
+def _sized(docs: DataFrame) -> list[Column]:
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("digest")]
+
+
+def _taken(docs: DataFrame, seed: int, weights: tuple[int, ...], share: float, cap: float) -> DataFrame:
+    sizes = cut(docs.select(*_sized(docs)), "sizes")
+    return cut(copies(sizes, cut(source_targets(sizes, weights, share, cap), "targets"), seed), "copies")
 
 
 def mix(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """Documents (doc_id, text, source) to doc_id, source, size, source_size, target, copies, taken (= copies * size).
 
-    A null text has size 0; a null source is a source of its own; an empty table gives no rows. Rows that repeat
-    a doc_id are units of their own. No document is taken more than ceil(cap) times.
+    One row for each document, also for repeated rows, each of which is taken for itself. A null text has size 0; a
+    null source is a source of its own, a null doc_id a value like any other; an empty table gives no rows; other
+    columns are ignored. No document is taken more than ceil(cap) times.
     """
-    sizes = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size")), "sizes")
-    targets = cut(source_targets(sizes, weights, share, cap), "targets")
-    return copies(sizes, targets, seed).withColumn("taken", F.col("copies") * F.col("size"))
-
+    of = _taken(docs, seed, weights, share, cap)
+    each = F.array(F.struct((F.col("base") + 1).cast("int").alias("copies"), F.col("extra").alias("times")), F.struct(F.col("base").alias("copies"), (F.col("n") - F.col("extra")).alias("times")))
+    rows = of.select("doc_id", "source", "size", "source_size", "target", F.explode(each).alias("c")).select("*", "c.copies", "c.times").drop("c")
+    return _repeated(rows, "times").withColumn("taken", F.col("copies") * F.col("size"))
 
-def apply_mix(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """The mixed documents themselves: every row as often as the mix takes it, columns unchanged."""
-    cols = docs.columns
-    taken = mix(docs, seed).select("doc_id", "source", "size", "copies")
-    same = Window.partitionBy("doc_id", "source", "size")
-    rows = docs.withColumns({"__size": n_words(F.col("text")), "__id": F.col("doc_id").cast("long"), "__src": F.col("source").cast("string")})
-    rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy("__id", "__src", "__size").orderBy(F.lit(0))))
-    nth = taken.withColumn("nth", F.row_number().over(same.orderBy("copies"))).where("copies > 0").select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_src"), F.col("size").alias("m_size"), "nth", F.col("copies").alias("m_copies"))
-    on = F.col("__id").eqNullSafe(F.col("m_id")) & F.col("__src").eqNullSafe(F.col("m_src")) & (F.col("__size") == F.col("m_size")) & (F.col("__nth") == F.col("nth"))
-    out = rows.join(nth, on, "inner")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("m_copies")))).select(*cols)
 
+def apply_mix(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """The mixed documents themselves: every row as often as `mix` takes it, columns unchanged.
 
-__all__ = ["apply_mix", "copies", "drop_cut", "mix", "source_targets"]
+    Of rows that agree in id, source and text, the least by all columns are taken more often. Nulls as in `mix`; an
+    empty table gives no rows; names of other columns don't matter.
+    """
+    cols = docs.columns
+    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), *_sized(docs))
+    key = ("doc_id", "source", "size", "digest")
+    of = _taken(docs, seed, weights, share, cap).select(*[F.col(c).alias(f"m_{c}") for c in key], "n", "base", "extra")
+    on = F.lit(True)
+    for c in key:
+        on = on & F.col(c).eqNullSafe(F.col(f"m_{c}"))
+    lone = inner.join(of.where((F.col("n") == 1) & (F.col("base") + F.col("extra") > 0)), on).select("row", (F.col("base") + F.col("extra")).alias("times"))
+    out = lone.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("row")
+    if of.where("n > 1").limit(1).count():  # counted first: a class of any size is few rows
+        same = inner.join(of.where("n > 1"), on).groupBy("row", *key, "base", "extra").agg(F.count(F.lit(1)).alias("c"))
+        before = F.coalesce(F.sum("c").over(Window.partitionBy(*key).orderBy("row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        more = F.greatest(F.lit(0), F.least(F.col("c"), F.col("extra") - before))
+        out = out.unionByName(_repeated(cut(same.select("row", (F.col("c") * F.col("base") + more).alias("times")), "copied"), "times").select("row"))
+    return out.select(*[F.col("row")[c].alias(c) for c in cols])
+
+
+__all__ = ["apply_mix", "copies", "mix", "source_targets"]
