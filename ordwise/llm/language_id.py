@@ -13,10 +13,8 @@ in turn. The limit of the broadcast thus decides how much is joined, never what
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from functools import cache
 from itertools import repeat
 
 import numpy as np
@@ -27,7 +25,7 @@ from pyspark.sql import functions as F
 from ordwise.llm._shared import cut, join_small
 
 #: Words whose counts workers hold.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 400_000
 LONGEST = 5
 #: Distinct words after which a counting task hands on what it has.
 FLUSH = 200_000
@@ -36,23 +34,19 @@ ABSENT = 0.5
 UNKNOWN = "und"
 
 
-@cache
-def _letters() -> re.Pattern:
-    """Runs of letters: word characters but digits, numerals and the underscore."""
-    other, start = [], None
-    for c in range(sys.maxunicode + 2):
-        odd = c <= sys.maxunicode and chr(c).isalnum() and not chr(c).isalpha()
-        if odd and start is None:
-            start = c
-        elif not odd and start is not None:
-            other.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-            start = None
-    return re.compile(rf"[^\W_{''.join(other)}]+")
+_ASCII, _WORD = re.compile("[a-z]+"), re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
     """Lower-cased runs of letters."""
-    return _letters().findall(text.lower())
+    text = text.lower()
+    if text.isascii():
+        return _ASCII.findall(text)
+    found = _WORD.findall(text)
+    if all(map(str.isalpha, found)):
+        return found
+    # numerals that are no digits pass for letters in the pattern
+    return [x for w in found for x in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -130,23 +124,46 @@ def _logs(n: Column, totals: list[int], distinct: int) -> list[Column]:
 
 
 class Reader:
-    """Sums what a document's frequent words score; one for each task."""
+    """Sums what the frequent words of documents score; one for each task."""
 
     def __init__(self, number: dict[str, int], rows: np.ndarray) -> None:
         self.number, self.rows = number, rows
 
-    def read(self, text: str | None) -> tuple[np.ndarray | None, list[dict]]:
-        """Sum of scores by language (None without letters) and the other words with their counts."""
-        words = words_of(text) if text else None
-        if not words:
-            return None, []
-        at = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
-        rest = Counter([words[i] for i in np.flatnonzero(at < 0)])
-        at = at[at >= 0]
-        total = np.zeros(self.rows.shape[1])
-        for i in range(0, len(at), 1 << 16):
-            total += self.rows[at[i : i + (1 << 16)]].sum(0)
-        return total, [{"w": w, "n": n} for w, n in rest.items()]
+    def read(self, texts: pa.Array) -> list[pa.Array]:
+        """For each text the sum of scores by language (null without letters) and the other words with their counts."""
+        get, size = self.number.get, self.rows.shape[1]
+        sums, none, others, times, ends = np.zeros((len(texts), size)), np.zeros(len(texts), bool), [], [], [0]
+        for i, t in enumerate(texts):
+            words = words_of(t.as_py()) if t.is_valid else None
+            none[i] = not words
+            if words:
+                at = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
+                missing = np.flatnonzero(at < 0)
+                if len(missing):
+                    rest = Counter(map(words.__getitem__, missing.tolist()))
+                    others.extend(rest)
+                    times.extend(rest.values())
+                    at = at[at >= 0]
+                for k in range(0, len(at), 1 << 16):
+                    sums[i] += self.rows[at[k : k + (1 << 16)]].sum(0)
+            ends.append(len(others))
+        flat = pa.StructArray.from_arrays([pa.array(others, pa.string()), pa.array(times, pa.int32())], ["w", "n"])
+        known = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * size), pa.array(sums.ravel()), mask=pa.array(none))
+        return [known, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
+
+
+def _frequent(model: Model, most: int) -> pa.Table:
+    """The most frequent words, at most `most`, with their scores: those above a count that leaves so many."""
+    bucket = F.floor(16 * F.log2(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)))
+    tally = model.words.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("b")).collect()  # 16 a power of two
+    n, least = 0, None
+    for r in tally:
+        n += r["c"]
+        if n > most:
+            break
+        least = r["b"]
+    some = model.words.where(bucket >= least if least is not None else F.lit(False))
+    return some.select("word", *[c.alias(f"s{i}") for i, c in enumerate(_logs(F.col("n"), model.totals, model.distinct))]).toArrow()
 
 
 def _unseen(words: DataFrame, model: Model) -> DataFrame:
@@ -180,17 +197,16 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
     if not model.langs:
         return docs.select(*kept, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     langs, kinds = range(len(model.langs)), dict(docs.dtypes)
-    top = model.words.orderBy(F.desc(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)), "word").limit(known_words)
-    top = top.select("word", *[c.alias(f"s{i}") for i, c in enumerate(_logs(F.col("n"), model.totals, model.distinct))]).toArrow()  # at most known_words rows
+    top = _frequent(model, known_words)
     rows = np.stack([top.column(f"s{i}").to_numpy() for i in langs], axis=1)
     shared = docs.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate(top.column("word").to_pylist())}, rows))
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(*shared.value)
-        other = pa.list_(pa.struct([("w", pa.string()), ("n", pa.int32())]))
-        for b in batches:
-            found = [reader.read(x.as_py()) for x in b.column(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x[0] for x in found], pa.list_(pa.float64())), pa.array([x[1] for x in found], other)], [*b.schema.names[:-1], "known", "other"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                b = batch.slice(at, 512)
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *reader.read(b.column(b.num_columns - 1))], [*b.schema.names[:-1], "known", "other"])
         pa.default_memory_pool().release_unused()
 
     inner = docs.select(F.monotonically_increasing_id().alias("rid"), *[F.col(c).alias(f"x{i}") for i, c in enumerate(kept)], F.col(text).cast("string").alias("t"))
