@@ -169,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
     labels every score is 0.5, with one class alone 0.01 or 0.99.
     """
     told = labels.where("label IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("label").cast("int").alias("label"))
-    told = cut(told.join(docs.where("doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_semi"), "labels")
+    told = cut(told.join(docs.where("doc_id IS NOT NULL").select("doc_id"), "doc_id", "left_semi"), "labels")
     size = {r["label"]: r["count"] for r in told.groupBy("label").count().collect()}  # two rows
     pick = lambda c: told.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     chosen = pick(0).unionByName(pick(1)).select(F.col("doc_id").alias("__id"), "label")
@@ -180,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
             ids = [f.of(x.as_py()) for x in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([np.sort(x) for x in ids], pa.list_(pa.int32()))], ["id", "label", "ids"])
 
-    joined = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))  # at most 2 * rows narrow rows
+    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))  # at most 2 * rows narrow rows
     found = joined.select("__id", "label", F.col("text").cast("binary")).mapInArrow(features, "id long, label int, ids array<int>")
     found = cut(found.groupBy("id").agg(F.min(F.struct("label", "ids")).alias("r")).select("id", "r.label", "r.ids"), "fitted-on")
     share = size.get(1, 0) / max(1, sum(size.values()))
@@ -200,8 +200,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
     return Model(np.frombuffer(got["weight"], np.float32), np.frombuffer(got["square"], np.float32), got["floor"], got["bias"], got["slope"], got["shift"])
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """All columns of `docs` (or those of `keep`) with score (0 to 1, higher: class 1 likelier), replacing one so named.
+def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, output: str = "score") -> DataFrame:
+    """All columns of `docs` (or those of `keep`) with `output` (0 to 1, higher: class 1 likelier), replacing one so named.
 
     Null and empty texts have no features and score what the bias alone says. Repeated rows score alike; an empty
     table gives no rows.
@@ -216,7 +216,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
 
         return run
 
-    return map_column(docs, text, "string", make, {"score": "double"}, keep)
+    return map_column(docs, text, "string", make, {output: "double"}, keep)
 
 
 def learned(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = ROWS) -> Model:

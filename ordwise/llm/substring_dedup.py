@@ -9,13 +9,13 @@ windows hold the same symbols wherever that stretch lies within the window, what
 
   round 1  each window names its interior by its best such symbol (the highest, then the least name); a Spark round
            finds the names that occur in more than one document: only their windows can repeat.
-  round 2  those windows are named whole (96 bits); a Spark round finds the least document id of each, which
-           verifies the repeat.
+  round 2  those windows are named whole, from other hashes of their words (96 bits besides the symbol's); a Spark
+           round finds the least document id of each, which verifies the repeat.
   round 3  the covered words go.
 
 Documents meet in buckets of about BUCKET_BYTES of text (one exchange, read by all three rounds), and a bucket sends
-a name once however many of its documents hold it: a passage in a third of all documents is one row a bucket. Exact
-copies are found first by digest; the later ones lose everything or (under one window) nothing, and need no rounds.
+a name once however many of its documents hold it: a passage in a third of all documents is one row a bucket, and
+the rows of one name pass through their task in sorted order without being gathered. Exact copies are found first by digest; the later ones lose everything or (under one window) nothing, and need no rounds.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -108,31 +109,43 @@ def window_names(h: np.ndarray, size: int, seed: int) -> np.ndarray:
     return x
 
 
-def anchors(h: np.ndarray, doc: np.ndarray, window: int, levels: int = LEVELS) -> np.ndarray:
-    """For the window at each word (only those within a document count): the name of its interior.
+def anchors(h: np.ndarray, doc: np.ndarray, starts: np.ndarray, window: int, levels: int = LEVELS) -> np.ndarray:
+    """For the window at each of `starts`: the name of its interior.
 
     Each symbol that fits with what it depends on offers its name to the windows around it: the stretch of words it
     depends on, hashed. The highest level wins, then the least name. A single word fits in any window.
     """
     n = len(h)
     at = np.arange(n, dtype=np.int64)
-    p = Parse(h, at, at + 1, at, at + 1, doc)
+    parses = [Parse(h, at, at + 1, at, at + 1, doc)]
+    for level in range(levels):
+        parses.append(recompress(parses[-1], level))
     # a stretch's hash is a difference of two prefix sums, shifted back to its start by the inverse multiplier
     total = np.zeros(n + 1, _U)
     np.cumsum(_mix(h) * _powers(_MULT, n)[:n], out=total[1:])
     shift = _powers(_U(pow(int(_MULT), -1, 1 << 64)), n + 1)
-    best = np.full(n, _U(0xFFFFFFFFFFFFFFFF))
-    for level in range(levels + 1):
-        if level:
-            p = recompress(p, level - 1)
+    none = _U(0xFFFFFFFFFFFFFFFF)
+    best, open_ = np.full(len(starts), none), np.arange(len(starts))
+    for level in range(levels, -1, -1):
+        p = parses[level]
         fits = np.flatnonzero((p.hi - p.lo <= window) & (p.lo >= 0) & (p.hi <= n))
-        lo, hi, start = p.lo[fits], p.hi[fits], p.start[fits]
+        lo, hi = p.lo[fits], p.hi[fits]
         name = _mix((total[hi] - total[lo]) * shift[lo] + (hi - lo).astype(_U))
         offer = (name >> _U(2)) | _U((levels - level) << 62)
-        for back in range(window):  # starts are distinct, so each pass writes a place once
-            w = start - back
-            ok = (w >= 0) & (w <= lo) & (w + window >= hi)
-            best[w[ok]] = np.minimum(best[w[ok]], offer[ok])
+        here = np.full(n + window, -1, np.int32)  # the symbol that starts at a word
+        here[p.start[fits]] = np.arange(len(fits), dtype=np.int32)
+        first, most = starts[open_], np.full(len(open_), none)
+        for off in range(window):
+            k = here[first + off]
+            some = np.flatnonzero(k >= 0)
+            k = k[some]
+            ok = (lo[k] >= first[some]) & (hi[k] <= first[some] + window)
+            some, k = some[ok], k[ok]
+            most[some] = np.minimum(most[some], offer[k])
+        best[open_] = most
+        open_ = open_[most == none]  # only windows without a symbol look at lower levels
+        if not len(open_):
+            break
     return best
 
 
@@ -142,18 +155,17 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def word_hashes(texts: Iterable[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, text after text, and the number of words of each text."""
-    known: dict[bytes, int] = {}
-    parts, counts = [], []
-    for t in texts:
-        w = t.split() if t else []
-        counts.append(len(w))
-        for x in w:
-            if x not in known:
-                known[x] = xxhash.xxh64_intdigest(x)
-        parts.append(np.fromiter(map(known.__getitem__, w), _U, len(w)))
-    return (np.concatenate(parts) if parts else np.empty(0, _U)), np.array(counts, np.int64)
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each word of all texts (words, 2), text after text, and the number of words of each text."""
+    split = pc.ascii_split_whitespace(texts.view(pa.string()))  # bytes are looked at one by one
+    words = split.flatten().dictionary_encode()
+    distinct = words.dictionary.view(pa.binary()).to_pylist()
+    h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, distinct)), _U).reshape(-1, 2)
+    at = words.indices.to_numpy()
+    there = np.array([bool(x) for x in distinct], bool)[at]  # white space at the ends leaves empty words
+    upto = np.r_[0, np.cumsum(there)]
+    ends = split.offsets.to_numpy()
+    return h[at[there]], upto[ends[1:]] - upto[ends[:-1]]
 
 
 class _Bucket:
@@ -163,20 +175,21 @@ class _Bucket:
         ids = table.column("__id")
         self.known = ~np.asarray(ids.is_null())
         self.ids = ids.fill_null(0).to_numpy().astype(np.int64)
-        texts = table.column("__text").to_pylist()
         self.later = np.isin(self.ids, later[0]) & self.known if len(later[0]) else np.zeros(len(self.ids), bool)
         copies = set(zip(*(x.tolist() for x in later)))
         for i in np.flatnonzero(self.later):  # another row of the same id may have a text of its own
-            d = hashlib.md5(texts[i] or b"").hexdigest()
+            d = hashlib.md5(table.column("__text")[int(i)].as_py() or b"").hexdigest()
             self.later[i] = (int(self.ids[i]), int(d[:15], 16), int(d[15:30], 16)) in copies
-        self.h, self.counts = word_hashes(t if k and not c else None for t, k, c in zip(texts, self.known, self.later))
+        used = pa.array(self.known & ~self.later)
+        both, self.counts = word_hashes(pc.if_else(used, _whole(table.column("__text")), pa.scalar(None, pa.binary())))
+        self.h, self.other = both[:, 0], both[:, 1]
         self.row = np.repeat(np.arange(len(self.counts)), self.counts)
         self.doc = self.ids[self.row]
         ends = np.repeat(np.cumsum(self.counts), self.counts)
         self.starts = np.flatnonzero(np.arange(len(self.h)) + window <= ends)  # where a window fits its text
 
     def windows(self, window: int) -> tuple[np.ndarray, np.ndarray]:
-        return window_names(self.h, window, 11)[self.starts], (window_names(self.h, window, 23)[self.starts] >> _U(32)).astype(np.int64)
+        return window_names(self.other, window, 11)[self.starts], (window_names(self.h ^ (self.other >> _U(7)), window, 23)[self.starts] >> _U(32)).astype(np.int64)
 
 
 def _least(keys: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -193,42 +206,56 @@ def _least(keys: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.ndar
     return order[first], doc[order[first]], doc[order[np.r_[first[1:], len(order)] - 1]]
 
 
-def _groups(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[list[np.ndarray]]:
-    """Batches sorted by their first `width` columns to column lists that never part a group."""
-    kept: list[list[np.ndarray]] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]
-        differs = np.zeros(b.num_rows, bool)
-        for c in cols[:width]:
-            differs |= c != c[-1]
-        cut_at = int(np.flatnonzero(differs)[-1]) + 1 if differs.any() else 0  # the last group may go on
-        if cut_at:
-            kept.append([c[:cut_at] for c in cols])
-            yield [np.concatenate(x) for x in zip(*kept)]
-            kept = []
-        kept.append([c[cut_at:] for c in cols])
-    if kept:
-        yield [np.concatenate(x) for x in zip(*kept)]
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    column = column.combine_chunks()
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
 def _shared_names(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(name, bucket, many), by name: the (bucket, name, 0) of names in several buckets or several documents of one."""
-    for name, bucket, many in _groups(batches, 1):
-        new = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
-        count = np.diff(np.r_[new, len(name)])
-        shared = np.repeat((count > 1) | np.maximum.reduceat(many, new).astype(bool), count)
-        yield _reply(bucket[shared], name[shared], np.zeros(int(shared.sum()), np.int64), np.zeros(int(shared.sum()), np.int64))
+    """(name, bucket, many), by name and falling many: the (bucket, name) of names in several buckets or documents.
+
+    A row is told as soon as its name is known to be shared; only the first row of a name ever waits.
+    """
+    wait: tuple[int, int] | None = None  # the name and bucket of a last row that is alone so far
+    last = None  # the name of the last row
+    for b in batches:
+        name, bucket, many = (c.to_numpy() for c in b.columns)
+        if not len(name):
+            continue
+        n = len(name)
+        new = np.r_[last is None or name[0] != last, name[1:] != name[:-1]]
+        first = np.flatnonzero(np.r_[True, new[1:]])
+        size = np.diff(np.r_[first, n])
+        told = (size > 1) | (many[first] > 0)
+        if not new[0]:
+            told[0] = True
+            if wait is not None:
+                yield _reply(np.array([wait[1]]), np.array([wait[0]]), np.zeros(1, np.int64), np.zeros(1, np.int64))
+        rows = np.repeat(told, size)
+        yield _reply(bucket[rows], name[rows], np.zeros(int(rows.sum()), np.int64), np.zeros(int(rows.sum()), np.int64))
+        last = name[-1]
+        wait = None if told[-1] else (int(name[-1]), int(bucket[-1]))
 
 
 def _first_docs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(w1, w2, least, largest, bucket), by (w1, w2): the least id of each window, to buckets with a larger one."""
-    for w1, w2, least, largest, bucket in _groups(batches, 2):
-        new = np.flatnonzero(np.r_[True, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])])
-        first = np.repeat(np.minimum.reduceat(least, new), np.diff(np.r_[new, len(w1)]))
-        told = largest > first
-        yield _reply(bucket[told], w1[told], w2[told], first[told])
+    """(w1, w2, least, largest, bucket), by all but the last two: each window's least id, to buckets with a larger one.
+
+    The first row of a window has the least id, so rows are answered as they come.
+    """
+    before: tuple[int, int, int] | None = None  # w1, w2 and least id of the last row
+    for b in batches:
+        w1, w2, least, largest, bucket = (c.to_numpy() for c in b.columns)
+        if not len(w1):
+            continue
+        new = np.r_[before is None or (w1[0], w2[0]) != before[:2], (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])]
+        first = np.flatnonzero(np.r_[True, new[1:]])
+        low = least[first]
+        if not new[0]:
+            low[0] = before[2]
+        low = np.repeat(low, np.diff(np.r_[first, len(w1)]))
+        told = largest > low
+        yield _reply(bucket[told], w1[told], w2[told], low[told])
+        before = (w1[-1], w2[-1], low[-1])
 
 
 def _reply(bucket: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
@@ -238,12 +265,12 @@ def _reply(bucket: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> p
 _REPLY = "bucket int, kind int, a long, b long, c long"  # kind 0: a is the id of a later copy, b and c are of its digest; 1: an answer
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, output: str = "digest", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, output: str = "digest", bucket_bytes: int = BUCKET_BYTES, counts: tuple[str, str] = ("n_words", "n_removed")) -> DataFrame:
     """Documents (doc_id, text) to doc_id, n_words, n_removed and what is kept.
 
     output 'digest': kept_sha256, of the kept words joined by one space; 'text': all columns of `docs` with `text`
-    cut (each removed word with the white space after it), besides n_words and n_removed, which replace columns of
-    those names.
+    cut (each removed word with the white space after it), besides the numbers of words and of removed ones under the
+    names `counts`, which replace columns so named.
 
     Words are runs of anything but space and U+0009 to U+000D. Null and empty texts have no words. A row with a null
     doc_id keeps everything and removes nothing elsewhere; rows that repeat a doc_id are one document for the rule
@@ -261,7 +288,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, output: str = "digest
     part = lambda at: F.conv(F.substring("digest", at, 15), 16, 10).cast("long")
     later = cut(later.select(bucket(F.col("doc_id")).alias("bucket"), F.lit(0).alias("kind"), F.col("doc_id").alias("a"), part(1).alias("b"), part(16).alias("c")), "later")
 
-    outs = [c for c in docs.columns if c not in ("n_words", "n_removed")]
+    outs = [c for c in docs.columns if c not in counts]
     extra = [c for c in outs if c != "text"] if output == "text" else []
     named = {c: f"x{i}" for i, c in enumerate(extra)}  # names of our own never clash with theirs
     dealt = docs.select(bucket(F.coalesce(ident, F.xxhash64(text))).alias("bucket"), ident.alias("__id"), F.col("text").cast("binary").alias("__text"), *[F.col(c).alias(k) for c, k in named.items()])
@@ -276,13 +303,13 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, output: str = "digest
         return run
 
     def name_interiors(left: pa.Table, k: _Bucket, *_: np.ndarray) -> pa.Table:
-        name = anchors(k.h, k.row, window)[k.starts].view(np.int64)
+        name = anchors(k.h, k.row, k.starts, window).view(np.int64)
         at, least, largest = _least([name], k.doc[k.starts])
         which = left.column("bucket")[0].as_py() if left.num_rows else 0
         return pa.table({"name": name[at], "bucket": pa.array(np.full(len(at), which, np.int32)), "many": pa.array((largest > least).astype(np.int32))})
 
     def name_windows(left: pa.Table, k: _Bucket, a: np.ndarray, *_: np.ndarray) -> pa.Table:
-        name = anchors(k.h, k.row, window)[k.starts].view(np.int64)
+        name = anchors(k.h, k.row, k.starts, window).view(np.int64)
         some = np.isin(name, a)
         w1, w2 = (x[some] for x in k.windows(window))
         w1 = w1.view(np.int64)
@@ -326,16 +353,16 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, output: str = "digest
         return pa.table({"doc_id": left.column("__id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), **what, **{x: left.column(x) for x in named.values()}})
 
     interiors = by_bucket.cogroup(later.groupBy("bucket")).applyInArrow(with_later(name_interiors), "name long, bucket int, many int")
-    shared = interiors.repartition("name").sortWithinPartitions("name").select("name", "bucket", "many").mapInArrow(_shared_names, _REPLY)
+    shared = interiors.repartition("name").sortWithinPartitions("name", F.desc("many")).select("name", "bucket", "many").mapInArrow(_shared_names, _REPLY)
     whole = by_bucket.cogroup(shared.unionByName(later).groupBy("bucket")).applyInArrow(with_later(name_windows), "w1 long, w2 long, least long, largest long, bucket int")
-    firsts = whole.repartition("w1", "w2").sortWithinPartitions("w1", "w2").select("w1", "w2", "least", "largest", "bucket").mapInArrow(_first_docs, _REPLY)
+    firsts = whole.repartition("w1", "w2").sortWithinPartitions("w1", "w2", "least").select("w1", "w2", "least", "largest", "bucket").mapInArrow(_first_docs, _REPLY)
     types = dict(docs.dtypes)
     schema = "doc_id long, n_words long, n_removed long, " + ("kept_sha256 string" if output == "digest" else "__kept binary") + "".join(f", {x} {types[c]}" for c, x in named.items())
     out = by_bucket.cogroup(firsts.unionByName(later).groupBy("bucket")).applyInArrow(with_later(remove), schema)
     if output == "digest":
         return out
     back: list[Column] = [F.col("__kept").cast("string").alias("text") if c == "text" else F.col(named[c]).alias(c) for c in outs]
-    return out.select(*back, "n_words", "n_removed")
+    return out.select(*back, F.col("n_words").alias(counts[0]), F.col("n_removed").alias(counts[1]))
 
 
 def _digest(text: bytes, mask: np.ndarray) -> str:

@@ -80,7 +80,7 @@ def test_windows_name_their_interior_alike_in_any_surroundings():
             before, after = (rng.integers(1, vocabulary + 1, rng.integers(0, 20)).astype(np.uint64) for _ in range(2))
             h = np.r_[before, core, after]
             doc = np.r_[np.zeros(len(before) // 2), np.ones(len(h) - len(before) // 2)].astype(int)
-            seen.append(sd.anchors(h, doc, 13)[len(before) : len(before) + 18].tolist())
+            seen.append(sd.anchors(h, doc, np.arange(len(before), len(before) + 18), 13).tolist())
         assert all(x == seen[0] for x in seen)
 
 
@@ -89,3 +89,25 @@ def test_rows_of_one_id_are_judged_apart(spark):
     rows = [(3, texts[0]), (5, texts[0]), (5, texts[1]), (8, texts[1]), (9, texts[2])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, sd.substring_dedup(df).collect()), key=str) == brute(rows, 13)
+
+
+def batches(rows, size):
+    import pyarrow as pa
+
+    cols = [np.array(c, np.int64) for c in zip(*rows)]
+    return [pa.RecordBatch.from_arrays([pa.array(c[i : i + size]) for c in cols], [f"c{k}" for k in range(len(cols))]) for i in range(0, len(rows), size)]
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
+def test_groups_pass_through_in_batches_of_any_size(size):
+    rng = random.Random(9)
+    rows = sorted(((rng.randint(0, 40), b, int(rng.random() < 0.1)) for b in range(120)), key=lambda r: (r[0], -r[2]))
+    many = {n for n, _, m in rows if m or sum(r[0] == n for r in rows) > 1}
+    got = sorted((r["a"], r["bucket"]) for out in sd._shared_names(batches(rows, size)) for r in out.to_pylist())
+    assert got == sorted((n, b) for n, b, _ in rows if n in many)
+    rows = sorted((rng.randint(0, 9), rng.randint(0, 3), low := rng.randint(0, 50), low + rng.randint(0, 9), b) for b in range(200))
+    least = {}
+    for w1, w2, low, _, _ in rows:
+        least[w1, w2] = min(least.get((w1, w2), low), low)
+    got = sorted((r["a"], r["b"], r["c"], r["bucket"]) for out in sd._first_docs(batches(rows, size)) for r in out.to_pylist())
+    assert got == sorted((w1, w2, least[w1, w2], b) for w1, w2, _, high, b in rows if high > least[w1, w2])
