@@ -44,10 +44,12 @@ def format_chats(turns: DataFrame) -> DataFrame:
     written = F.transform("rows", lambda r: F.concat(F.lit(OPEN), escape(r["role"]), F.lit("]"), escape(r["text"]), F.lit(CLOSE)))
     replies = F.filter(F.sequence(F.lit(1), F.size("rows")), lambda i: F.get("rows", i - 1)["role"] == "assistant")
     ends = F.when(F.element_at("rows", -1)["role"] == "assistant", replies).otherwise(F.concat(replies, F.array(F.size("rows"))))
-    conv = conv.select("conv_id", "rows", written.alias("written"), ends.alias("ends"))
-    ex = conv.select("conv_id", "rows", "written", F.size("ends").alias("n"), F.posexplode("ends").alias("i", "end"))
-    last = F.get("rows", F.col("end") - 1)
-    ex = ex.select("conv_id", (F.col("i") + 1).cast("long").alias("example"), F.array_join(F.slice("written", 1, F.col("end")), "").alias("text"), F.when(last["role"] == "assistant", F.length(escape(last["text"]))).otherwise(0).cast("long").alias("loss_chars"), (F.col("i") + 1 == F.col("n")).alias("final"))
+    loss = lambda r: F.when(r["role"] == "assistant", F.length(escape(r["text"]))).otherwise(0).cast("long")
+    ends = F.transform(ends, lambda i: F.struct(i.alias("at"), loss(F.get("rows", i - 1)).alias("loss_chars")))
+    # an example's row carries the written turns alone, and not the turns as well
+    conv = conv.select("conv_id", written.alias("written"), ends.alias("ends"))
+    ex = conv.select("conv_id", "written", F.size("ends").alias("n"), F.posexplode("ends").alias("i", "end"))
+    ex = ex.select("conv_id", (F.col("i") + 1).cast("long").alias("example"), F.array_join(F.slice("written", 1, F.col("end.at")), "").alias("text"), "end.loss_chars", (F.col("i") + 1 == F.col("n")).alias("final"))
     return ex.select("conv_id", "example", "text", (F.length("text") - len(CLOSE) - F.col("loss_chars")).cast("long").alias("loss_start"), "loss_chars", "final")
 
 
