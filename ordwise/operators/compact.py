@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordwise.operators.monoid import ADD
-from ordwise.operators.positional import prefix, require_unique, rerank
+from ordwise.operators.positional import BUCKET, SMALL, prefix, require_unique, rerank
+from ordwise.plans.materialize import estimated_bytes
 
 _ADD = ADD.parts[0]
 
@@ -37,6 +38,15 @@ def load(df: DataFrame, n: int, default: object = None, value: str = "v", pos: s
     return full.select(F.col("__p").alias(pos), F.coalesce(value, F.lit(default)).alias(value))
 
 
+def store(df: DataFrame, n: int, old: DataFrame | None = None, value: str = "v", pos: str = "pos") -> DataFrame:
+    """The guarded store: of rows placed past n - 1 none is written; places of `old` that none is written to stay."""
+    new = df.where((F.col(pos) >= 0) & (F.col(pos) < n)).select(pos, value)
+    if old is None:
+        return new
+    kept = old.select(pos, value).where(F.col(pos) < n).join(new.select(F.col(pos).alias("__p")), F.col(pos) == F.col("__p"), "left_anti")
+    return new.unionByName(kept)
+
+
 def two_source_gather(index: DataFrame, a: DataFrame, b: DataFrame, b_start: int, at: str = "i", pos: str = "pos") -> DataFrame:
     """Gather from a where the index is below b_start, else from b at index - b_start."""
     both = a.unionByName(b.withColumn(pos, F.col(pos) + b_start))
@@ -77,21 +87,39 @@ def partition_if(df: DataFrame, condition: Column, pos: str = "pos") -> DataFram
     return rows.select(*[to.alias(pos) if x == pos else F.col(x) for x in df.columns])
 
 
+def _ordered(df: DataFrame, pos: str, before: int, after: int) -> tuple[DataFrame, Window, Column]:
+    """`df` in buckets of positions, a window over each, and which rows are the bucket's own.
+
+    A row also goes to the bucket of the rows up to `before` places after it and `after` places before it, so one
+    exchange shows every row its neighbours. Small inputs are one bucket.
+    """
+    if estimated_bytes(df) < SMALL:
+        return df, Window.orderBy(pos), F.lit(True)
+    own, edge = F.floor(F.col(pos) / BUCKET), F.col(pos) % BUCKET
+    to = lambda by: F.floor((F.col(pos) + by) / BUCKET)
+    at = F.when((edge >= BUCKET - before) | (edge < after), F.array_distinct(F.array(own, to(before), to(-after)))).otherwise(F.array(own))
+    return df.withColumn("__b", F.explode(at)), Window.partitionBy("__b").orderBy(pos), F.col("__b") == own
+
+
 def shift(df: DataFrame, value: str, by: int = 1, default: object = None, pos: str = "pos", out: str = "shifted") -> DataFrame:
-    """`df` with the value `by` places before (after, if negative). Dense positions make it an equality join."""
-    other = df.select((F.col(pos) + by).alias("__to"), F.col(value).alias("__v"), F.lit(True).alias("__there"))
-    joined = df.join(other, F.col(pos) == F.col("__to"), "left")
-    return joined.select(*df.columns, F.when(F.col("__there"), F.col("__v")).otherwise(F.lit(default)).alias(out))
+    """`df` with the value `by` places before (after, if negative). Positions are dense."""
+    if abs(by) > BUCKET:  # farther than a neighbouring bucket: dense positions make it an equality join
+        other = df.select((F.col(pos) + by).alias("__to"), F.struct(F.col(value).alias("v")).alias("__there"))
+        rows, own, found = df.join(other, F.col(pos) == F.col("__to"), "left"), F.lit(True), F.col("__there")
+    else:
+        rows, w, own = _ordered(df, pos, max(by, 0), max(-by, 0))
+        found = F.lag(F.struct(F.col(value).alias("v")), by).over(w)
+    rows = rows.withColumn("__there", found).where(own)
+    return rows.select(*df.columns, F.when(F.col("__there").isNotNull(), F.col("__there.v")).otherwise(F.lit(default)).alias(out))
 
 
 def discontinuity(df: DataFrame, key: str, pos: str = "pos") -> DataFrame:
     """`df` with `head` and `tail`: whether its key differs from the row before, or after (the ends: true)."""
-    around = df.select(F.explode(F.array(F.struct((F.col(pos) + 1).alias("p"), F.lit(0).alias("s")), F.struct((F.col(pos) - 1).alias("p"), F.lit(1).alias("s")))).alias("t"), F.col(key).alias("__k"))
-    side = lambda s: F.max(F.when(F.col("t.s") == s, F.struct(F.col("__k").alias("k"))))
-    near = around.groupBy(F.col("t.p").alias("__p")).agg(side(0).alias("__before"), side(1).alias("__after"))
-    joined = df.join(near, F.col(pos) == F.col("__p"), "left")
+    rows, w, own = _ordered(df, pos, 1, 1)
+    k = F.struct(F.col(key).alias("k"))
+    rows = rows.withColumns({"__before": F.lag(k).over(w), "__after": F.lead(k).over(w)}).where(own)
     differs = lambda c: F.col(c).isNull() | ~F.col(key).eqNullSafe(F.col(f"{c}.k"))
-    return joined.select(*df.columns, differs("__before").alias("head"), differs("__after").alias("tail"))
+    return rows.select(*df.columns, differs("__before").alias("head"), differs("__after").alias("tail"))
 
 
 def to_striped(pos: Column, threads: int, items: int) -> Column:

@@ -4,10 +4,11 @@ that holds all rows.
 Strategies of a prefix aggregate:
   single  one window; for small inputs only, since without partition columns it has one partition.
   bucket  integer order column: rows of one bucket of positions are aggregated, the few bucket totals get their
-          prefixes, and a window inside each bucket adds the rest. Join and window share one exchange.
+          prefixes, and a window inside each bucket adds the rest. Join and window share one exchange. Totals of
+          more than NEST bytes of rows get their prefixes in the same way, bucket by bucket of buckets.
   range   any order: rows are range-partitioned by it (a hot key splits by the columns after it) and written with
           their partition's number, which then plays the bucket's part.
-  auto    single below SMALL bytes as Catalyst estimates them, else bucket for one integer column, else range.
+  auto    single below SMALL bytes of files as Catalyst estimates them, else bucket for one integer column, else range.
 All give the same rows.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql.types import IntegralType
 from ordwise.operators.monoid import ADD, Part
 from ordwise.plans.materialize import estimated_bytes, materialize
 
-SMALL = 64 << 20
+SMALL, NEST = 8 << 20, 1 << 40
 #: Positions of a bucket.
 BUCKET = 1 << 16
 
@@ -30,11 +31,12 @@ BUCKET = 1 << 16
 def prefix(
     df: DataFrame,
     outs: dict[str, tuple[Column, Part, Column | None]],
-    order: Sequence[str],
+    order: Sequence[str | Column],
     partition_by: Sequence[str] = (),
     inclusive: bool = False,
     strategy: str = "auto",
     bucket: int = BUCKET,
+    nest: int = NEST,
 ) -> DataFrame:
     """`df` with a column for each of `outs`: name to (value, part, identity or None), aggregated over the rows before.
 
@@ -56,8 +58,13 @@ def prefix(
         raise ValueError(strategy)
     keys = [*partition_by, "__prefix_bucket"]
     totals = rows.groupBy(*keys).agg(*[p.agg(v).alias(f"__prefix_total{i}") for i, (v, p, _) in enumerate(outs.values())])
-    before = Window.partitionBy(*partition_by).orderBy("__prefix_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select(*[F.col(k).alias(f"__prefix_key{i}") for i, k in enumerate(keys)], *[p.agg(F.col(f"__prefix_total{i}")).over(before).alias(f"__prefix_before{i}") for i, (_, p, _) in enumerate(outs.values())])
+    if estimated_bytes(df) < nest:  # as many buckets as one task orders with ease
+        before = Window.partitionBy(*partition_by).orderBy("__prefix_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        totals = totals.withColumns({f"__prefix_before{i}": p.agg(F.col(f"__prefix_total{i}")).over(before) for i, (_, p, _) in enumerate(outs.values())})
+    else:
+        parts = {f"__prefix_before{i}": (F.col(f"__prefix_total{i}"), p, None) for i, (_, p, _) in enumerate(outs.values())}
+        totals = prefix(totals.withColumnRenamed("__prefix_bucket", "__prefix_at"), parts, ["__prefix_at"], partition_by, False, "bucket", bucket, nest * bucket).withColumnRenamed("__prefix_at", "__prefix_bucket")
+    base = totals.select(*[F.col(k).alias(f"__prefix_key{i}") for i, k in enumerate(keys)], *[f"__prefix_before{i}" for i in range(len(outs))])
     same = [F.col(k).eqNullSafe(F.col(f"__prefix_key{i}")) for i, k in enumerate(keys)]
     within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
     joined = rows.join(base, same)

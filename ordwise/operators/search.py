@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordwise.operators.monoid import ADD, MAX
+from ordwise.operators.monoid import ADD, MAX, MIN
 from ordwise.operators.positional import prefix
 
 _ADD = ADD.parts[0]
@@ -102,13 +102,10 @@ def asof(left: DataFrame, right: DataFrame, on: str, payload: Sequence[str], by:
     numbered = left.withColumn("__row", F.struct(*left.columns))
     lt = numbered.select(*by, F.col(on).alias("__on"), F.lit(None).cast(r.schema["__r"].dataType).alias("__r"), F.lit(0 if forward else 1).alias("__side"), F.xxhash64("__row").alias("__id"), "__row")
     both = lt.unionByName(r, allowMissingColumns=True)
-    if forward:
-        import pyspark.sql.window as W
-
-        w = W.Window.partitionBy(*by).orderBy("__on", "__side", "__id").rowsBetween(0, W.Window.unboundedFollowing)
-        out = both.withColumn("__m", F.min("__r").over(w))
-    else:
-        out = prefix(both, {"__m": (F.col("__r"), MAX.parts[0], None)}, ["__on", "__side", "__id"], by, inclusive=True, strategy=strategy)
+    order = ["__on", "__side", "__id"]
+    if forward:  # the least row after is the least before in the opposite order
+        order = [F.col(c).desc() for c in order]
+    out = prefix(both, {"__m": (F.col("__r"), (MIN if forward else MAX).parts[0], None)}, order, by, inclusive=True, strategy=strategy)
     got = out.where(F.col("__row").isNotNull()).withColumn("__m", F.when(F.col("__on").isNotNull(), F.col("__m")))
     return got.select("__row.*", *[F.col(f"__m.__y{i}").alias(c if c not in left.columns else f"right_{c}") for i, c in enumerate(payload)])
 

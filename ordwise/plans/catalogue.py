@@ -6,6 +6,7 @@ don't depend on their order.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,8 @@ from ordwise.functions import bits
 from ordwise.operators import compact, intervals, joins, numeric, scan, search, sets, sorting
 from ordwise.operators import reduce as red
 from ordwise.operators.monoid import ADD, MAX, MEAN, MIN, MUL
-from ordwise.sources.tables import read_table
+from ordwise.plans.materialize import shared_dir
+from ordwise.sources.tables import read_positioned, read_table, write_csv
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -419,7 +421,128 @@ def sobol_first(s: SparkSession, d: str) -> DataFrame:
     return numeric.sobol(s, 4096, 1)
 
 
-_register("sobol", lambda s, d: numeric.sobol(s, 4096, 8), None)
-_register("mrg32k3a_normal", lambda s, d: numeric.mrg32k3a(s, 16, 1000, distribution="normal"), None)
-_register("xorshift7", lambda s, d: numeric.xorshift7(s, 16, 1000), None)
+_DIRECTIONS = ", ".join(f"({d}, {i}, {v})" for d, vs in enumerate(numeric.sobol_directions(8)) for i, v in enumerate(vs))
+_register(
+    "sobol",
+    lambda s, d: numeric.sobol(s, 4096, 8),
+    f"WITH p AS (SELECT range AS point, xor(range, range >> 1) AS g FROM range(0, 4096)), v AS (SELECT * FROM (VALUES {_DIRECTIONS}) t(dim, i, v)) SELECT point, dim::BIGINT AS dim, bit_xor(CASE WHEN (g >> i) & 1 = 1 THEN v::BIGINT ELSE 0 END)::BIGINT AS x, bit_xor(CASE WHEN (g >> i) & 1 = 1 THEN v::BIGINT ELSE 0 END)::DOUBLE / 4294967296 AS u FROM p, v GROUP BY point, dim",
+)
+
+_STREAMS, _STEPS = 16, 1000
+
+
+def _mrg_sql() -> str:
+    """The generator as a recursion, from the first state of each stream."""
+    x, y = numeric._mrg_states(0, _STREAMS, 1 << 67, 12345)
+    start = ", ".join(f"({s}, {', '.join(map(str, [*x[:, s], *y[:, s]]))})" for s in range(_STREAMS))
+    mod = lambda e, m: f"((({e}) % {m}) + {m}) % {m}"
+    m1, m2 = numeric._M1, numeric._M2
+    return f"""WITH RECURSIVE g AS (SELECT s::BIGINT AS stream, -1::BIGINT AS step, a::BIGINT AS a, b::BIGINT AS b, c::BIGINT AS c, d::BIGINT AS d, e::BIGINT AS e, f::BIGINT AS f FROM (VALUES {start}) t(s, a, b, c, d, e, f)
+UNION ALL SELECT stream, step + 1, b, c, {mod("1403580 * b - 810728 * a", m1)}, e, f, {mod("527612 * f - 1370589 * d", m2)} FROM g WHERE step < {_STEPS - 1}),
+r AS (SELECT stream, step, (CASE WHEN c = f THEN {m1} ELSE {mod("c - f", m1)} END)::DOUBLE AS value, (CASE WHEN c = f THEN {m1} ELSE {mod("c - f", m1)} END)::DOUBLE / {m1 + 1} AS u FROM g WHERE step >= 0)"""
+
+
+def _mrg(kind: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda s, d: numeric.mrg32k3a(s, _STREAMS, _STEPS, distribution=kind).withColumn("value", F.round("value", 9))
+
+
+_register("mrg32k3a_raw", _mrg("raw"), f"{_mrg_sql()} SELECT stream, step, value FROM r")
+_register("mrg32k3a_uniform", _mrg("uniform"), f"{_mrg_sql()} SELECT stream, step, round(u, 9) AS value FROM r")
+_register("mrg32k3a_exponential", _mrg("exponential"), f"{_mrg_sql()} SELECT stream, step, round(-ln(u), 9) AS value FROM r")
+_register("mrg32k3a_gamma", _mrg("gamma"), f"{_mrg_sql()} SELECT stream, step // 2 AS step, round(-sum(ln(u)), 9) AS value FROM r GROUP BY stream, step // 2")
+_register(
+    "mrg32k3a_normal",
+    _mrg("normal"),
+    f"{_mrg_sql()} SELECT a.stream, a.step + k AS step, round(sqrt(-2 * ln(a.u)) * CASE WHEN k = 0 THEN cos(2 * pi() * b.u) ELSE sin(2 * pi() * b.u) END, 9) AS value FROM r a JOIN r b ON a.stream = b.stream AND b.step = a.step + 1 AND a.step % 2 = 0, (SELECT unnest([0::BIGINT, 1]) AS k)",
+)
+
+
+def _xorshift_sql(seed: int = 1) -> str:
+    import numpy as np
+
+    rows = ", ".join(f"({s}, {', '.join(map(str, np.random.SeedSequence([seed, s]).generate_state(8)))})" for s in range(_STREAMS))
+    low = "4294967295"
+    t1 = f"xor(h, (h << 13) & {low})"
+    z = "xor(a, a >> 7)"
+    new = f"xor(xor(xor(xor(xor({t1}, (({t1}) << 9) & {low}), xor(e, (e << 7) & {low})), xor(d, d >> 3)), xor(b, b >> 10)), xor({z}, (({z}) << 24) & {low}))"
+    return f"""WITH RECURSIVE x AS (SELECT s::BIGINT AS stream, -1::BIGINT AS step, a::BIGINT AS a, b::BIGINT AS b, c::BIGINT AS c, d::BIGINT AS d, e::BIGINT AS e, f::BIGINT AS f, g::BIGINT AS g, h::BIGINT AS h FROM (VALUES {rows}) t(s, a, b, c, d, e, f, g, h)
+UNION ALL SELECT stream, step + 1, b, c, d, e, f, g, h, {new} FROM x WHERE step < {_STEPS - 1})"""
+
+
+_register("xorshift7", lambda s, d: numeric.xorshift7(s, _STREAMS, _STEPS), f"{_xorshift_sql()} SELECT stream, step, h AS value FROM x WHERE step >= 0")
+_register("xorshift7_jump", lambda s, d: numeric.xorshift7(s, _STREAMS, 100, skip=900), f"{_xorshift_sql()} SELECT stream, step, h AS value FROM x WHERE step >= 900")
+_register("libor", lambda s, d: numeric.libor(s), None)
+
+
+# forms of the above that nothing else asks for
+
+@query(f"WITH {_O} SELECT pos, v, c, round(ln(product(1 + v % 3) OVER (PARTITION BY c ORDER BY pos {_INC})), 6) AS log_scanned FROM o")
+def scan_mul(s: SparkSession, d: str) -> DataFrame:
+    o = _orders(s, d).withColumn("x", (1 + F.col("v") % 3).cast("double"))
+    return scan.scan(o, "x", MUL, "inclusive", partition_by=["c"]).select("pos", "v", "c", F.round(F.log("scanned"), 6).alias("log_scanned"))
+
+
+@query(f"WITH {_O} SELECT pos, v, c, pos // 32 AS tile, sum(v) OVER (PARTITION BY pos // 32 ORDER BY pos {_INC})::BIGINT AS scanned, sum(v) OVER (PARTITION BY pos // 32)::BIGINT AS aggregate FROM o")
+def tile_scan_inclusive(s: SparkSession, d: str) -> DataFrame:
+    return scan.tile_scan(_orders(s, d), "v", 32, kind="inclusive")
+
+
+@query("WITH o AS (SELECT o_orderkey AS pos, o_custkey AS c, 1 + o_orderkey % 4 AS v FROM orders), r AS (SELECT *, min(pos) OVER (PARTITION BY c) AS p FROM o) SELECT c, round(sum(CASE WHEN pos = p THEN ln(v) ELSE -ln(v) END), 6) AS log_result FROM r GROUP BY c")
+def ordered_fold_div(s: SparkSession, d: str) -> DataFrame:
+    o = read_table(s, d, "orders").selectExpr("o_orderkey AS pos", "o_custkey AS c", "CAST(1 + o_orderkey % 4 AS DOUBLE) AS v")
+    return red.ordered_fold(o, "v", lambda a, b: a / b, by=["c"]).select("c", F.round(F.log("result"), 6).alias("log_result"))
+
+
+@query(
+    """SELECT o_custkey AS x, list_sum(list_transform(range(32), lambda i: ((o_custkey >> i) & 1) << (31 - i)))::BIGINT AS brev,
+((o_custkey & 255) | (((o_orderkey >> 8) & 255) << 8) | (((o_custkey >> 16) & 255) << 16) | (((o_orderkey >> 24) & 255) << 24))::BIGINT AS prmt, (o_custkey + 6) // 7 AS div_up FROM orders"""
+)
+def bit_permutations(s: SparkSession, d: str) -> DataFrame:
+    x, y = F.col("o_custkey"), F.col("o_orderkey")
+    return read_table(s, d, "orders").select(x.alias("x"), bits.brev(x).alias("brev"), bits.prmt(x, y, 0x7250).alias("prmt"), bits.div_up(x, 7).alias("div_up"))
+
+
+for _op, _short, _has in (("intersection", "intersect", "ca > 0 AND cb > 0"), ("union", "union_max", "true"), ("difference", "diff", "ca > 0 AND cb = 0"), ("symmetric", "symdiff", "(ca > 0) <> (cb > 0)")):
+    _register(f"set_{_short}_distinct", lambda s, d, op=_op: sets.set_keys(*_set_sides(s, d), op, duplicates=False), f"WITH {_SA}, {_SB}, n AS (SELECT k, count(CASE WHEN s = 0 THEN 1 END) AS ca, count(CASE WHEN s = 1 THEN 1 END) AS cb FROM (SELECT k, 0 AS s FROM a UNION ALL SELECT k, 1 FROM b) GROUP BY k) SELECT k FROM n WHERE {_has}")
+
+
+@query(f"WITH {_JA}, {_JB} SELECT a.pos AS a_pos, b.pos AS b_pos FROM a LEFT JOIN b ON a.k // 2 = b.k // 2")
+def join_comparator(s: SparkSession, d: str) -> DataFrame:
+    return joins.relational_join(*_join_sides(s, d), "left", comparable=F.floor(F.col("k") / 2))
+
+
+@query("SELECT o_orderkey AS pos, o_custkey AS k, (o_custkey >> 3) & 15 AS digit, row_number() OVER (ORDER BY (o_custkey >> 3) & 15, o_orderkey) - 1 AS rank FROM orders")
+def radix_rank(s: SparkSession, d: str) -> DataFrame:
+    return sorting.radix_rank(_needles(s, d), 3, 4)
+
+
+@query(f"WITH {_KEYS} SELECT pos, k, v, row_number() OVER (ORDER BY (k >> 2) & 255, pos) - 1 AS out FROM o")
+def radix_sort(s: SparkSession, d: str) -> DataFrame:
+    return sorting.radix_sort(_keyed(s, d), first=2, last=10)
+
+
+@query(
+    """WITH h AS (SELECT l_partkey % 1777 AS k, count(*) AS n FROM lineitem GROUP BY 1), q AS (SELECT DISTINCT o_custkey AS k FROM orders),
+r AS (SELECT q.k, coalesce(sum(CASE WHEN h.k < q.k THEN n END), 0)::BIGINT AS idx, coalesce(bool_or(h.k = q.k), false) AS matched FROM q, h GROUP BY q.k)
+SELECT o_orderkey AS pos, CASE WHEN matched THEN idx | 2147483648 ELSE idx END AS packed FROM orders JOIN r ON r.k = o_custkey"""
+)
+def sorted_search_packed(s: SparkSession, d: str) -> DataFrame:
+    found = search.sorted_search(_needles(s, d), _haystack(s, d))
+    return found.select("pos", search.packed(F.col("idx"), F.col("matched")).alias("packed"))
+
+
+@query("SELECT row_number() OVER (ORDER BY n_name) - 1 AS pos, n_nationkey, n_name, n_regionkey FROM nation")
+def positioned_source(s: SparkSession, d: str) -> DataFrame:
+    return read_positioned(s, f"{d}/nation.parquet", ["n_name"]).select("pos", "n_nationkey", "n_name", "n_regionkey")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def csv_sink(s: SparkSession, d: str) -> DataFrame:
+    """A table written as CSV to the shared folder and read back."""
+    nation = read_table(s, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    path = f"{shared_dir(s)}/csv-{uuid.uuid4().hex}"
+    write_csv(nation, path)
+    return s.read.csv(path, header=True, schema=nation.schema)
+
+
 ORACLES = {k: v for k, v in ORACLES.items() if v is not None}
