@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: The characters that separate words, as a Java regular expression class body.
 SPACE = r"\x20\x09-\x0D"
+#: Tables below so many bytes are left in few tasks.
+SPREAD_BYTES = 1 << 20
 #: A side of a join is broadcast only if it was counted and has at most so many (narrow) rows.
 BROADCAST_ROWS = 50_000
 
@@ -44,19 +46,36 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/cut-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut = path  # for `forget`
+    return out
 
 
-def drop_cut(df: DataFrame | None) -> None:
-    """Remove the files behind a frame made by `cut` once nothing will read them again."""
-    if df is None:
-        return
-    for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
-        for i, (spark, path) in enumerate(_written):
-            if f.rstrip("/").endswith(path.rpartition("/")[2]):
-                _delete(spark, path)
-                del _written[i]
-                break
+def mark() -> int:
+    """Where `forget` starts."""
+    return len(_written)
+
+
+def forget(since: int, *keep: DataFrame | None) -> None:
+    """Remove the tables that `cut` wrote since a mark, but those of `keep`. Nothing may read them any more."""
+    kept = {getattr(x, "_cut", None) for x in keep}
+    gone = [x for x in _written[since:] if x[1] not in kept]
+    _written[since:] = [x for x in _written[since:] if x[1] in kept]
+    for spark, path in gone:
+        _delete(spark, path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of files, dealt over all cores if its files are fewer than these; larger tables stay as they are.
+
+    Parquet's row groups don't split, so a small table of one file would be one task's.
+    """
+    spark = df.sparkSession
+    cores, most = spark.sparkContext.defaultParallelism, int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size < SPREAD_BYTES or size >= cores * most or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordwise.llm._shared import cut
+from ordwise.llm._shared import cut, forget, mark
 
 
 def _hang(rows: DataFrame, label: str) -> DataFrame:
@@ -30,6 +30,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Directions, repeats and self-links don't matter; no edges give no rows; rows with a null end are ignored.
     """
     e = edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    start = mark()
     e = cut(e, "edges")
     seen = _fingerprint(e)
     for i in range(max_rounds):
@@ -39,6 +40,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         hung = _hang(large.select(F.col("u").alias("n"), "v"), f"small{i}")
         small = hung.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(hung.select(F.col("n").alias("u"), F.col("m").alias("v")))
         e = cut(small.distinct(), f"edges{i}")
+        forget(start, e)
         now = _fingerprint(e)
         if now == seen:
             break
