@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordwise.functions import bits
+from ordwise.functions import bits, tables
 from ordwise.operators import compact, intervals, joins, numeric, scan, search, sets, sorting
 from ordwise.operators import reduce as red
 from ordwise.operators.monoid import ADD, MAX, MEAN, MIN, MUL
@@ -536,6 +536,26 @@ def positioned_source(s: SparkSession, d: str) -> DataFrame:
     return read_positioned(s, f"{d}/nation.parquet", ["n_name"]).select("pos", "n_nationkey", "n_name", "n_regionkey")
 
 
+@query("SELECT p_partkey AS pos, unnest(range(0, p_size % 4)) AS rank, p_size AS value FROM part")
+def sql_expand(s: SparkSession, d: str) -> DataFrame:
+    """Interval expansion asked for in SQL."""
+    tables.register(s)
+    parts = _parts(s, d)
+    return s.sql("SELECT p.pos, e.rank, e.value FROM {parts} p, LATERAL ordwise_expand(p.v, p.count) e", parts=parts)
+
+
+@query("SELECT n_nationkey, t AS tile, t * 3 AS first, least(t * 3 + 3, n_nationkey) AS past FROM (SELECT n_nationkey, unnest(range(0, (n_nationkey + 2) // 3)) AS t FROM nation)")
+def sql_tiles(s: SparkSession, d: str) -> DataFrame:
+    tables.register(s)
+    return s.sql("SELECT n.n_nationkey, t.* FROM {nation} n, LATERAL ordwise_tiles(n.n_nationkey, 3) t", nation=read_table(s, d, "nation"))
+
+
+@query("SELECT n_nationkey, range AS pos, 5 + n_nationkey * range AS value FROM nation, range(0, 4)")
+def sql_counting(s: SparkSession, d: str) -> DataFrame:
+    tables.register(s)
+    return s.sql("SELECT n.n_nationkey, c.* FROM {nation} n, LATERAL ordwise_counting(4, 5, n.n_nationkey) c", nation=read_table(s, d, "nation"))
+
+
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def csv_sink(s: SparkSession, d: str) -> DataFrame:
     """A table written as CSV to the shared folder and read back."""

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ordwise.functions import bits, types
+from ordwise.functions import bits, tables, types
 from ordwise.operators import compact, numeric, search, sorting
 from ordwise.operators.monoid import ADD
 from ordwise.operators.positional import prefix
@@ -172,3 +172,12 @@ def test_running_sum_carries_over_batches(spark, tmp_path):
         q.awaitTermination(120)
         assert q.exception() is None
     assert sorted(got, key=str) == sorted([(1, 0, 5), (1, 1, 5), (1, 2, 12), (1, 3, 13), (2, 0, 1), (2, 1, -3), (None, 0, 3), (None, 1, 5)], key=str)
+
+
+def test_table_functions(spark):
+    assert tables.register(spark) == ["ordwise_counting", "ordwise_expand", "ordwise_tiles"]
+    rows = lambda q: sorted(map(tuple, spark.sql(q).collect()))
+    assert rows("SELECT * FROM ordwise_counting(4, 10, -2)") == [(0, 10), (1, 8), (2, 6), (3, 4)]
+    assert rows("SELECT * FROM ordwise_tiles(10, 4)") == [(0, 0, 4), (1, 4, 8), (2, 8, 10)] and rows("SELECT * FROM ordwise_tiles(0, 4)") == []
+    got = rows("SELECT t.n, e.* FROM VALUES (1, 2), (2, 0), (3, NULL), (4, -1), (5, 1) AS t(v, n), LATERAL ordwise_expand(t.v, t.n) e")
+    assert got == [(1, 0, 5), (2, 0, 1), (2, 1, 1)]
