@@ -24,8 +24,8 @@ from ordwise.llm._shared import cut, join_small
 from ordwise.llm.components import connected_components
 from ordwise.llm.simhash_neardup import _Forest
 
-#: Vectors of a cell on one side of a tile.
-CHUNK = 1024
+#: Vectors of a cell on one side of a tile: as many as a task holds with ease, since a vector travels to each tile of its cell.
+CHUNK = 8192
 #: Dimensions accumulated before each check of the bound; the last step takes the rest.
 STEPS = (8, 16, 32)
 #: Beyond rounding errors of the rotated products.

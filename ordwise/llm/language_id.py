@@ -106,7 +106,10 @@ def _with_totals(table: DataFrame, n_langs: int) -> tuple[DataFrame, list[int],
 
 
 def fit(labelled: DataFrame) -> Model:
-    """Learn from (lang, text), over all rows with both. The driver receives the languages and a total for each."""
+    """Learn from (lang, text), over all rows with both. The driver receives the languages and a total for each.
+
+    A row of the word table is as wide as there are languages, which are taken to be few (not documents).
+    """
     ok = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     langs = sorted(r["lang"] for r in ok.select("lang").distinct().collect())
     if not langs:

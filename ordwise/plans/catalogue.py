@@ -541,7 +541,7 @@ def sql_expand(s: SparkSession, d: str) -> DataFrame:
     """Interval expansion asked for in SQL."""
     tables.register(s)
     parts = _parts(s, d)
-    return s.sql("SELECT p.pos, e.rank, e.value FROM {parts} p, LATERAL ordwise_expand(p.v, p.count) e", parts=parts)
+    return s.sql("SELECT p.pos, e.rank, CAST(e.value AS INT) AS value FROM {parts} p, LATERAL ordwise_expand(p.v, p.count) e", parts=parts)
 
 
 @query("SELECT n_nationkey, t AS tile, t * 3 AS first, least(t * 3 + 3, n_nationkey) AS past FROM (SELECT n_nationkey, unnest(range(0, (n_nationkey + 2) // 3)) AS t FROM nation)")

@@ -40,7 +40,7 @@ def slow_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-@pytest.mark.parametrize("text", [None, "", " \t\r\n", "One", "a b c", "A b C d", "ÄÖ a  b\vc\fd e É", "x " * 300, "the quick brown fox jumps over the lazy dog " * 9])
+@pytest.mark.parametrize("text", [None, "", " \t\r\n", "One", "a b c", "A b C d", "ÄÖ a  b\vc\fd e É", "x " * 300, "Long " + "words and More " * 70_000, "y" * 100_000, "the quick brown fox jumps over the lazy dog " * 9])
 def test_fingerprint(text):
     assert simhash_neardup.fingerprint(text.encode() if text is not None else None) == slow_fingerprint(text)
 

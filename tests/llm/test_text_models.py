@@ -149,3 +149,9 @@ def test_quality_classifier(spark):
     assert sum((got[i] >= 0.7) == bool(i % 2) for i in range(60)) >= 58
     assert got[100] == got[101] and all(0 <= s <= 1 for s in got.values())
     assert quality_classifier.score(df.limit(1), quality_classifier.fit(df, labels.limit(0))).first().score == 0.5
+    named = df.select("doc_id", "text", F.lit(1).alias("label"), F.lit("mine").alias("score"), F.lit(0).alias("id"))
+    again = quality_classifier.fit(named.unionByName(named.where("doc_id = 7")), labels)
+    out = quality_classifier.score(named.unionByName(named), again, output="q")
+    assert out.columns == [*named.columns, "q"] and out.count() == 2 * named.count() and out.where("score <> 'mine'").count() == 0
+    assert out.groupBy("doc_id", "text").agg(F.countDistinct("q").alias("n")).where("n > 1").count() == 0
+    assert quality_classifier.score(named.limit(0), again).count() == 0
