@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordwise.llm._shared import cut, join_small
+from ordwise.llm._shared import cut, forget, join_small, mark
 from ordwise.llm.components import connected_components
 
 BUDGET = 4
@@ -40,7 +40,9 @@ LEAF = 8
 WIDE_SHINGLE, SIMILARITY, WIDE = 5, 0.8, 8
 #: What is left of the chance that two texts of that similarity share a node in no trie, and by how many standard
 #: deviations their fingerprints may be further apart than the similarity makes likely to be compared at all.
-MISSED, APART = 0.01, 4
+MISSED, APART = 0.005, 4
+#: Bits beyond a text's nearest candidate that its second round looks at: one and a half standard deviations.
+NEXT = 12
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _U = np.uint64
 
@@ -436,32 +438,48 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, shingle: int,
     known = cut(texts.dropDuplicates(["__class"]).select("__class", "t").mapInArrow(grams, "class long, grams binary"), "end-sets")
     side = lambda x: known.select(F.col("class").alias(f"k{x}"), F.col("grams").alias(x))
     both = pairs.join(side("a"), F.col("u") == F.col("ka")).join(side("b"), F.col("v") == F.col("kb"))
-    return cut(both.select("u", "v", "a", "b").mapInArrow(compare, "u long, v long"), "links")
+    return both.select("u", "v", "a", "b").mapInArrow(compare, "u long, v long")
 
 
 def row_roots(docs: DataFrame, shingle: int = WIDE_SHINGLE, threshold: float = SIMILARITY) -> DataFrame:
     """doc_id, digest of the text and root (a name of the row's group) of every row of (doc_id, text).
 
-    Rounds: every class takes its nearest candidate outside its group that was not compared before; the pairs are
-    confirmed by their shingle sets, and groups grow by those that are, until a round confirms none. So a pair is
-    compared only while it can join two groups, and a group of any size costs one comparison a member and round.
+    Candidates are confirmed by their shingle sets in three rounds: those as near as a class's nearest, those within
+    NEXT bits more, and the rest; after each round only pairs that would still join two groups are left. So a large
+    group of near copies costs some comparisons a member, and pairs are compared whole only if nothing else joins them.
     """
     sets = cut(_wide(docs, shingle), "wide")
+    start = mark()  # what is written from here on goes as soon as it was read
     classes = cut(sets.groupBy("class").agg(F.first("fp").alias("fp")), "classes")
-    open_ = cut(candidates(classes, threshold), "candidates")
-    links, roots = None, None
-    while open_.limit(1).count():
-        ends = open_.select(F.col("u").alias("n"), F.struct("d", "u", "v").alias("p")).unionByName(open_.select(F.col("v").alias("n"), F.struct("d", "u", "v").alias("p")))
-        tried = cut(ends.groupBy("n").agg(F.min("p").alias("p")).select("p.u", "p.v").distinct(), "tried")
-        found = _confirmed(tried, sets, docs, shingle, threshold)
-        if not found.limit(1).count():
+    open_, roots = cut(candidates(classes, threshold), "candidates"), None
+    forget(start, open_)
+    of = lambda x, r: r.select(F.col("node").alias(f"n{x}"), F.col("root").alias(f"r{x}"))
+    for more in (0, NEXT, None):
+        if not open_.limit(1).count():
             break
-        links = found if links is None else links.unionByName(found)
-        roots = cut(connected_components(links), "row-roots")
-        left = open_.join(tried, ["u", "v"], "left_anti")
-        of = lambda x: roots.select(F.col("node").alias(f"n{x}"), F.col("root").alias(f"r{x}"))
-        left = left.join(of("u"), F.col("u") == F.col("nu"), "left").join(of("v"), F.col("v") == F.col("nv"), "left")
-        open_ = cut(left.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v", "d"), "candidates")
+        tried = open_
+        if more is not None:
+            ends = open_.select(F.col("u").alias("n"), "d").unionByName(open_.select(F.col("v").alias("n"), "d"))
+            least = cut(ends.groupBy("n").agg(F.min("d").alias("least")), "nearest")
+            near = lambda x: least.select(F.col("n").alias(f"n{x}"), (F.col("least") + more).alias(f"m{x}"))  # noqa: E731, B023
+            tried = open_.join(near("u"), F.col("u") == F.col("nu")).join(near("v"), F.col("v") == F.col("nv"))
+            tried = cut(tried.where(F.col("d") <= F.greatest("mu", "mv")).select("u", "v", "d"), "tried")
+        found = _confirmed(tried.select("u", "v"), sets, docs, shingle, threshold)
+        if roots is not None:  # links between groups, by their names
+            found = found.join(of("u", roots), F.col("u") == F.col("nu"), "left").join(of("v", roots), F.col("v") == F.col("nv"), "left")
+            found = found.select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"))
+        joined = cut(connected_components(found), "joined")
+        if roots is None:
+            roots = joined
+        else:
+            again = roots.join(of("x", joined), F.col("root") == F.col("nx"), "left").select("node", F.coalesce("rx", "root").alias("root"))
+            roots = cut(again.unionByName(joined.join(roots.select("node"), "node", "left_anti")), "row-roots")
+        forget(start, open_, tried, roots)
+        if more is not None:
+            left = open_.join(tried.select("u", "v"), ["u", "v"], "left_anti")
+            left = left.join(of("u", roots), F.col("u") == F.col("nu"), "left").join(of("v", roots), F.col("v") == F.col("nv"), "left")
+            open_ = cut(left.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v", "d"), "candidates")
+            forget(start, open_, roots)
     if roots is None:
         return sets.select("doc_id", "digest", F.col("class").alias("root"))
     rows = sets.select("doc_id", "digest", "class").join(roots, F.col("class") == F.col("node"), "left")
