@@ -158,3 +158,21 @@ def test_embeddings_null_ids_and_empty(spark):
     got = sorted(map(tuple, embedding_neardup.near_duplicates(df).collect()), key=str)
     assert got == sorted([(3, 1, 3, True), (4, 1, 3, False), (None, 0, None, False)], key=str)
     assert embedding_neardup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_cut_tables_go_and_small_tables_are_dealt(spark, tmp_path, monkeypatch):
+    from ordwise.llm import _shared
+
+    start = _shared.mark()
+    kept, gone = _shared.cut(spark.range(5).toDF("a"), "kept"), _shared.cut(spark.range(6).toDF("b"), "gone")
+    _shared.forget(start, kept)
+    assert kept.count() == 5 and len(_shared._written) == start + 1
+    with pytest.raises(Exception, match="(?i)exist|found"):
+        gone.count()
+    _shared.forget(start)
+    spark.range(1000).coalesce(1).write.parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    assert _shared.spread(table) is table
+    monkeypatch.setattr(_shared, "SPREAD_BYTES", 1)
+    dealt = _shared.spread(table)
+    assert dealt is not table and sorted(r.id for r in dealt.collect()) == list(range(1000))
