@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,12 +115,15 @@ def shift(df: DataFrame, value: str, by: int = 1, default: object = None, pos: s
     return rows.select(*df.columns, F.when(F.col("__there").isNotNull(), F.col("__there.v")).otherwise(F.lit(default)).alias(out))
 
 
-def discontinuity(df: DataFrame, key: str, pos: str = "pos") -> DataFrame:
-    """`df` with `head` and `tail`: whether its key differs from the row before, or after (the ends: true)."""
+def discontinuity(df: DataFrame, key: str, pos: str = "pos", equal: Callable[[Column, Column], Column] = Column.eqNullSafe) -> DataFrame:
+    """`df` with `head` and `tail`: whether its key differs from the row before, or after (the ends: true).
+
+    equal decides what counts as one key; where it gives null, the keys differ.
+    """
     rows, w, own = _ordered(df, pos, 1, 1)
     k = F.struct(F.col(key).alias("k"))
     rows = rows.withColumns({"__before": F.lag(k).over(w), "__after": F.lead(k).over(w)}).where(own)
-    differs = lambda c: F.col(c).isNull() | ~F.col(key).eqNullSafe(F.col(f"{c}.k"))
+    differs = lambda c: F.col(c).isNull() | ~F.coalesce(equal(F.col(key), F.col(f"{c}.k")), F.lit(False))
     return rows.select(*df.columns, differs("__before").alias("head"), differs("__after").alias("tail"))
 
 

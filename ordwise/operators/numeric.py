@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +82,7 @@ def solve_tridiagonal(systems: DataFrame) -> DataFrame:
     return systems.select(F.col("sys_id").cast("long"), *[F.col(c).cast(kind) for c in "ldub"]).mapInArrow(run, f"sys_id long, x {kind}")
 
 
+@cache
 def _primitive_polynomials(count: int) -> list[tuple[int, int]]:
     """(degree, inner coefficients) of the first primitive polynomials over two elements, by degree and value."""
     out, degree = [], 1
@@ -97,6 +99,8 @@ def _primitive_polynomials(count: int) -> list[tuple[int, int]]:
             return result
 
         for inner in range(1 << max(0, degree - 1)):
+            if inner.bit_count() % 2 == 0 and degree > 1:
+                continue  # an even number of terms has a factor
             poly = (1 << degree) | (inner << 1) | 1
             if power(order, poly) == 1 and all(power(order // f, poly) != 1 for f in factors):
                 out.append((degree, inner))
@@ -132,21 +136,31 @@ def sobol_directions(dims: int, bits: int = 32) -> list[list[int]]:
     return out[:dims]
 
 
+#: Dimensions up to which a point's numbers are one expression.
+UNROLLED = 32
+
+
 def sobol(spark: SparkSession, n: int, dims: int, offset: int = 0) -> DataFrame:
     """Points offset .. offset + n - 1 of a Sobol sequence: point, dim, x (32 bits as long), u (in [0, 1)).
 
     Point p is the exclusive or of the direction numbers at the set bits of p's Gray code: built-in functions alone.
     """
     p = F.col("point")
-    gray = p.bitwiseXOR(F.shiftright(p, 1))
-    xs: list[Column] = []
-    for v in sobol_directions(dims):
-        x = F.lit(0).cast("long")
-        for i, d in enumerate(v):
-            x = x.bitwiseXOR(F.when(F.shiftright("g", i).bitwiseAND(F.lit(1)) == 1, F.lit(d)).otherwise(F.lit(0)))
-        xs.append(x)
-    points = spark.range(offset, offset + n).withColumnRenamed("id", "point").withColumn("g", gray)
-    rows = points.select("point", F.posexplode(F.array(*xs)).alias("dim", "x"))
+    points = spark.range(offset, offset + n).withColumnRenamed("id", "point").withColumn("g", p.bitwiseXOR(F.shiftright(p, 1)))
+    directions = sobol_directions(dims)
+    if dims <= UNROLLED:
+        xs: list[Column] = []
+        for v in directions:
+            x = F.lit(0).cast("long")
+            for i, d in enumerate(v):
+                x = x.bitwiseXOR(F.when(F.shiftright("g", i).bitwiseAND(F.lit(1)) == 1, F.lit(d)).otherwise(F.lit(0)))
+            xs.append(x)
+        rows = points.select("point", F.posexplode(F.array(*xs)).alias("dim", "x"))
+    else:  # one row of 32 numbers a dimension: as large as the model, whatever n
+        table = spark.createDataFrame([(i, v) for i, v in enumerate(directions)], "d int, v array<long>")
+        rows = points.withColumn("dim", F.explode(F.sequence(F.lit(0), F.lit(dims - 1)))).join(F.broadcast(table), F.col("dim") == F.col("d"))
+        bits = F.transform("v", lambda x, i: F.when(F.call_function("getbit", F.col("g"), i) == 1, x).otherwise(F.lit(0).cast("long")))
+        rows = rows.select("point", "dim", F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x)).alias("x"))
     return rows.select("point", F.col("dim").cast("long").alias("dim"), "x", (F.col("x") / F.lit(float(1 << 32))).alias("u"))
 
 

@@ -428,6 +428,8 @@ _register(
     f"WITH p AS (SELECT range AS point, xor(range, range >> 1) AS g FROM range(0, 4096)), v AS (SELECT * FROM (VALUES {_DIRECTIONS}) t(dim, i, v)) SELECT point, dim::BIGINT AS dim, bit_xor(CASE WHEN (g >> i) & 1 = 1 THEN v::BIGINT ELSE 0 END)::BIGINT AS x, bit_xor(CASE WHEN (g >> i) & 1 = 1 THEN v::BIGINT ELSE 0 END)::DOUBLE / 4294967296 AS u FROM p, v GROUP BY point, dim",
 )
 
+_register("sobol_many", lambda s, d: numeric.sobol(s, 256, 200).groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.shiftright("x", 24)).alias("cells")), "SELECT range AS dim, 256::BIGINT AS n, 256::BIGINT AS cells FROM range(0, 200)")
+
 _STREAMS, _STEPS = 16, 1000
 
 
@@ -502,6 +504,12 @@ def bit_permutations(s: SparkSession, d: str) -> DataFrame:
     return read_table(s, d, "orders").select(x.alias("x"), bits.brev(x).alias("brev"), bits.prmt(x, y, 0x7250).alias("prmt"), bits.div_up(x, 7).alias("div_up"))
 
 
+@query(f"WITH {_E} SELECT pos, t, v, coalesce(lag(v // 5000) OVER (ORDER BY pos) <> v // 5000, true) AS head, coalesce(lead(v // 5000) OVER (ORDER BY pos) <> v // 5000, true) AS tail FROM e")
+def discontinuity_equality(s: SparkSession, d: str) -> DataFrame:
+    """Runs by an equality of one's own: values in one bracket of 5,000."""
+    return compact.discontinuity(_events(s, d), "v", equal=lambda a, b: F.floor(a / 5000) == F.floor(b / 5000))
+
+
 for _op, _short, _has in (("intersection", "intersect", "ca > 0 AND cb > 0"), ("union", "union_max", "true"), ("difference", "diff", "ca > 0 AND cb = 0"), ("symmetric", "symdiff", "(ca > 0) <> (cb > 0)")):
     _register(f"set_{_short}_distinct", lambda s, d, op=_op: sets.set_keys(*_set_sides(s, d), op, duplicates=False), f"WITH {_SA}, {_SB}, n AS (SELECT k, count(CASE WHEN s = 0 THEN 1 END) AS ca, count(CASE WHEN s = 1 THEN 1 END) AS cb FROM (SELECT k, 0 AS s FROM a UNION ALL SELECT k, 1 FROM b) GROUP BY k) SELECT k FROM n WHERE {_has}")
 

@@ -181,3 +181,21 @@ def test_table_functions(spark):
     assert rows("SELECT * FROM ordwise_tiles(10, 4)") == [(0, 0, 4), (1, 4, 8), (2, 8, 10)] and rows("SELECT * FROM ordwise_tiles(0, 4)") == []
     got = rows("SELECT t.n, e.* FROM VALUES (1, 2), (2, 0), (3, NULL), (4, -1), (5, 1) AS t(v, n), LATERAL ordwise_expand(t.v, t.n) e")
     assert got == [(1, 0, 5), (2, 0, 1), (2, 1, 1)]
+
+
+def test_sobol_of_many_dimensions_is_the_unrolled_one(spark, monkeypatch):
+    want = sorted(map(tuple, numeric.sobol(spark, 100, 20, offset=37).collect()))
+    monkeypatch.setattr(numeric, "UNROLLED", 0)
+    assert sorted(map(tuple, numeric.sobol(spark, 100, 20, offset=37).collect())) == want
+
+
+def test_polynomials_are_primitive():
+    # Numbers of primitive polynomials of degree 1, 2, ... over two elements.
+    known = [1, 1, 2, 2, 6, 6, 18, 16, 48]
+    found = numeric._primitive_polynomials(sum(known))
+    assert [sum(d == n for d, _ in found) for n in range(1, 10)] == known
+
+
+def test_equality_of_ones_own(spark):
+    rows = compact.discontinuity(from_values(spark, [1, 2, None, None, 11, 12, 25]), "v", equal=lambda a, b: F.floor(a / 10) == F.floor(b / 10)).orderBy("pos").collect()
+    assert [r.head for r in rows] == [True, False, True, True, True, False, True]
