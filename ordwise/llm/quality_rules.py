@@ -40,6 +40,7 @@ def counts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "source")
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
     long = lambda c: c.cast("long")
     df = docs.select(*keep, t.alias("__t"), words(F.col(text)).alias("__w"), lines.alias("__lines"))
+    df = df.withColumn("__h", F.transform("__w", lambda w: F.xxhash64(w)))
     n = F.size("__w")
     df = df.select(
         *keep,
@@ -47,7 +48,7 @@ def counts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "source")
         long(F.length(F.array_join("__w", ""))).alias("word_chars"),
         long(F.length("__t") - F.length(F.translate("__t", SYMBOLS, ""))).alias("n_symbols"),
         long(F.size("__lines") - F.size(F.array_distinct("__lines"))).alias("n_dup_lines"),
-        F.when(n >= 5, F.transform(F.sequence(F.lit(1), n - 4), lambda i: F.xxhash64(F.slice("__w", i, 5)))).otherwise(F.array().cast("array<long>")).alias("__five"),
+        F.when(n >= 5, F.transform(F.sequence(F.lit(0), n - 5), lambda i: F.xxhash64(*[F.get("__h", i + k) for k in range(5)]))).otherwise(F.array().cast("array<long>")).alias("__five"),
         "__w",
     )
     some = F.size(F.array_distinct("__five")) < F.size("__five")  # few texts repeat anything: only their words are compared
