@@ -4,11 +4,12 @@ A word that lies in a window of `window` consecutive words which also starts in
 removed. To find such windows without shuffling every window, texts are recompressed in rounds: each maximal run of
 a symbol becomes one symbol, then each adjacent pair whose first symbol is of the left class and whose second of the
 right class (a bit of their names). Names are hashes of what they stand for, so all documents name equal runs and
-pairs alike without a dictionary. Along with each symbol goes the stretch of words that its parse depends on; equal
-windows hold the same symbols wherever that stretch lies within the window, whatever surrounds them.
+pairs alike without a dictionary. Along with each symbol goes the stretch of words that its parse depends on, and the
+name of that stretch, made in the same rounds from the names of the symbols in it. Equal windows hold the same symbols
+wherever that stretch lies within the window, whatever surrounds them.
 
-  round 1  each window names its interior by its best such symbol (the highest, then the least name); a Spark round
-           finds the names that occur in more than one document: only their windows can repeat.
+  round 1  each window takes the name of its best such symbol (the highest level, then the least name); a Spark round
+           finds the names that occur in more than one document: only windows around shared symbols can repeat.
   round 2  those windows are named whole, from other hashes of their words (96 bits besides the symbol's); a Spark
            round finds the least document id of each, which verifies the repeat.
   round 3  the covered words go.
@@ -48,10 +49,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Parse:
-    """Symbols of one level over all words of a bucket: name, covered words [start, end), needed words [lo, hi)."""
+    """Symbols of one level over all words of a bucket: name, covered words [start, end), needed words [lo, hi) and `full`,
+    the name of these."""
 
-    def __init__(self, name: np.ndarray, start: np.ndarray, end: np.ndarray, lo: np.ndarray, hi: np.ndarray, doc: np.ndarray) -> None:
-        self.name, self.start, self.end, self.lo, self.hi, self.doc = name, start, end, lo, hi, doc
+    def __init__(self, name: np.ndarray, start: np.ndarray, end: np.ndarray, lo: np.ndarray, hi: np.ndarray, doc: np.ndarray, full: np.ndarray) -> None:
+        self.name, self.start, self.end, self.lo, self.hi, self.doc, self.full = name, start, end, lo, hi, doc, full
+
+
+def _named(*parts: np.ndarray) -> np.ndarray:
+    """A name for a sequence of names."""
+    out = parts[0]
+    for x in parts[1:]:
+        out = _mix(out * _MULT + x)
+    return out
 
 
 def _with(lo: np.ndarray, hi: np.ndarray, there: np.ndarray, lo2: np.ndarray, hi2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,6 +86,7 @@ def recompress(p: Parse, level: int) -> Parse:
     lo, hi = np.minimum.reduceat(p.lo, first), np.maximum.reduceat(p.hi, first)
     lo, hi = _with(lo, hi, has_prev, p.lo[prv], p.hi[prv])
     lo, hi = _with(lo, hi, has_next, p.lo[nxt], p.hi[nxt])
+    full = _named(p.full[prv], p.full[first], length.astype(_U), p.full[last], p.full[nxt])
     start, end = p.start[first], p.end[last]
 
     right = (_mix(name + _U(level + 1)) & _U(1)).astype(bool)
@@ -95,9 +106,10 @@ def recompress(p: Parse, level: int) -> Parse:
     lo2 = np.where(on_next, lo_next, np.where(on_prev, lo_prev, lo))
     hi2 = np.where(on_next, hi_next, np.where(on_prev, hi_prev, hi))
     name2 = np.where(joined, _mix(name * _MULT + _mix(name[nxt] + _U(level * 2 + 3))), name)
+    full2 = _named(np.where(on_prev, full[prv], full), np.where(on_next, full[nxt], full))
     end2 = np.where(joined, end[nxt], end)
     keep = ~second
-    return Parse(name2[keep], start[keep], end2[keep], lo2[keep], hi2[keep], doc[keep])
+    return Parse(name2[keep], start[keep], end2[keep], lo2[keep], hi2[keep], doc[keep], full2[keep])
 
 
 def window_names(h: np.ndarray, size: int, seed: int) -> np.ndarray:
@@ -112,26 +124,21 @@ def window_names(h: np.ndarray, size: int, seed: int) -> np.ndarray:
 def anchors(h: np.ndarray, doc: np.ndarray, starts: np.ndarray, window: int, levels: int = LEVELS) -> np.ndarray:
     """For the window at each of `starts`: the name of its interior.
 
-    Each symbol that fits with what it depends on offers its name to the windows around it: the stretch of words it
-    depends on, hashed. The highest level wins, then the least name. A single word fits in any window.
+    Each symbol that fits with what it depends on offers the name of that stretch to the windows around it. The
+    highest level wins, then the least name. A single word fits in any window.
     """
     n = len(h)
     at = np.arange(n, dtype=np.int64)
-    parses = [Parse(h, at, at + 1, at, at + 1, doc)]
+    parses = [Parse(h, at, at + 1, at, at + 1, doc, h)]
     for level in range(levels):
         parses.append(recompress(parses[-1], level))
-    # a stretch's hash is a difference of two prefix sums, shifted back to its start by the inverse multiplier
-    total = np.zeros(n + 1, _U)
-    np.cumsum(_mix(h) * _powers(_MULT, n)[:n], out=total[1:])
-    shift = _powers(_U(pow(int(_MULT), -1, 1 << 64)), n + 1)
     none = _U(0xFFFFFFFFFFFFFFFF)
     best, open_ = np.full(len(starts), none), np.arange(len(starts))
     for level in range(levels, -1, -1):
         p = parses[level]
         fits = np.flatnonzero((p.hi - p.lo <= window) & (p.lo >= 0) & (p.hi <= n))
         lo, hi = p.lo[fits], p.hi[fits]
-        name = _mix((total[hi] - total[lo]) * shift[lo] + (hi - lo).astype(_U))
-        offer = (name >> _U(2)) | _U((levels - level) << 62)
+        offer = (_mix(p.full[fits] + _U(level)) >> _U(2)) | _U((levels - level) << 62)
         here = np.full(n + window, -1, np.int32)  # the symbol that starts at a word
         here[p.start[fits]] = np.arange(len(fits), dtype=np.int32)
         first, most = starts[open_], np.full(len(open_), none)
@@ -149,12 +156,6 @@ def anchors(h: np.ndarray, doc: np.ndarray, starts: np.ndarray, window: int, lev
     return best
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(max(n, 1), base)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of each word of all texts (words, 2), text after text, and the number of words of each text."""
     split = pc.ascii_split_whitespace(texts.view(pa.string()))  # bytes are looked at one by one
