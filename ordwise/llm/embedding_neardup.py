@@ -2,10 +2,12 @@
 
 All vectors give one rotation to principal axes, largest variance first. Unit vectors whose cosine reaches the
 threshold t lie within w = sqrt(2 - 2t) of each other, hence within w on each leading axis: cells of width w on two
-leading axes have partners in the adjacent cells only. A cell with more than CHUNK vectors is dealt into chunks.
-Each pair of chunks of the same or adjacent cells is one tile, compared in a task: dot products are accumulated over
-leading dimensions first, what remains is bounded by the product of suffix norms, and a pair (or tile) stops as soon
-as it cannot reach the threshold. Pairs that get through are decided by the cosine of the vectors as given, in double.
+leading axes have partners in the adjacent cells only. A cell with more than CHUNK vectors is dealt into chunks. Each
+chunk is the base of a tile, which the chunks after it of the same and adjacent cells visit; a vector thus travels
+once to its own tile and to those it visits, half of the chunks around it. Visitors stream past the base in tiles:
+dot products are accumulated over leading dimensions first, what remains is bounded by the product of suffix norms,
+and a pair (or tile) stops as soon as it cannot reach the threshold. Pairs that get through are decided by the cosine
+of the vectors as given, in double. A base with more than VISITORS visitors has several tasks.
 
 Equal vectors are one class before that. A tile reports, for each class, how many vectors it linked and the least
 class it reached, never its pairs; so hot vectors, cells and labels cost neither rows nor memory.
@@ -24,8 +26,10 @@ from ordwise.llm._shared import cut, join_small
 from ordwise.llm.components import connected_components
 from ordwise.llm.simhash_neardup import _Forest
 
-#: Vectors of a cell on one side of a tile: as many as a task holds with ease, since a vector travels to each tile of its cell.
-CHUNK = 8192
+#: Vectors of a base: as many as a task holds with ease, since a vector travels to each base that it visits.
+CHUNK = 1 << 15
+#: Visitors of a base in one task, on average, and at once.
+VISITORS, STREAM = 1 << 20, 4096
 #: Dimensions accumulated before each check of the bound; the last step takes the rest.
 STEPS = (8, 16, 32)
 #: Beyond rounding errors of the rotated products.
@@ -38,6 +42,11 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return flat.reshape(len(col), -1) if len(col) else flat.reshape(0, 0)
 
 
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    column = column.combine_chunks()
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
 def rotation(vectors: DataFrame) -> dict[int, np.ndarray]:
     """Principal axes (rows, by falling variance) of the unit vectors, for the most frequent dimension.
 
@@ -115,7 +124,7 @@ def linked_pairs(x: np.ndarray, y: np.ndarray, axes: np.ndarray | None, threshol
                     yield p[s][ok], q[s][ok]
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, chunk: int = CHUNK) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, chunk: int = CHUNK, visitors: int = VISITORS) -> DataFrame:
     """Vectors (vec_id, embedding, label) to vec_id, n_links, component_id, kept; one row per vector.
 
     n_links counts the other vectors of the same label with cosine >= threshold; component_id is the least vec_id
@@ -146,59 +155,72 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, chunk: int = CH
 
     kind = dict(vectors.dtypes)["embedding"]
     placed = cut(classes.select("embedding", "label", "cid", "mult").mapInArrow(lead, f"embedding {kind}, label string, cid long, mult long, d int, c1 int, c2 int"), "placed")
-    cells = cut(placed.groupBy("label", "d", "c1", "c2").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks")), "cells")
-    own = cells.select(F.col("label").alias("ol"), F.col("d").alias("od"), F.col("c1").alias("o1"), F.col("c2").alias("o2"), F.col("chunks").alias("own"))
-    rows = join_small(placed, own, (F.col("label") == F.col("ol")) & (F.col("d") == F.col("od")) & (F.col("c1") == F.col("o1")) & (F.col("c2") == F.col("o2"))).drop("ol", "od", "o1", "o2")
-    near = F.array(*[F.struct((F.col("c1") + i).alias("n1"), (F.col("c2") + j).alias("n2")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    rows = rows.withColumn("c", F.pmod(F.xxhash64("cid"), F.col("own")).cast("int")).withColumn("near", F.explode(near)).select("*", "near.n1", "near.n2").drop("near", "own")
-    other = cells.select(F.col("label").alias("ol"), F.col("d").alias("od"), F.col("c1").alias("o1"), F.col("c2").alias("o2"), "chunks")
-    rows = join_small(rows, other, (F.col("label") == F.col("ol")) & (F.col("d") == F.col("od")) & (F.col("n1") == F.col("o1")) & (F.col("n2") == F.col("o2"))).drop("ol", "od", "o1", "o2")
+    cell = ("label", "d", "c1", "c2")
+    cells = cut(placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")), "cells")
+    near = F.explode(F.array(*[F.struct((F.col("c1") + i).alias("n1"), (F.col("c2") + j).alias("n2")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    named = lambda df, p: df.select(*[F.col(c).alias(f"{p}{i}") for i, c in enumerate(cell)], *[c for c in df.columns if c not in cell])
+    at = lambda p, *cols: (F.col("label") == F.col(f"{p}0")) & (F.col("d") == F.col(f"{p}1")) & (F.col(cols[0]) == F.col(f"{p}2")) & (F.col(cols[1]) == F.col(f"{p}3"))
+    around = cells.select(*cell, near.alias("near")).select(*cell, "near.n1", "near.n2")
+    around = join_small(around, named(cells, "o"), at("o", "n1", "n2")).groupBy(*cell).agg(F.sum("n").alias("around"))
+    parts = join_small(cells, named(around, "a"), at("a", "c1", "c2")).select(*cell, F.ceil(F.col("n") / chunk).cast("int").alias("chunks"), F.ceil(F.col("around") / visitors).cast("int").alias("tasks"))
+    parts = cut(parts, "parts")
+    own = named(parts.select(*cell, F.col("chunks").alias("own")), "m")
+    rows = join_small(placed, own, at("m", "c1", "c2")).withColumn("c", F.pmod(F.xxhash64("cid"), F.col("own")).cast("int"))
+    rows = rows.select("embedding", "cid", "mult", *cell, "c", near.alias("near")).select("*", "near.n1", "near.n2").drop("near")
+    rows = join_small(rows, named(parts, "o"), at("o", "n1", "n2"))
     rows = rows.withColumn("oc", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    me, it = F.struct(F.col("c1").alias("x"), F.col("c2").alias("y"), F.col("c").alias("z")), F.struct(F.col("n1").alias("x"), F.col("n2").alias("y"), F.col("oc").alias("z"))
-    side = F.when(me == it, 2).when(me < it, 0).otherwise(1)
-    tiles = rows.select("label", "d", F.when(me < it, me).otherwise(it).alias("a"), F.when(me < it, it).otherwise(me).alias("b"), side.alias("side"), "cid", "mult", "embedding")
-    tile = F.xxhash64("label", "d", "a", "b")  # only deals and sorts; groups are told apart by the columns themselves
-    tiles = tiles.withColumn("tile", tile).repartition("tile").sortWithinPartitions("tile", "label", "d", "a", "b")
+    me, base = F.struct(F.col("c1").alias("x"), F.col("c2").alias("y"), F.col("c").alias("z")), F.struct(F.col("n1").alias("x"), F.col("n2").alias("y"), F.col("oc").alias("z"))
+    rows = rows.where(me >= base).withColumn("visits", me > base)
+    task = F.when(F.col("visits"), F.array(F.pmod(F.xxhash64("cid", F.lit(1)), F.col("tasks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("tasks") - 1))
+    rows = rows.select("label", "d", F.col("n1").alias("b1"), F.col("n2").alias("b2"), F.col("oc").alias("b3"), "visits", "cid", "mult", "embedding", F.explode(task).alias("task"))
+    key = ("tile", "label", "d", "b1", "b2", "b3", "task")
+    tiles = rows.withColumn("tile", F.xxhash64("label", "d", "b1", "b2", "b3", "task"))  # only deals and sorts; the columns themselves tell tiles apart
+    tiles = tiles.repartition("tile").sortWithinPartitions(*key, "visits")
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-            t = pa.Table.from_batches(parts)
-            side, cid, mult = (t.column(c).to_numpy() for c in ("side", "cid", "mult"))
-            x = _matrix(t.column("embedding").combine_chunks())
-            same = bool((side == 2).all())
-            i, j = (np.arange(len(x)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-            if not len(i) or not len(j) or len(x) < 2:
-                return None
-            n, forest = np.zeros(len(x), np.int64), _Forest(len(x))
-            for p, q in linked_pairs(x[i], x[j], axes.get(x.shape[1]), threshold, same):
-                p, q = i[p], j[q]
+        def links(base: pa.Table, guests: pa.Table | None) -> pa.RecordBatch | None:
+            """What a base links with its guests, or (without) within itself."""
+            both = base if guests is None else pa.concat_tables([base, guests])
+            cid, mult = (both.column(c).to_numpy() for c in ("cid", "mult"))
+            x = _matrix(_one(both.column("embedding")))
+            n, forest, m = np.zeros(len(x), np.int64), _Forest(len(x)), base.num_rows
+            for p, q in linked_pairs(x[:m], x if guests is None else x[m:], axes.get(x.shape[1]), threshold, guests is None):
+                q = q if guests is None else q + m
                 np.add.at(n, p, mult[q])
                 np.add.at(n, q, mult[p])
                 forest.link(p, q)
             hit = np.flatnonzero(n)
             return pa.RecordBatch.from_arrays([pa.array(cid[hit]), pa.array(n[hit]), pa.array(cid[forest.root[hit]])], ["cid", "n", "root"]) if len(hit) else None
 
-        kept: list[pa.RecordBatch] = []
-        before = None
-        for b in batches:  # sorted: a tile is contiguous, at most two chunks of rows
+        before, held, base = None, [], None  # the tile, base rows so far, the whole base
+        for b in batches:
             if not b.num_rows:
                 continue
-            keys = list(zip(*(b.column(c).to_pylist() for c in ("tile", "label", "d"))))
-            ab = [tuple(r[f] for f in "xyz") for r in b.column("a").to_pylist()], [tuple(r[f] for f in "xyz") for r in b.column("b").to_pylist()]
-            keys = [(*k, p, q) for k, p, q in zip(keys, *ab)]
-            at = 0
-            for i, k in enumerate(keys):
-                if k != before:
-                    if i > at:
-                        kept.append(b.slice(at, i - at))
-                    if kept and (out := links(kept)) is not None:
+            codes = [c.dictionary_encode().indices.to_numpy() if pa.types.is_string(c.type) else c.to_numpy(zero_copy_only=False) for c in (b.column(k) for k in (*key, "visits"))]
+            new = np.r_[0, 1 + np.flatnonzero(np.any([c[1:] != c[:-1] for c in codes], axis=0)), b.num_rows]
+            for lo, hi in zip(new[:-1], new[1:]):  # rows of one tile and side
+                tile = tuple(b.column(k)[lo].as_py() for k in key)
+                part, guest = pa.Table.from_batches([b.slice(lo, hi - lo)]).select(["cid", "mult", "embedding"]), b.column("visits")[lo].as_py()
+                if tile != before:
+                    if held and base is None and before[-1] == 0 and (out := links(pa.concat_tables(held), None)) is not None:
+                        yield out
+                    before, held, base = tile, [], None
+                if not guest:
+                    held.append(part)
+                    continue
+                if base is None:
+                    if not held:  # no vector fell into this chunk
+                        continue
+                    base = pa.concat_tables(held)
+                    if tile[-1] == 0 and (out := links(base, None)) is not None:
+                        yield out
+                for k in range(0, part.num_rows, STREAM):
+                    if (out := links(base, part.slice(k, STREAM))) is not None:
                         yield out
-                    kept, at, before = [], i, k
-            kept.append(b.slice(at))
-        if kept and (out := links(kept)) is not None:
+        if held and base is None and before[-1] == 0 and (out := links(pa.concat_tables(held), None)) is not None:
             yield out
 
-    found = cut(tiles.select("tile", "label", "d", "a", "b", "side", "cid", "mult", "embedding").mapInArrow(compare, "cid long, n long, root long"), "tile-links")
+    found = cut(tiles.select(*key, "visits", "cid", "mult", "embedding").mapInArrow(compare, "cid long, n long, root long"), "tile-links")
     per = found.groupBy("cid").agg(F.sum("n").alias("n"))
     roots = connected_components(found.select(F.col("cid").alias("u"), F.col("root").alias("v")))
     known = classes.join(per, "cid", "left").join(roots, F.col("cid") == F.col("node"), "left")

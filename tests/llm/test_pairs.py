@@ -133,8 +133,9 @@ def slow_links(rows, threshold):
     return n, components(len(rows), pairs)
 
 
-@pytest.mark.parametrize("chunk", [1024, 5])
-def test_embeddings(spark, chunk):
+@pytest.mark.parametrize(("chunk", "visitors", "stream"), [(1024, 1 << 20, 4096), (5, 1 << 20, 3), (7, 20, 2)])
+def test_embeddings(spark, chunk, visitors, stream, monkeypatch):
+    monkeypatch.setattr(embedding_neardup, "STREAM", stream)
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(9, 16))
     rows = []
@@ -147,7 +148,7 @@ def test_embeddings(spark, chunk):
     odd = [None, [], [0.0] * 16, [nan] * 16, [inf] + [1.0] * 15, [None] + [1.0] * 15, [1.0] * 4, [1.0] * 4]
     rows += [[400 + i, e, 1] for i, e in enumerate(odd)] + [[500, rows[0][1], None], [501, rows[0][1], None]]
     df = spark.createDataFrame([(*r, "z", 1) for r in rows], "vec_id long, embedding array<float>, label int, cid string, n long")
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_neardup.near_duplicates(df, chunk=chunk).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_neardup.near_duplicates(df, chunk=chunk, visitors=visitors).collect()}
     n, comp = slow_links(rows, 0.98)
     assert got == {r[0]: (k, rows[c][0], rows[c][0] == r[0]) for r, k, c in zip(rows, n, comp)}
     assert sum(n) > 500
