@@ -213,21 +213,22 @@ def _whole(column: pa.ChunkedArray) -> pa.Array:
 
 
 def _shared_names(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(name, bucket, many), by name and falling many: the (bucket, name) of names in several buckets or documents.
+    """(name, place), by name: the (bucket, name) of names in several buckets or documents.
 
-    A row is told as soon as its name is known to be shared; only the first row of a name ever waits.
+    place: twice the bucket, and one more if several of its documents hold the name. A row is told as soon as its name
+    is known to be shared; only the first row of a name ever waits.
     """
     wait: tuple[int, int] | None = None  # the name and bucket of a last row that is alone so far
     last = None  # the name of the last row
     for b in batches:
-        name, bucket, many = (c.to_numpy() for c in b.columns)
+        name, place = (c.to_numpy() for c in b.columns)
         if not len(name):
             continue
-        n = len(name)
+        bucket = place >> 1
         new = np.r_[last is None or name[0] != last, name[1:] != name[:-1]]
         first = np.flatnonzero(np.r_[True, new[1:]])
-        size = np.diff(np.r_[first, n])
-        told = (size > 1) | (many[first] > 0)
+        size = np.diff(np.r_[first, len(name)])
+        told = (size > 1) | (place[first] & 1 > 0)
         if not new[0]:
             told[0] = True
             if wait is not None:
@@ -307,7 +308,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, output: str = "digest
         name = anchors(k.h, k.row, k.starts, window).view(np.int64)
         at, least, largest = _least([name], k.doc[k.starts])
         which = left.column("bucket")[0].as_py() if left.num_rows else 0
-        return pa.table({"name": name[at], "bucket": pa.array(np.full(len(at), which, np.int32)), "many": pa.array((largest > least).astype(np.int32))})
+        return pa.table({"name": name[at], "place": pa.array((2 * which + (largest > least)).astype(np.int64))})
 
     def name_windows(left: pa.Table, k: _Bucket, a: np.ndarray, *_: np.ndarray) -> pa.Table:
         name = anchors(k.h, k.row, k.starts, window).view(np.int64)
@@ -353,8 +354,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, output: str = "digest
         what = {"kept_sha256": pa.array(kept, pa.string())} if output == "digest" else {"__kept": pa.array(kept, pa.binary())}
         return pa.table({"doc_id": left.column("__id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), **what, **{x: left.column(x) for x in named.values()}})
 
-    interiors = by_bucket.cogroup(later.groupBy("bucket")).applyInArrow(with_later(name_interiors), "name long, bucket int, many int")
-    shared = interiors.repartition("name").sortWithinPartitions("name", F.desc("many")).select("name", "bucket", "many").mapInArrow(_shared_names, _REPLY)
+    interiors = by_bucket.cogroup(later.groupBy("bucket")).applyInArrow(with_later(name_interiors), "name long, place long")
+    shared = interiors.repartition("name").sortWithinPartitions("name").select("name", "place").mapInArrow(_shared_names, _REPLY)
     whole = by_bucket.cogroup(shared.unionByName(later).groupBy("bucket")).applyInArrow(with_later(name_windows), "w1 long, w2 long, least long, largest long, bucket int")
     firsts = whole.repartition("w1", "w2").sortWithinPartitions("w1", "w2", "least").select("w1", "w2", "least", "largest", "bucket").mapInArrow(_first_docs, _REPLY)
     types = dict(docs.dtypes)
