@@ -12,7 +12,9 @@ pairs are walked apart. A task reports what it linked as a spanning forest (each
 reached), not as pairs.
 
 Texts similar at 0.8 differ in too many bits for that (`similar_classes`): there, a longer fingerprint is laid into many
-tries, each with bit positions of its own in front, whose first levels are walked without budget.
+tries, each with bit positions of its own in front, whose first levels are walked without budget. There a text meets
+its nearest alone, which joins most of a group at little cost. The rest is exact (`left_pairs`): similar sets share one
+of the first shingles of each in an order of all shingles, so whatever is similar and still in two groups meets under one.
 """
 
 from __future__ import annotations
@@ -43,6 +45,9 @@ WIDE_SHINGLE, SIMILARITY, WIDE = 5, 0.8, 8
 MISSED, APART = 0.005, 4
 #: Bits beyond a text's nearest candidate that its second round looks at: one and a half standard deviations.
 NEXT = 12
+#: Distinct texts, about, whose shingles are counted for the order of all shingles, and shingles that are put last there,
+#: beyond those seen once. They decide what the exact pairs cost, not which are found.
+SAMPLE, FREQUENT = 5_000, 1 << 17
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _U = np.uint64
 
@@ -224,13 +229,13 @@ def trie_links(key: np.ndarray, side: np.ndarray, fp: np.ndarray, budget: int =
 
 
 def _by_unit_pair(rows: DataFrame, payload: list[str], make, schema: str) -> DataFrame:  # noqa: ANN001
-    """Give each (key, lo, hi) of `rows` whole to one call of make(group numbers, side, *payload columns)."""
+    """Give each (key, lo, hi) of `rows` whole to one call of make(group numbers, side, *payload columns), which gives batches."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[list[np.ndarray]] = []
         n = 0
 
-        def done(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+        def done(parts: list[list[np.ndarray]]) -> Iterable[pa.RecordBatch]:
             k, lo, hi, side, *rest = (np.concatenate(c) for c in zip(*parts))
             group = np.cumsum(np.r_[0, (k[1:] != k[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
             return make(group, side, *rest)
@@ -244,12 +249,12 @@ def _by_unit_pair(rows: DataFrame, payload: list[str], make, schema: str) -> Dat
                 new = np.flatnonzero((cols[0] != k) | (cols[1] != lo) | (cols[2] != hi))
                 if len(new):
                     kept.append([c[: new[0]] for c in cols])
-                    yield done(kept)
+                    yield from done(kept)
                     kept, n, cols = [], 0, [c[new[0] :] for c in cols]
             kept.append(cols)
             n += len(cols[0])
         if kept:
-            yield done(kept)
+            yield from done(kept)
 
     return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").select("key", "lo", "hi", "side", *payload).mapInArrow(run, schema)
 
@@ -277,14 +282,14 @@ def fingerprint_links(distinct: DataFrame, budget: int = BUDGET, chunk: int = CH
     side = F.when(me == it, 2).when(me < it, 0).otherwise(1)
     rows = rows.select("key", F.least(me, it).alias("lo"), F.greatest(me, it).alias("hi"), side.alias("side"), F.col("key").alias("t"), "fp")
 
-    def walk(group: np.ndarray, side: np.ndarray, t: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+    def walk(group: np.ndarray, side: np.ndarray, t: np.ndarray, fp: np.ndarray) -> list[pa.RecordBatch]:
         ends = []
         for half in (0, 1):
             of = t == half
             u, v = trie_links(group[of], side[of], fp[of].view(_U), budget)
             ends.append([_turned(x, np.full(len(x), half)).view(np.int64) for x in (u, v)])
         u, v = (np.concatenate(x) for x in zip(*ends))
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+        return [pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])]
 
     return _by_unit_pair(rows, ["t", "fp"], walk, "u long, v long").distinct()
 
@@ -368,18 +373,74 @@ def _named() -> list[Column]:
     return [F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("digest")]
 
 
-def _wide(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, digest of the text, class (a hash of its shingle set), fp (its fingerprint's words), one row per document."""
+def prefix(h: np.ndarray, frequent: np.ndarray, rank: np.ndarray, threshold: float = SIMILARITY) -> np.ndarray:
+    """The first shingles of a set (sorted) in the order of all, of which every set as similar holds one of its own first.
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    First come those not in `frequent` (sorted), then the others by their rank. Of sets that share at least m of n
+    shingles, the first one shared is within the first n - m + 1.
+    """
+    n = len(h) - math.ceil(threshold * len(h) - 1e-6) + 1 if len(h) else 0
+    if not len(frequent):
+        return h[:n]
+    at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
+    last = frequent[at] == h
+    first = h[~last][:n]
+    if len(first) == n:
+        return first
+    return np.concatenate([first, h[last][np.argsort(rank[at[last]], kind="stable")]])[:n]
+
+
+def odd_bits(h: np.ndarray) -> np.ndarray:
+    """Bytes of a bitmap, of two bits or more a shingle, that tells which of its slots hold an odd number of the set.
+
+    Where two such maps differ, the sets differ too; a map is folded to half its size by an exclusive or of its halves.
+    """
+    size = 1 << max(6, (2 * len(h) - 1).bit_length()) if len(h) else 64
+    return np.packbits(np.bincount((h & _U(size - 1)).astype(np.int64), minlength=size) & 1, bitorder="little")
+
+
+def differ(a: np.ndarray, b: np.ndarray) -> int:
+    """At least so many shingles are in one of two sets alone, by their `odd_bits`."""
+    while len(a) != len(b):
+        if len(a) < len(b):
+            a, b = b, a
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
+
+
+def frequent_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of several texts of a sample (about SAMPLE distinct texts), sorted, and in how many texts each may be."""
+    text = docs.select(F.col("text").cast("binary").alias("t"), F.xxhash64("text").alias("h")).where("t IS NOT NULL")
+    share = max(1, text.agg(F.approx_count_distinct("h")).first()[0] // SAMPLE)
+
+    def grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(x.as_py(), shingle) for x in b.column(2)]
-            key = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], _U).view(np.int64)
-            words = np.stack([wide_fingerprint(h) for h in sets]) if sets else np.empty((0, WIDE), _U)
-            fp = pa.ListArray.from_arrays(pa.array(np.arange(0, WIDE * len(sets) + 1, WIDE, dtype=np.int32)), pa.array(words.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(key), fp], ["doc_id", "digest", "class", "fp"])
+            for x in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(x.as_py(), shingle).view(np.int64))], ["g"])
+
+    one = text.where(F.pmod("h", F.lit(share)) == 0).groupBy("h").agg(F.first("t").alias("t"))
+    most = one.select("t").mapInArrow(grams, "g long").groupBy("g").count().where("count > 1").orderBy(F.desc("count"), "g").limit(FREQUENT).toArrow()
+    g, n = most.column("g").to_numpy().view(_U), most.column("count").to_numpy()
+    order = np.argsort(g)
+    return g[order], n[order] * share
+
+
+def _wide(docs: DataFrame, shingle: int, threshold: float, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
+    """doc_id, digest of the text, class (a hash of its shingle set), and of that set fp (its fingerprint's words), n (its
+    size), odd (`odd_bits`) and first (`prefix`), one row per document."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = lambda parts: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts).view(np.int64)))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                sets = [shingle_set(x.as_py(), shingle) for x in b.column(2)]
+                key = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], _U).view(np.int64)
+                odd = pa.array([odd_bits(h).tobytes() for h in sets], pa.binary())
+                rest = [lists([wide_fingerprint(h) for h in sets]), pa.array([len(h) for h in sets], pa.int32()), odd, lists([prefix(h, frequent, rank, threshold) for h in sets])]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(key), *rest], ["doc_id", "digest", "class", "fp", "n", "odd", "first"])
 
-    return docs.select(*_named(), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, digest string, class long, fp array<long>")
+    return docs.select(*_named(), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, digest string, class long, fp array<long>, n int, odd binary, first array<long>")
 
 
 def candidates(classes: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
@@ -400,10 +461,10 @@ def candidates(classes: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
                 key = np.concatenate([bits[:, o] @ powers + _U(t << 52) for t, o in enumerate(orders)]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.tile(b.column(0).to_numpy(), len(orders))), pa.array(np.tile(words[:, 0], len(orders)))], ["key", "class", "f"])
 
-    def meet(group: np.ndarray, side: np.ndarray, cls: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+    def meet(group: np.ndarray, side: np.ndarray, cls: np.ndarray, f: np.ndarray) -> list[pa.RecordBatch]:
         x, y = nearest_in_group(group, side, f.view(_U), first)
         pairs = np.unique(np.stack([np.maximum(cls[x], cls[y]), np.minimum(cls[x], cls[y])]), axis=1) if len(x) else np.empty((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
+        return [pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])]
 
     posted = cut(classes.select("class", "fp").mapInArrow(post, "key long, class long, f long"), "tries")
     sizes = cut(posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * CHUNK).select(F.col("key").alias("k"), F.ceil(F.col("n") / (2 * CHUNK)).cast("int").alias("chunks")), "trie-sizes")
@@ -418,6 +479,87 @@ def candidates(classes: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     return both.select("u", "v", d.alias("d")).where(F.col("d") <= whole)
 
 
+def _across(group: np.ndarray, side: np.ndarray, root: np.ndarray, room: np.ndarray, n: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of rows of one group and different roots that may be similar, for all that is known of one shingle.
+
+    room: shingles of the row's set (of n) from that one on, in the order of all. Sides 0 and 1 have no roots in common.
+    """
+    order = np.lexsort((root, side, group))
+    group, side, root, room, n = group[order], side[order], root[order], room[order], n[order]
+    new = lambda *cols: np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in cols], axis=0)])
+    block = new(group, side, root)
+    ends = np.r_[block[1:], len(group)]
+    end = np.r_[new(group)[1:], len(group)][np.searchsorted(new(group), block, side="right") - 1]
+    # a block meets the blocks after it: on its own side (2), or on the other one (0)
+    other = np.r_[new(group, side), len(group)]
+    start = np.where(side[block] == 2, ends, other[np.searchsorted(other, block, side="right")])
+    some = (side[block] != 1) & (start < end)
+    share = threshold / (1 + threshold)
+    for x, y in _products(block[some], ends[some], start[some], end[some]):
+        ok = np.minimum(room[x], room[y]) >= (n[x] + n[y]) * share - 1e-6
+        yield order[x[ok]], order[y[ok]]
+
+
+def left_pairs(classes: DataFrame, roots: DataFrame, frequent: dict[int, int], threshold: float = SIMILARITY) -> DataFrame:
+    """All pairs (u > v) of classes (class, n, odd, first) of different roots (node, root; others: themselves) that may be
+    similar, with d, the least number of shingles in which they differ. No similar pair is missing.
+
+    frequent: the parts into which classes under one shingle are dealt by their roots, where it is not 1.
+    """
+    limit = 1 - 2 * threshold / (1 + threshold)  # of both sizes: shingles that similar sets do not share
+
+    def post(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                many = b.column(3).value_lengths().to_numpy()
+                row = np.repeat(np.arange(b.num_rows), many)
+                key = b.column(3).flatten().to_numpy()
+                cls, root, n = (b.column(i).to_numpy() for i in range(3))
+                room = n[row] - (np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)).astype(np.int32)
+                lo = np.zeros(len(row), np.int32)
+                cols = [key, lo, lo, lo + np.int32(2), root[row], cls[row], room, n[row]]
+                if frequent:
+                    parts = np.fromiter((frequent.get(k, 1) for k in key.tolist()), np.int64, len(key))
+                    i = np.repeat(np.arange(len(key)), parts)
+                    other = np.arange(len(i)) - np.repeat(np.cumsum(parts) - parts, parts)
+                    own = (root[row].view(_U)[i] * _U(0x9E3779B97F4A7C15) >> _U(33)).astype(np.int64) % parts[i]
+                    sides = np.where(own == other, 2, np.where(own < other, 0, 1))
+                    cols = [key[i], *(x.astype(np.int32) for x in (np.minimum(own, other), np.maximum(own, other), sides)), *(c[i] for c in cols[4:])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "lo", "hi", "side", "root", "class", "room", "n"])
+
+    def meet(group: np.ndarray, side: np.ndarray, root: np.ndarray, cls: np.ndarray, room: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            pairs = np.unique(np.concatenate(held, axis=1), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
+
+        for x, y in _across(group, side, root, room, n, threshold):
+            if len(x):
+                held.append(np.stack([np.maximum(cls[x], cls[y]), np.minimum(cls[x], cls[y])]))
+                size += len(x)
+            if size > 1 << 20:  # bounded memory
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
+
+    def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y, n = b.column(2), b.column(3), b.column(4).to_numpy()
+            d = np.fromiter((differ(np.frombuffer(x[i].as_py(), np.uint8), np.frombuffer(y[i].as_py(), np.uint8)) for i in range(b.num_rows)), np.int64, b.num_rows)
+            ok = np.flatnonzero(d <= n * limit + 1e-6)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ok)), b.column(1).take(pa.array(ok)), pa.array(d[ok])], ["u", "v", "d"])
+
+    rows = classes.join(roots, F.col("class") == F.col("node"), "left").select("class", F.coalesce("root", "class").alias("root"), "n", "first")
+    rows = rows.mapInArrow(post, "key long, lo int, hi int, side int, root long, class long, room int, n int")
+    pairs = cut(_by_unit_pair(rows, ["root", "class", "room", "n"], meet, "u long, v long").distinct(), "shingle-pairs")
+    ends = lambda x: classes.select(F.col("class").alias(f"k{x}"), F.col("odd").alias(x), F.col("n").cast("long").alias(f"n{x}"))
+    both = pairs.join(ends("a"), F.col("u") == F.col("ka")).join(ends("b"), F.col("v") == F.col("kb"))
+    return both.select("u", "v", "a", "b", F.col("na") + F.col("nb")).mapInArrow(near, "u long, v long, d long")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, shingle: int, threshold: float) -> DataFrame:
     """The pairs (u, v) of classes whose shingle sets are similar enough."""
 
@@ -441,20 +583,14 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, shingle: int,
     return both.select("u", "v", "a", "b").mapInArrow(compare, "u long, v long")
 
 
-def row_roots(docs: DataFrame, shingle: int = WIDE_SHINGLE, threshold: float = SIMILARITY) -> DataFrame:
-    """doc_id, digest of the text and root (a name of the row's group) of every row of (doc_id, text).
+def _joined(open_: DataFrame, roots: DataFrame | None, rounds: tuple[int | None, ...], sets: DataFrame, docs: DataFrame, shingle: int, threshold: float) -> DataFrame | None:
+    """The roots (node, root) after all pairs of `open_` (u, v, d) that are similar and join two groups have joined them.
 
-    Candidates are confirmed by their shingle sets in three rounds: those as near as a class's nearest, those within
-    NEXT bits more, and the rest; after each round only pairs that would still join two groups are left. So a large
-    group of near copies costs some comparisons a member, and pairs are compared whole only if nothing else joins them.
+    rounds: how much further apart than the nearest of either end the pairs of a round are; None: all that are left.
     """
-    sets = cut(_wide(docs, shingle), "wide")
     start = mark()  # what is written from here on goes as soon as it was read
-    classes = cut(sets.groupBy("class").agg(F.first("fp").alias("fp")), "classes")
-    open_, roots = cut(candidates(classes, threshold), "candidates"), None
-    forget(start, open_)
     of = lambda x, r: r.select(F.col("node").alias(f"n{x}"), F.col("root").alias(f"r{x}"))
-    for more in (0, NEXT, None):
+    for more in rounds:
         if not open_.limit(1).count():
             break
         tried = open_
@@ -480,18 +616,45 @@ def row_roots(docs: DataFrame, shingle: int = WIDE_SHINGLE, threshold: float = S
             left = left.join(of("u", roots), F.col("u") == F.col("nu"), "left").join(of("v", roots), F.col("v") == F.col("nv"), "left")
             open_ = cut(left.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v", "d"), "candidates")
             forget(start, open_, roots)
+    return roots
+
+
+def row_roots(docs: DataFrame, shingle: int = WIDE_SHINGLE, threshold: float = SIMILARITY) -> DataFrame:
+    """doc_id, digest of the text and root (a name of the row's group) of every row of (doc_id, text).
+
+    Candidates are confirmed by their shingle sets in three rounds: those as near as a class's nearest, those within
+    NEXT bits more, and the rest; after each round only pairs that would still join two groups are left. So a large
+    group of near copies costs some comparisons a member, and pairs are compared whole only if nothing else joins them.
+    What the tries paired with something nearer is among the pairs of two groups that `left_pairs` then gives in full.
+    """
+    start = mark()  # what is written from here on goes as soon as it was read
+    frequent, rank = frequent_shingles(docs, shingle)
+    wide = cut(_wide(docs, shingle, threshold, frequent, rank), "wide")
+    classes = cut(wide.groupBy("class").agg(*(F.first(c).alias(c) for c in ("fp", "n", "odd", "first"))), "classes")
+    sets = cut(wide.select("doc_id", "digest", "class"), "sets")
+    forget(start, classes, sets)
+    open_ = cut(candidates(classes, threshold), "candidates")
+    forget(start, classes, sets, open_)
+    roots = _joined(open_, None, (0, NEXT, None), sets, docs, shingle, threshold)
+    forget(start, classes, sets, roots)
+    none = classes.select(F.col("class").alias("node"), F.col("class").alias("root")).limit(0)
+    parts = {g: -(-n // (2 * CHUNK)) for g, n in zip(frequent.view(np.int64).tolist(), rank.tolist()) if n > 2 * CHUNK}
+    open_ = cut(left_pairs(classes, none if roots is None else roots, parts, threshold), "left-pairs")
+    forget(start, sets, roots, open_)
+    roots = _joined(open_, roots, (0, None), sets, docs, shingle, threshold)
     if roots is None:
         return sets.select("doc_id", "digest", F.col("class").alias("root"))
     rows = sets.select("doc_id", "digest", "class").join(roots, F.col("class") == F.col("node"), "left")
-    return cut(rows.select("doc_id", "digest", F.coalesce("root", "class").alias("root")), "row-roots")
+    rows = cut(rows.select("doc_id", "digest", F.coalesce("root", "class").alias("root")), "row-roots")
+    forget(start, rows)
+    return rows
 
 
 def similar_classes(docs: DataFrame, shingle: int = WIDE_SHINGLE, threshold: float = SIMILARITY) -> DataFrame:
     """Documents (doc_id, text) to doc_id, component_id (the least doc_id that links reach, itself included).
 
     Links are pairs with Jaccard similarity of their sets of word shingles of at least `threshold`, each confirmed;
-    a pair at the threshold is missed with a chance of about MISSED, unless others connect it. Texts without words
-    link with each other; a null doc_id is in a component but never names it unless nothing else does; an empty
+    none is missed. Texts without words link with each other; a null doc_id is in a component but never names it unless nothing else does; an empty
     table gives no rows; other columns are ignored.
     """
     rows = row_roots(docs, shingle, threshold)

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from ordwise.llm import simhash_neardup
 
@@ -64,3 +66,55 @@ def test_one_row_of_each_group_stays_whatever_its_id(spark):
     got = sorted(map(tuple, corpus_pipeline.neardup_filter(spark, df, "").collect()), key=str)
     assert got == sorted([(None, a, 1), (7, b, 0), (5, c, 0), (5, d, 0), (None, None, 0)], key=str)
     assert corpus_pipeline.neardup_filter(spark, df.limit(0), "").count() == 0
+
+
+def test_links_behind_nearer_copies(spark):
+    """Each text has nearer copies in every trie node than the one that links its group to another; and short texts."""
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    texts = []
+    for _ in range(4):
+        a = [word() for _ in range(1500)]
+        b = [word() if i % 50 == 20 else w for i, w in enumerate(a)]
+        texts += [" ".join([*t, word()]) for t in (a, b) for _ in range(6)]
+    for _ in range(30):
+        short = " ".join(word() for _ in range(8))
+        texts += [short, f"{short} {word()}"]
+    want = slow_components(texts)
+    assert len(set(want)) == 34
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert dict(simhash_neardup.similar_classes(df).collect()) == dict(enumerate(want))
+
+
+def sets_of_shingles():
+    rng = np.random.default_rng(3)
+    out = []
+    for size in (1, 2, 4, 5, 9, 30, 200):
+        for _ in range(6):
+            h = np.unique(rng.integers(0, 1 << 64, size, dtype=np.uint64))
+            out += [h, h[: max(1, -(-9 * len(h) // 10))], np.unique(np.r_[h, rng.integers(0, 1 << 64, max(1, size // 4), dtype=np.uint64)])]
+    return out
+
+
+def test_shingles_left_bound_the_difference_of_sets():
+    sets = sets_of_shingles()
+    for a in sets:
+        for b in sets:
+            assert simhash_neardup.differ(simhash_neardup.odd_bits(a), simhash_neardup.odd_bits(b)) <= len(np.setxor1d(a, b))
+
+
+def test_left_pairs_are_all_similar_pairs_of_two_groups(spark):
+    sets = sets_of_shingles()
+    seen = np.unique(np.concatenate(sets))
+    frequent = seen[::3]
+    rank = np.arange(len(frequent)) % 7
+    rows = [(i, len(h), simhash_neardup.odd_bits(h).tobytes(), simhash_neardup.prefix(h, frequent, rank).view(np.int64).tolist()) for i, h in enumerate(sets)]
+    classes = spark.createDataFrame(rows, "class long, n int, odd binary, first array<long>")
+    root = {i: i - 1 for i in range(len(sets)) if i % 9 == 1}
+    root |= {i: i for i in root.values()}
+    roots = spark.createDataFrame(list(root.items()), "node long, root long")
+    want = {(i, j) for i in range(len(sets)) for j in range(i) if root.get(i, i) != root.get(j, j) and simhash_neardup.similarity(sets[i], sets[j]) >= 0.8}
+    assert len(want) > 20
+    for parts in ({}, {int(g): 3 for g in seen.view(np.int64)}):
+        got = [(r.u, r.v) for r in simhash_neardup.left_pairs(classes, roots, parts).collect()]
+        assert len(got) == len(set(got)) and want <= set(got) and all(root.get(u, u) != root.get(v, v) for u, v in got)
