@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
@@ -114,6 +115,16 @@ def join_small(big: DataFrame, small: DataFrame, on: Column | list[str], how: st
     return big.join(F.broadcast(small) if few else small, on, how)
 
 
+def trim() -> None:
+    """Give back the memory that this Python worker has no use for: idle workers live on beside the next stage's."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    malloc_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed arrays
+    if malloc_trim:
+        malloc_trim(0)
+
+
 def map_column(df: DataFrame, column: str, kind: str, make, outs: dict[str, str], keep: list[str] | None = None) -> DataFrame:  # noqa: ANN001
     """`df` with new columns made from one column over Arrow batches; columns named like new ones are replaced.
 

@@ -31,11 +31,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordwise.llm._shared import cut
+from ordwise.llm._shared import cut, trim
 
 WINDOW = 13
 LEVELS = 2
 BUCKET_BYTES = 4 << 20
+#: Words of a bucket that are parsed together.
+PORTION = 1 << 16
 _FAR = np.int64(1) << np.int64(40)
 _U = np.uint64
 _MULT = _U(0x9E3779B97F4A7C15)
@@ -156,6 +158,17 @@ def anchors(h: np.ndarray, doc: np.ndarray, starts: np.ndarray, window: int, lev
     return best
 
 
+def portions(starts: np.ndarray, n: int, window: int, size: int = PORTION) -> Iterator[tuple[slice, slice]]:
+    """Slices of `starts` (sorted, of n words), and of the words that the windows there hold: about `size` words each.
+
+    A window is named by its own words, whatever surrounds them, so it may be named inside its slice.
+    """
+    for at in range(0, n, size):
+        a, b = np.searchsorted(starts, (at, at + size)).tolist()
+        if a < b:
+            yield slice(a, b), slice(at, min(at + size + window - 1, n))
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of each word of all texts (words, 2), text after text, and the number of words of each text."""
     split = pc.ascii_split_whitespace(texts.view(pa.string()))  # bytes are looked at one by one
@@ -189,8 +202,20 @@ class _Bucket:
         ends = np.repeat(np.cumsum(self.counts), self.counts)
         self.starts = np.flatnonzero(np.arange(len(self.h)) + window <= ends)  # where a window fits its text
 
-    def windows(self, window: int) -> tuple[np.ndarray, np.ndarray]:
-        return window_names(self.other, window, 11)[self.starts], (window_names(self.h ^ (self.other >> _U(7)), window, 23)[self.starts] >> _U(32)).astype(np.int64)
+    def interiors(self, window: int, size: int = PORTION) -> np.ndarray:
+        """`anchors` of all windows; what a parse holds besides is some portion's."""
+        name = np.empty(len(self.starts), np.int64)
+        for s, w in portions(self.starts, len(self.h), window, size):
+            name[s] = anchors(self.h[w], self.row[w], self.starts[s] - w.start, window).view(np.int64)
+        return name
+
+    def windows(self, window: int, size: int = PORTION) -> tuple[np.ndarray, np.ndarray]:
+        w1, w2 = (np.empty(len(self.starts), np.int64) for _ in range(2))
+        for s, w in portions(self.starts, len(self.h), window, size):
+            h, other, first = self.h[w], self.other[w], self.starts[s] - w.start
+            w1[s] = window_names(other, window, 11)[first].view(np.int64)
+            w2[s] = (window_names(h ^ (other >> _U(7)), window, 23)[first] >> _U(32)).astype(np.int64)
+        return w1, w2
 
 
 def _least(keys: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -300,21 +325,21 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, output: str = "digest
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             kind = right.column("kind").to_numpy()
             a, b, c = (right.column(x).to_numpy() for x in "abc")
-            return fn(left, _Bucket(left, [x[kind == 0] for x in (a, b, c)], window), a[kind == 1], b[kind == 1], c[kind == 1])
+            out = fn(left, _Bucket(left, [x[kind == 0] for x in (a, b, c)], window), a[kind == 1], b[kind == 1], c[kind == 1])
+            trim()
+            return out
 
         return run
 
     def name_interiors(left: pa.Table, k: _Bucket, *_: np.ndarray) -> pa.Table:
-        name = anchors(k.h, k.row, k.starts, window).view(np.int64)
+        name = k.interiors(window)
         at, least, largest = _least([name], k.doc[k.starts])
         which = left.column("bucket")[0].as_py() if left.num_rows else 0
         return pa.table({"name": name[at], "place": pa.array((2 * which + (largest > least)).astype(np.int64))})
 
     def name_windows(left: pa.Table, k: _Bucket, a: np.ndarray, *_: np.ndarray) -> pa.Table:
-        name = anchors(k.h, k.row, k.starts, window).view(np.int64)
-        some = np.isin(name, a)
+        some = np.isin(k.interiors(window), a)
         w1, w2 = (x[some] for x in k.windows(window))
-        w1 = w1.view(np.int64)
         at, least, largest = _least([w1, w2], k.doc[k.starts][some])
         which = left.column("bucket")[0].as_py() if left.num_rows else 0
         return pa.table({"w1": w1[at], "w2": w2[at], "least": least, "largest": largest, "bucket": pa.array(np.full(len(at), which, np.int32))})
@@ -323,7 +348,6 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, output: str = "digest
         gone = np.zeros(len(k.h) + 1, np.int64)
         if len(a):
             w1, w2 = k.windows(window)
-            w1 = w1.view(np.int64)
             order = np.lexsort((b, a))
             a, b, c = a[order], b[order], c[order]
             at = np.searchsorted(a, w1)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -91,6 +92,43 @@ def test_rows_of_one_id_are_judged_apart(spark):
     assert sorted(map(tuple, sd.substring_dedup(df).collect()), key=str) == brute(rows, 13)
 
 
+def bucket(texts, window):
+    import pyarrow as pa
+
+    none = np.empty(0, np.int64)
+    table = pa.table({"__id": pa.array(range(len(texts)), pa.int64()), "__text": pa.array([t and t.encode() for t in texts], pa.binary())})
+    return sd._Bucket(table, [none] * 3, window)
+
+
+@pytest.mark.parametrize(("window", "size"), [(13, 1), (13, 50), (5, 7), (13, 1 << 20)])
+def test_portions_of_any_size_name_windows_alike(window, size):
+    for seed, vocabulary in ((1, 2), (2, 40), (3, 5000)):
+        k = bucket([t for _, t in corpus(seed, vocabulary)], window)
+        assert k.interiors(window, size).tolist() == sd.anchors(k.h, k.row, k.starts, window).view(np.int64).tolist()
+        w1, w2 = k.windows(window, size)
+        assert w1.tolist() == sd.window_names(k.other, window, 11)[k.starts].view(np.int64).tolist()
+        assert w2.tolist() == (sd.window_names(k.h ^ (k.other >> np.uint64(7)), window, 23)[k.starts] >> np.uint64(32)).astype(np.int64).tolist()
+    assert len(bucket(["one", None], window).interiors(window, size)) == 0
+
+
+def test_a_bucket_is_named_without_parsing_it_as_one():
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randint(0, 20_000)}" for _ in range(n)) for n in (400_000, 100_000, *[200] * 500)]  # one text is over half of it
+    k = bucket(texts, 13)
+
+    def held(fn):
+        tracemalloc.start()
+        try:
+            out = fn()
+            return out, tracemalloc.get_traced_memory()[1] / len(k.h)
+        finally:
+            tracemalloc.stop()
+
+    (at_once, most), (name, least), (_, windows) = held(lambda: sd.anchors(k.h, k.row, k.starts, 13)), held(lambda: k.interiors(13)), held(lambda: k.windows(13))
+    assert (at_once.view(np.int64) == name).all()
+    assert most > 150 and least < 60 and windows < 40  # bytes a word
+
+
 def batches(rows, size):
     import pyarrow as pa
 
