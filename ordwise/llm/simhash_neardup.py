@@ -48,6 +48,8 @@ NEXT = 12
 #: Distinct texts, about, whose shingles are counted for the order of all shingles, and shingles that are put last there,
 #: beyond those seen once. They decide what the exact pairs cost, not which are found.
 SAMPLE, FREQUENT = 5_000, 1 << 17
+#: Earlier shingles that a row carries, by which two rows know that they met before.
+MET = 4
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _U = np.uint64
 
@@ -479,12 +481,28 @@ def candidates(classes: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     return both.select("u", "v", d.alias("d")).where(F.col("d") <= whole)
 
 
-def _across(group: np.ndarray, side: np.ndarray, root: np.ndarray, room: np.ndarray, n: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def earlier_least(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Of the shingles before each one in its row of `first` (rows of so many): the least in each of MET classes; 0: none."""
+    none = _U(0xFFFFFFFFFFFFFFFF)
+    own = np.where((first % _U(MET))[:, None] == np.arange(MET, dtype=_U), first[:, None], none)
+    out = np.full((len(first), MET), none)
+    ends = np.cumsum(many)
+    for a, b in zip((ends - many).tolist(), ends.tolist()):
+        if b - a > 1:
+            np.minimum.accumulate(own[a : b - 1], axis=0, out=out[a + 1 : b])
+    out[out == none] = 0
+    return out
+
+
+def _across(group: np.ndarray, side: np.ndarray, root: np.ndarray, room: np.ndarray, n: np.ndarray, threshold: float, earlier: tuple[np.ndarray, ...] = ()) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of rows of one group and different roots that may be similar, for all that is known of one shingle.
 
     room: shingles of the row's set (of n) from that one on, in the order of all. Sides 0 and 1 have no roots in common.
+    earlier: columns of `earlier_least`. Rows that have one in common met under that shingle too, with more room, and are
+    no pair here; under the first shingle that two rows share, they have none in common.
     """
     order = np.lexsort((root, side, group))
+    earlier = [e[order] for e in earlier]
     group, side, root, room, n = group[order], side[order], root[order], room[order], n[order]
     new = lambda *cols: np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in cols], axis=0)])
     block = new(group, side, root)
@@ -497,7 +515,11 @@ def _across(group: np.ndarray, side: np.ndarray, root: np.ndarray, room: np.ndar
     share = threshold / (1 + threshold)
     for x, y in _products(block[some], ends[some], start[some], end[some]):
         ok = np.minimum(room[x], room[y]) >= (n[x] + n[y]) * share - 1e-6
-        yield order[x[ok]], order[y[ok]]
+        x, y = x[ok], y[ok]
+        for e in earlier:
+            ok = (e[x] != e[y]) | (e[x] == 0)
+            x, y = x[ok], y[ok]
+        yield order[x], order[y]
 
 
 def left_pairs(classes: DataFrame, roots: DataFrame, frequent: dict[int, int], threshold: float = SIMILARITY) -> DataFrame:
@@ -506,6 +528,7 @@ def left_pairs(classes: DataFrame, roots: DataFrame, frequent: dict[int, int], t
 
     frequent: the parts into which classes under one shingle are dealt by their roots, where it is not 1.
     """
+    met = [f"met{i}" for i in range(MET)]
     limit = 1 - 2 * threshold / (1 + threshold)  # of both sizes: shingles that similar sets do not share
 
     def post(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -518,7 +541,7 @@ def left_pairs(classes: DataFrame, roots: DataFrame, frequent: dict[int, int], t
                 cls, root, n = (b.column(i).to_numpy() for i in range(3))
                 room = n[row] - (np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)).astype(np.int32)
                 lo = np.zeros(len(row), np.int32)
-                cols = [key, lo, lo, lo + np.int32(2), root[row], cls[row], room, n[row]]
+                cols = [key, lo, lo, lo + np.int32(2), root[row], cls[row], room, n[row], *earlier_least(key.view(_U), many).view(np.int64).T]
                 if frequent:
                     parts = np.fromiter((frequent.get(k, 1) for k in key.tolist()), np.int64, len(key))
                     i = np.repeat(np.arange(len(key)), parts)
@@ -526,16 +549,16 @@ def left_pairs(classes: DataFrame, roots: DataFrame, frequent: dict[int, int], t
                     own = (root[row].view(_U)[i] * _U(0x9E3779B97F4A7C15) >> _U(33)).astype(np.int64) % parts[i]
                     sides = np.where(own == other, 2, np.where(own < other, 0, 1))
                     cols = [key[i], *(x.astype(np.int32) for x in (np.minimum(own, other), np.maximum(own, other), sides)), *(c[i] for c in cols[4:])]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "lo", "hi", "side", "root", "class", "room", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "lo", "hi", "side", "root", "class", "room", "n", *met])
 
-    def meet(group: np.ndarray, side: np.ndarray, root: np.ndarray, cls: np.ndarray, room: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def meet(group: np.ndarray, side: np.ndarray, root: np.ndarray, cls: np.ndarray, room: np.ndarray, n: np.ndarray, *earlier: np.ndarray) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def out() -> pa.RecordBatch:
             pairs = np.unique(np.concatenate(held, axis=1), axis=1)
             return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
 
-        for x, y in _across(group, side, root, room, n, threshold):
+        for x, y in _across(group, side, root, room, n, threshold, earlier):
             if len(x):
                 held.append(np.stack([np.maximum(cls[x], cls[y]), np.minimum(cls[x], cls[y])]))
                 size += len(x)
@@ -553,8 +576,8 @@ def left_pairs(classes: DataFrame, roots: DataFrame, frequent: dict[int, int], t
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ok)), b.column(1).take(pa.array(ok)), pa.array(d[ok])], ["u", "v", "d"])
 
     rows = classes.join(roots, F.col("class") == F.col("node"), "left").select("class", F.coalesce("root", "class").alias("root"), "n", "first")
-    rows = rows.mapInArrow(post, "key long, lo int, hi int, side int, root long, class long, room int, n int")
-    pairs = cut(_by_unit_pair(rows, ["root", "class", "room", "n"], meet, "u long, v long").distinct(), "shingle-pairs")
+    rows = rows.mapInArrow(post, "key long, lo int, hi int, side int, root long, class long, room int, n int" + "".join(f", {x} long" for x in met))
+    pairs = cut(_by_unit_pair(rows, ["root", "class", "room", "n", *met], meet, "u long, v long").distinct(), "shingle-pairs")
     ends = lambda x: classes.select(F.col("class").alias(f"k{x}"), F.col("odd").alias(x), F.col("n").cast("long").alias(f"n{x}"))
     both = pairs.join(ends("a"), F.col("u") == F.col("ka")).join(ends("b"), F.col("v") == F.col("kb"))
     return both.select("u", "v", "a", "b", F.col("na") + F.col("nb")).mapInArrow(near, "u long, v long, d long")

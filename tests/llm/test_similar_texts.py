@@ -118,3 +118,26 @@ def test_left_pairs_are_all_similar_pairs_of_two_groups(spark):
     for parts in ({}, {int(g): 3 for g in seen.view(np.int64)}):
         got = [(r.u, r.v) for r in simhash_neardup.left_pairs(classes, roots, parts).collect()]
         assert len(got) == len(set(got)) and want <= set(got) and all(root.get(u, u) != root.get(v, v) for u, v in got)
+
+
+def test_pairs_that_met_before_are_not_given_again():
+    rng = np.random.default_rng(7)
+    shared = rng.choice(1 << 62, 300, replace=False).astype(np.uint64) + np.uint64(1)
+    sets = [np.unique(np.concatenate([shared[a : a + int(rng.integers(40, 120))], rng.integers(1, 1 << 62, int(rng.integers(0, 60))).astype(np.uint64)])) for a in rng.integers(0, 180, 60)]
+    frequent = np.sort(shared[::3])
+    firsts = [simhash_neardup.prefix(h, frequent, np.arange(len(frequent))) for h in sets]
+    many = np.array([len(x) for x in firsts])
+    row, key = np.repeat(np.arange(len(sets)), many), np.concatenate(firsts)
+    n = np.array([len(h) for h in sets])[row]
+    room = n - (np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many))
+    earlier = simhash_neardup.earlier_least(key, many)
+    for i in range(0, len(key), 17):
+        before = [int(k) for k, r in zip(key[:i], row[:i]) if r == row[i]]
+        assert earlier[i].tolist() == [min((k for k in before if k % simhash_neardup.MET == c), default=0) for c in range(simhash_neardup.MET)]
+    group = np.unique(key, return_inverse=True)[1]
+    found = []
+    for known in ((), tuple(earlier.T)):
+        pairs = [(min(row[a], row[b]), max(row[a], row[b])) for x, y in simhash_neardup._across(group, np.full(len(key), 2), row, room, n, 0.8, known) for a, b in zip(x, y)]
+        found.append((set(pairs), len(pairs)))
+    assert found[0][0] == found[1][0] and len(found[0][0]) > 20
+    assert found[1][1] < found[0][1] / 2
